@@ -249,3 +249,53 @@ def tables(dom: D.Dom) -> DataFrame:
     cells = cells.select("page_id", "table_start", "tr_start", "start", "tag",
                          join_strip(F.col("parts")).alias("text"))
     return cells
+
+
+def table_rows(dom: D.Dom, table_index: int | None = None) -> DataFrame:
+    """F11 / X12 rows: per table, header texts (th) zipped with each body row's
+    td texts -> (page_id, table_start, row_no, col_no, header, value).
+
+    ``header`` is NULL when the table has no th (the reference then keeps a
+    plain list).  ``zip`` truncates to the shorter side as in the reference.
+    ``table_index`` = n keeps only the n-th table of the page (decision Q9).
+    """
+    cells = tables(dom)
+    heads = (cells.filter(F.col("tag") == "th").groupBy("page_id", "table_start")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"]).alias("h")))
+    rows = (cells.filter((F.col("tag") == "td") & F.col("tr_start").isNotNull())
+            .groupBy("page_id", "table_start", "tr_start")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"]).alias("c")))
+    w = Window.partitionBy("page_id", "table_start").orderBy("tr_start")
+    rows = rows.withColumn("row_no", F.row_number().over(w)).join(heads, ["page_id", "table_start"], "left")
+    if table_index is not None:
+        tw = Window.partitionBy("page_id").orderBy("table_start")
+        rows = rows.withColumn("_ti", F.dense_rank().over(tw)).filter(F.col("_ti") == table_index).drop("_ti")
+    n = F.when(F.col("h").isNull() | (F.size("h") == 0), F.size("c")).otherwise(F.least(F.size("c"), F.size("h")))
+    out = rows.select("page_id", "table_start", "row_no",
+                      F.posexplode(F.slice("c", 1, n)).alias("col_no", "value"), "h")
+    return out.select("page_id", "table_start", "row_no", "col_no",
+                      F.when(F.size("h") > 0, F.element_at("h", F.col("col_no") + 1)).alias("header"), "value")
+
+
+def table_rows_basic(dom: D.Dom) -> DataFrame:
+    """First text node per cell; a row whose cell count differs from the
+    header count is keyed ``col_0..``."""
+    e = dom.elements
+    w = Window.partitionBy("page_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    e = (e.withColumn("_t", F.max(F.when(F.col("tag") == "table", F.struct("start", "end"))).over(w))
+          .withColumn("_r", F.max(F.when(F.col("tag") == "tr", F.struct("start", "end"))).over(w)))
+    cells = e.filter(F.col("tag").isin("td", "th") & (F.col("_t.end") > F.col("start"))).select(
+        "page_id", "start", "start_tc", "end_tc", "tag", F.col("_t.start").alias("table_start"),
+        F.when(F.col("_r.end") > F.col("start"), F.col("_r.start")).alias("tr_start"))
+    cells = D.with_text_parts(cells, dom, first_only=True).withColumn(
+        "text", F.coalesce(pystrip(F.element_at("parts", 1)), F.lit("")))
+    heads = (cells.filter(F.col("tag") == "th").groupBy("page_id")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"]).alias("h")))
+    rows = (cells.filter((F.col("tag") == "td") & F.col("tr_start").isNotNull()).groupBy("page_id", "tr_start")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"]).alias("c")))
+    rows = rows.join(heads, "page_id", "left")
+    keyed = F.coalesce(F.size("h"), F.lit(0)) == F.size("c")
+    out = rows.select("page_id", "tr_start", F.posexplode("c").alias("col_no", "value"), "h", keyed.alias("keyed"))
+    return out.select("page_id", "tr_start", "col_no",
+                      F.when(F.col("keyed"), F.element_at("h", F.col("col_no") + 1))
+                      .otherwise(F.concat(F.lit("col_"), F.col("col_no").cast("string"))).alias("key"), "value")
