@@ -89,7 +89,7 @@ def unescape(c: Column) -> Column:
     parts = F.split(named, _NUM_ENTITY, -1)
     ents = F.regexp_extract_all(named, F.lit(_NUM_ENTITY), F.lit(0))
     numeric = F.concat(
-        F.element_at(parts, 1),
+        F.try_element_at(parts, F.lit(1)),
         F.array_join(F.zip_with(ents, F.slice(parts, 2, F.size(parts)),
                                 lambda e, p: F.concat(_decode_codepoint(e), p)), ""),
     )

@@ -61,7 +61,7 @@ def _remove_dots(p: Column) -> Column:
         segs, F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
-    walked = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    walked = F.when(F.try_element_at(segs, F.lit(-1)).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
     out = F.array_join(walked, "/")
     return F.when(out == "", F.lit("/")).otherwise(out)
 

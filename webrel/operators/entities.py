@@ -245,7 +245,7 @@ def normalize_org(payload: Column, url: Column) -> Column:
     return F.struct(
         _vs(payload, "$.name").alias("name"), url.alias("profile_url"),
         _vs(payload, "$.website").alias("website"), _vs(payload, "$.description").alias("description"),
-        F.when(F.size(industries) > 0, F.element_at(industries, 1))
+        F.when(F.size(industries) > 0, F.try_element_at(industries, F.lit(1)))
         .otherwise(_vs(payload, "$.industry")).alias("industry"),
         industries.alias("industries"),
         F.coalesce(F.try_variant_get(payload, "$.specialities", "array<string>"),
@@ -332,9 +332,9 @@ def normalize_person(payload: Column, url: Column) -> Column:
         _vs(payload, "$.summary").alias("summary"),
         F.coalesce(F.nullif(_vs(payload, "$.city"), F.lit("")), _vs(payload, "$.country_full_name")).alias("location"),
         _vs(payload, "$.country_full_name").alias("country"),
-        F.coalesce(F.element_at(exp, 1)["title"], F.lit("")).alias("current_title"),
-        F.coalesce(F.element_at(exp, 1)["company"], F.lit("")).alias("current_company"),
-        F.when(F.size(emails) > 0, F.element_at(emails, 1)).otherwise(F.lit("")).alias("email"),
-        F.when(F.size(phones) > 0, F.element_at(phones, 1)).otherwise(F.lit("")).alias("phone"),
+        F.coalesce(F.try_element_at(exp, F.lit(1))["title"], F.lit("")).alias("current_title"),
+        F.coalesce(F.try_element_at(exp, F.lit(1))["company"], F.lit("")).alias("current_company"),
+        F.when(F.size(emails) > 0, F.try_element_at(emails, F.lit(1))).otherwise(F.lit("")).alias("email"),
+        F.when(F.size(phones) > 0, F.try_element_at(phones, F.lit(1))).otherwise(F.lit("")).alias("phone"),
         skills(payload).alias("skills"), exp.alias("experience"), education(payload).alias("education"),
     )

@@ -46,7 +46,7 @@ def own_parts(dom: D.Dom, sel: DataFrame, col: str = "parts") -> DataFrame:
 def titles(dom: D.Dom) -> DataFrame:
     """``title::text`` first node, stripped ('' when absent)."""
     t = own_parts(dom, _sel(dom, ["title"]).select("page_id", "start"))
-    first = t.groupBy("page_id").agg(F.min_by(F.element_at("parts", 1), "start").alias("t"))
+    first = t.groupBy("page_id").agg(F.min_by(F.try_element_at("parts", F.lit(1)), "start").alias("t"))
     pages = dom.tokens.select("page_id").distinct()
     return pages.join(first, "page_id", "left").select(
         "page_id", F.coalesce(pystrip(F.col("t")), F.lit("")).alias("title"))
@@ -88,7 +88,7 @@ def links_first_text(dom: D.Dom) -> DataFrame:
     a = dom.elements.filter((F.col("tag") == "a") & (F.coalesce(F.col("attrs")["href"], F.lit("")) != ""))
     a = D.with_text_parts(a.select("page_id", "start", "start_tc", "end_tc",
                                    F.col("attrs")["href"].alias("href")), dom, first_only=True)
-    return a.select("page_id", "start", F.coalesce(pystrip(F.element_at("parts", 1)), F.lit("")).alias("text"),
+    return a.select("page_id", "start", F.coalesce(pystrip(F.try_element_at("parts", F.lit(1))), F.lit("")).alias("text"),
                     pystrip(F.col("href")).alias("href"))
 
 
@@ -122,7 +122,7 @@ def json_ld(dom: D.Dom) -> DataFrame:
     """``script[type=application/ld+json]`` bodies that parse; empty skipped."""
     s = dom.elements.filter((F.col("tag") == "script") & (F.col("attrs")["type"] == "application/ld+json"))
     s = deep_parts(dom, s.select("page_id", "start", "start_tc", "end_tc"))
-    s = s.select("page_id", "start", pystrip(F.coalesce(F.element_at("parts", 1), F.lit(""))).alias("body"))
+    s = s.select("page_id", "start", pystrip(F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(""))).alias("body"))
     s = s.filter(F.col("body") != "").withColumn("doc", F.try_parse_json("body"))
     return s.filter(F.col("doc").isNotNull()).select("page_id", "start", "body", "doc")
 
@@ -196,7 +196,7 @@ def page_meta(dom: D.Dom) -> DataFrame:
         first((F.col("tag") == "link") & (a["rel"] == "canonical"), F.coalesce(a["href"], F.lit("")), "canonical"),
     )
     t = own_parts(dom, e.filter(F.col("tag") == "title").select("page_id", "start"))
-    t = t.groupBy("page_id").agg(F.min_by(F.element_at("parts", 1), "start").alias("title"))
+    t = t.groupBy("page_id").agg(F.min_by(F.try_element_at("parts", F.lit(1)), "start").alias("title"))
     pages = dom.tokens.select("page_id").distinct()
     out = pages.join(t, "page_id", "left").join(meta, "page_id", "left")
     cols = ["description", "og_title", "og_description", "og_image", "canonical"]
@@ -274,7 +274,7 @@ def table_rows(dom: D.Dom, table_index: int | None = None) -> DataFrame:
     out = rows.select("page_id", "table_start", "row_no",
                       F.posexplode(F.slice("c", 1, n)).alias("col_no", "value"), "h")
     return out.select("page_id", "table_start", "row_no", "col_no",
-                      F.when(F.size("h") > 0, F.element_at("h", F.col("col_no") + 1)).alias("header"), "value")
+                      F.when(F.size("h") > 0, F.try_element_at("h", F.col("col_no") + 1)).alias("header"), "value")
 
 
 def table_rows_basic(dom: D.Dom) -> DataFrame:
@@ -288,7 +288,7 @@ def table_rows_basic(dom: D.Dom) -> DataFrame:
         "page_id", "start", "start_tc", "end_tc", "tag", F.col("_t.start").alias("table_start"),
         F.when(F.col("_r.end") > F.col("start"), F.col("_r.start")).alias("tr_start"))
     cells = D.with_text_parts(cells, dom, first_only=True).withColumn(
-        "text", F.coalesce(pystrip(F.element_at("parts", 1)), F.lit("")))
+        "text", F.coalesce(pystrip(F.try_element_at("parts", F.lit(1))), F.lit("")))
     heads = (cells.filter(F.col("tag") == "th").groupBy("page_id")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"]).alias("h")))
     rows = (cells.filter((F.col("tag") == "td") & F.col("tr_start").isNotNull()).groupBy("page_id", "tr_start")
@@ -297,5 +297,5 @@ def table_rows_basic(dom: D.Dom) -> DataFrame:
     keyed = F.coalesce(F.size("h"), F.lit(0)) == F.size("c")
     out = rows.select("page_id", "tr_start", F.posexplode("c").alias("col_no", "value"), "h", keyed.alias("keyed"))
     return out.select("page_id", "tr_start", "col_no",
-                      F.when(F.col("keyed"), F.element_at("h", F.col("col_no") + 1))
+                      F.when(F.col("keyed"), F.try_element_at("h", F.col("col_no") + 1))
                       .otherwise(F.concat(F.lit("col_"), F.col("col_no").cast("string"))).alias("key"), "value")
