@@ -77,6 +77,19 @@ class Dom:
         """One row per page: ``txt`` = array of all text nodes in order."""
         return page_texts(self.texts)
 
+    def persist(self) -> "Dom":
+        """Keep the three relations (memory, spilling to disk) when several
+        outputs are derived from one parse; lost blocks are recomputed from
+        lineage.  Pair with ``unpersist``."""
+        from pyspark import StorageLevel
+        return Dom(self.tokens.persist(StorageLevel.MEMORY_AND_DISK),
+                   self.elements.persist(StorageLevel.MEMORY_AND_DISK),
+                   self.texts.persist(StorageLevel.MEMORY_AND_DISK))
+
+    def unpersist(self) -> None:
+        for df in (self.tokens, self.elements, self.texts):
+            df.unpersist()
+
 
 def _split_raw(t: Column) -> Column:
     raw = F.array(

@@ -30,4 +30,4 @@ def big(c) -> "F.Column":
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from webrel.plans import q_dom, q_render, q_rules, q_text  # noqa: F401
+    from webrel.plans import q_changes, q_dom, q_render, q_rules, q_text  # noqa: F401

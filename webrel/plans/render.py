@@ -146,3 +146,25 @@ def stat_pages(orders: DataFrame) -> DataFrame:
     return g.select(F.col("o_custkey").alias("page_id"),
                     F.concat(L("https://stats.example.com/c/"), F.col("o_custkey").cast("string")).alias("url"),
                     html.alias("html"))
+
+
+def page_versions(pages: DataFrame) -> DataFrame:
+    """Two captures of each page (``page_id % 11 == 10``: only the first).
+    Version 1 differs by ``page_id % 6``: 0 same, 1 title, 2 extra heading,
+    3 first link removed, 4 image added, 5 sixty extra words."""
+    k = F.col("page_id")
+    h = F.col("html")
+    words = " ".join(f"w{i}" for i in range(60))
+    v1 = (F.when(k % 6 == 1, F.regexp_replace(h, "<title>", "<title>Updated "))
+          .when(k % 6 == 2, F.regexp_replace(h, "<article>", "<article><h2>Breaking news</h2>"))
+          .when(k % 6 == 3, F.regexp_replace(h, r'^(.*?)<li><a href="[^"]*">[^<]*</a></li>', "$1"))
+          .when(k % 6 == 4, F.regexp_replace(h, "<article>", '<article><img src="/img/new.png" alt="new">'))
+          .when(k % 6 == 5, F.regexp_replace(h, "</article>", f"<p>{words}</p></article>"))
+          .otherwise(h))
+    base = pages.select("page_id", "url", "html")
+    v0 = base.select((k * 2).alias("page_id"), "url", F.lit(0).alias("version"),
+                     F.lit("2024-01-01 00:00:00").cast("timestamp").alias("snapshot_ts"), "html")
+    v1df = base.filter(k % 11 != 10).select((k * 2 + 1).alias("page_id"), "url", F.lit(1).alias("version"),
+                                             F.lit("2024-01-02 00:00:00").cast("timestamp").alias("snapshot_ts"),
+                                             v1.alias("html"))
+    return v0.unionByName(v1df)
