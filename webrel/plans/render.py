@@ -168,3 +168,46 @@ def page_versions(pages: DataFrame) -> DataFrame:
                                              F.lit("2024-01-02 00:00:00").cast("timestamp").alias("snapshot_ts"),
                                              v1.alias("html"))
     return v0.unionByName(v1df)
+
+
+def capture_log(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Request / response / websocket logs rendered from ``events``.
+
+    click -> xhr GET, view -> document GET, purchase -> POST JSON,
+    signup -> POST GraphQL, error -> POST invalid JSON.  Every request carries
+    user-agent and cookie headers; every 20th a dummy authorization header.
+    """
+    e = events
+    k, u, t = F.col("event_id"), F.col("user_id").cast("string"), F.col("event_type")
+    url = (F.when(t == "click", F.concat(L("https://api.example.com/v1/items/"), u))
+           .when(t == "view", F.concat(L("https://www.example.com/page/"), u))
+           .when(t == "purchase", L("https://shop.example.com/api/cart"))
+           .when(t == "signup", L("https://www.example.com/graphql"))
+           .otherwise(L("https://www.example.com/log")))
+    method = F.when(t.isin("click", "view"), L("GET")).otherwise(L("POST"))
+    rtype = (F.when(t == "click", L("xhr")).when(t == "view", L("document")).when(t == "purchase", L("fetch"))
+             .when(t == "signup", L("fetch")).otherwise(L("other")))
+    body = (F.when(t == "purchase", F.concat(L('{"user": '), u, L(', "value": '), F.format_string("%.2f", F.col("value")),
+                                             L("}")))
+            .when(t == "signup", F.concat(L('{"operationName": "Signup", "query": "mutation Signup { create(id: '), u,
+                                          L(') { id } }", "variables": {"id": '), u, L("}}")))
+            .when(t == "error", F.concat(L("{bad json "), k.cast("string"))))
+    headers = F.map_concat(
+        F.create_map(L("user-agent"), L("Mozilla/5.0"), L("cookie"), F.concat(L("sid="), u), L("accept"), L("*/*")),
+        F.when(k % 20 == 0, F.create_map(L("authorization"), F.concat(L("Bearer dummy-"), k.cast("string"))))
+        .otherwise(F.create_map().cast("map<string,string>")))
+    ts = F.col("ts").cast("timestamp")
+    req = e.select(k.alias("event_id"), ts.alias("ts"), L("https://www.example.com/app").alias("page_url"),
+                   method.alias("method"), url.alias("url"), rtype.alias("resource_type"), headers.alias("headers"),
+                   body.alias("post_data"))
+    status = F.when(k % 10 == 0, F.lit(404)).when(k % 10 == 1, F.lit(500)).otherwise(F.lit(200))
+    ctype = (F.when(t == "view", L("text/html")).when(t == "signup", L("application/json; charset=utf-8"))
+             .otherwise(L("application/json")))
+    rbody = (F.when(t == "view", L("<html></html>")).when(t == "error", L("not json"))
+             .otherwise(F.concat(L('{"ok": true, "id": '), k.cast("string"), L(', "props": '), F.col("props"), L("}"))))
+    resp = e.select(k.alias("event_id"), url.alias("url"), status.alias("status"), ctype.alias("content_type"),
+                    rbody.alias("body"))
+    ws = e.filter((t == "click") & (k % 3 == 0)).select(
+        L("wss://stream.example.com/feed").alias("url"), ts.alias("ts"),
+        F.concat(L("tick "), F.col("props")).alias("data"))
+    return req, resp, ws
