@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from webrel.functions import text as TX
 from webrel.operators import dom as D
 from webrel.operators import page as P
-from webrel.operators.select import first_match, flag
+from webrel.operators.select import first_match, first_matches, flag
 
 # --- fixed values -----------------------------------------------------------
 PRICE_SEL = "[class*='price'], [class*='plan'], [class*='pricing'], [id*='price'], [id*='plan']"
@@ -52,8 +52,8 @@ def block_texts(dom: D.Dom, block_sel: str, subs: dict[str, str]) -> DataFrame:
     names = list(subs)
     for n in names:
         e = flag(e, subs[n], f"_s_{n}")
-    for n in names:
-        e = first_match(e, "_blk", f"_s_{n}", f"{n}_start")
+    if names:
+        e = first_matches(e, "_blk", {f"_s_{n}": f"{n}_start" for n in names})
     any_flag = F.col("_blk")
     for n in names:
         any_flag = any_flag | F.col(f"_s_{n}")

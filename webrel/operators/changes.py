@@ -19,7 +19,8 @@ from webrel.operators import dom as D
 from webrel.operators import page as P
 from webrel.session import checkpoint_dir
 
-EMPTY = F.array().cast("array<string>")
+def _empty():
+    return F.array().cast("array<string>")
 WORD_DELTA = 50  # fixed value: word-count change must exceed this
 
 
@@ -42,9 +43,9 @@ def snapshot_records(dom: D.Dom, pages: DataFrame, ts_col: str = "snapshot_ts",
         pr = B.pricing(dom).select("page_id", "start", F.explode("prices_found").alias("p"))
         rec = rec.join(arr(pr, "p", "prices"), "page_id", "left")
     else:
-        rec = rec.withColumn("prices", EMPTY)
+        rec = rec.withColumn("prices", _empty())
     rec = rec.select("page_id", "url", "snapshot_ts", F.coalesce("title", F.lit("")).alias("title"),
-                     *[F.coalesce(c, EMPTY).alias(c) for c in ("headings", "links", "images", "prices")],
+                     *[F.coalesce(c, _empty()).alias(c) for c in ("headings", "links", "images", "prices")],
                      F.coalesce("full_text", F.lit("")).alias("full_text"))
     body = F.to_json(F.struct("title", "headings", "links", "images", "prices", "full_text"))
     rec = rec.withColumn("hash", F.md5(F.when(F.col("full_text") != "", F.col("full_text")).otherwise(body)))

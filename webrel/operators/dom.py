@@ -3,8 +3,8 @@
 A page is tokenised by one JVM regex, ``posexplode`` makes the token table,
 and window functions turn tokens into elements with ``[start, end)`` token
 intervals.  Text nodes are numbered per page (``tidx``) so the text inside any
-element is the contiguous run ``start_tc < tidx <= end_tc``; deep text is a
-``slice`` of the page's text array, so no range join is ever needed.
+element is the run of positions ``start < pos < end``; deep text is a ``slice``
+of the page's position-indexed text array, so no range join is ever needed.
 
 Partitioning: everything is keyed by ``page_id``.  ``parse`` hash-partitions
 the *raw pages* once (the html strings, before exploding) and every window
@@ -16,7 +16,7 @@ Relations::
 
     tokens(page_id, pos, tok, kind, tag, text, tc)
         kind in open | close | void | text | raw | comment | doctype
-        tc   = number of text/raw tokens with position <= pos
+        tc   = pos (kept as the text index; texts.tidx = pos)
     elements(page_id, start, end, start_tc, end_tc, tag, attrs, depth, parent_start)
         an element contains token t iff start < t.pos < end
     texts(page_id, pos, tidx, text, kind, depth, parent_start)
@@ -75,7 +75,7 @@ class Dom:
 
     def page_texts(self) -> DataFrame:
         """One row per page: ``txt`` = array of all text nodes in order."""
-        return page_texts(self.texts)
+        return page_texts(self.tokens)
 
     def persist(self) -> "Dom":
         """Keep the three relations (memory, spilling to disk) when several
@@ -101,6 +101,13 @@ def _split_raw(t: Column) -> Column:
     return F.when(t.rlike(_RAW_OPEN) & t.rlike(r"(?is)</[a-z]+\s*>$"), raw).otherwise(plain)
 
 
+def dom_partitions(spark) -> int:
+    """Partitions for the page exchange: ``spark.sql.shuffle.partitions``, at
+    least the default parallelism (sized by the cluster for its data)."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(n, spark.sparkContext.defaultParallelism)
+
+
 def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
              partitions: int | None = None) -> DataFrame:
     """Ordered token table; lossless (``concat(tok) = html``).
@@ -110,10 +117,14 @@ def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     windows run inside that partitioning.
     """
     src = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
-    src = src.repartition(partitions, "page_id") if partitions else src.repartition("page_id")
+    # An explicit count: the exchange carries compact html, and the explode
+    # after it multiplies rows ~100x, so AQE must not coalesce it by its
+    # (small) shuffle size.  The count follows the cluster's shuffle setting.
+    src = src.repartition(partitions or dom_partitions(pages.sparkSession), "page_id")
     toks = F.flatten(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN_RE), F.lit(0)),
                                  _split_raw))
-    t = src.select("page_id", F.posexplode(toks).alias("pos", "p"))
+    t = src.select("page_id", toks.alias("toks")).select("page_id", F.size("toks").alias("n_tok"),
+                                                         F.posexplode("toks").alias("pos", "p"))
     tok = F.col("p.tok")
     tagname = F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1))
     kind = (F.when(F.col("p.k").isNotNull(), F.col("p.k"))
@@ -123,11 +134,12 @@ def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             .when(tok.rlike(r"^<[a-zA-Z]"), F.when(tagname.isin(VOID_TAGS), F.lit("void")).otherwise(F.lit("open")))
             .otherwise(F.lit("text")))
     t = t.select("page_id", F.col("pos").cast("int").alias("pos"), tok.alias("tok"), kind.alias("kind"),
-                 F.when(kind.isin("open", "close", "void"), tagname).alias("tag"))
+                 F.when(kind.isin("open", "close", "void"), tagname).alias("tag"), F.col("n_tok").cast("int"))
     t = t.withColumn("text", F.when(F.col("kind") == "text", unescape(F.col("tok")))
                      .when(F.col("kind") == "raw", F.col("tok")))
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.withColumn("tc", F.sum(F.col("text").isNotNull().cast("int")).over(w).cast("int"))
+    # text positions double as text indices: the text of an element is the
+    # non-null run of the page's position-indexed text array (no running count)
+    return t.withColumn("tc", F.col("pos"))
 
 
 def attrs_of(tok: Column) -> Column:
@@ -146,6 +158,7 @@ def attrs_of(tok: Column) -> Column:
 
 def _elements(tokens: DataFrame) -> DataFrame:
     """Element intervals with repair of unclosed tags."""
+    tokens = tokens.filter(F.col("kind").isin("open", "close", "void"))
     oc = F.col("kind").isin("open", "close")
     w_tag = (Window.partitionBy("page_id", "tag").orderBy("pos")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -173,9 +186,7 @@ def _elements(tokens: DataFrame) -> DataFrame:
         t = t.withColumn(f"trig_{name}", F.last(F.when(starts & F.col("tag").isin(closers), here),
                                                 ignorenulls=True).over(w_excl))
         trig_cols.append((tags, F.col(f"trig_{name}")))
-    w_all = Window.partitionBy("page_id")
-    t = t.withColumn("page_end", F.struct((F.max("pos").over(w_all) + 1).alias("pos"),
-                                          F.max("tc").over(w_all).alias("tc")))
+    t = t.withColumn("page_end", F.struct(F.col("n_tok").alias("pos"), F.col("n_tok").alias("tc")))
     page_end = F.col("page_end")
     trig = F.lit(None)
     for tags, c in trig_cols:
@@ -231,10 +242,11 @@ def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     return Dom(tokens, elements, texts)
 
 
-def page_texts(texts: DataFrame) -> DataFrame:
-    """Per page, the ordered array of text nodes (bounded by one html value)."""
-    return texts.groupBy("page_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("tidx", "text"))), lambda s: s["text"]).alias("txt"))
+def page_texts(tokens: DataFrame) -> DataFrame:
+    """Per page, the text of every token position (NULL for markup), so
+    ``txt[pos + 1]`` is the text at ``pos``; bounded by one html value."""
+    return tokens.groupBy("page_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("txt"))
 
 
 def with_text_parts(sel: DataFrame, dom: Dom, col: str = "parts", first_only: bool = False) -> DataFrame:
@@ -244,9 +256,10 @@ def with_text_parts(sel: DataFrame, dom: Dom, col: str = "parts", first_only: bo
     joined 1:1 on ``page_id`` and sliced, so the cost is proportional to the
     output, not to elements x texts.
     """
-    pt = page_texts(dom.texts)
-    n = F.col("end_tc") - F.col("start_tc")
-    parts = F.when(n > 0, F.slice("txt", F.col("start_tc") + 1, n if not first_only else F.lit(1))) \
+    pt = page_texts(dom.tokens)
+    n = F.col("end_tc") - F.col("start_tc") - 1
+    parts = F.filter(F.slice("txt", F.col("start_tc") + 2, F.greatest(n, F.lit(0))), lambda x: x.isNotNull())
+    parts = F.when(n > 0, parts if not first_only else F.slice(parts, 1, 1)) \
         .otherwise(F.array().cast("array<string>"))
     return sel.join(pt, "page_id", "left").withColumn(col, F.coalesce(parts, F.array().cast("array<string>"))) \
         .drop("txt")

@@ -17,7 +17,7 @@ from webrel.functions import text as TX
 from webrel.functions import urls as U
 from webrel.operators import dom as D
 from webrel.operators import page as P
-from webrel.operators.select import first_match, flag
+from webrel.operators.select import first_match, first_matches, flag
 
 # --- fixed values -----------------------------------------------------------
 # Result-card selectors, tried in this order; the first with output wins.
@@ -76,8 +76,8 @@ def org_cards(dom: D.Dom) -> DataFrame:
     card = reduce(lambda a, b: a | b, [F.col(f"_c{i}") for i in range(len(CARD_SELECTORS))])
     e = e.withColumn("_card", card)
     e = e.withColumn("_lnk_only", F.col("_lnk") & ~F.col("_card"))
-    for src, out in (("_lnk_only", "link_start"), ("_h", "h_start"), ("_p1", "p1_start"), ("_p2", "p2_start")):
-        e = first_match(e, "_card", src, out)
+    e = first_matches(e, "_card", {"_lnk_only": "link_start", "_h": "h_start", "_p1": "p1_start",
+                                   "_p2": "p2_start"})
     e = first_match(e, "_lnk", "_aria", "aria_start")
     needed = e.filter(F.col("_card") | F.col("_lnk") | F.col("_aria") | F.col("_h") | F.col("_p1") | F.col("_p2"))
     txt = P.deep_parts(dom, needed.select("page_id", "start", "start_tc", "end_tc"))
@@ -338,3 +338,13 @@ def normalize_person(payload: Column, url: Column) -> Column:
         F.when(F.size(phones) > 0, F.try_element_at(phones, F.lit(1))).otherwise(F.lit("")).alias("phone"),
         skills(payload).alias("skills"), exp.alias("experience"), education(payload).alias("education"),
     )
+
+
+def employees_of(people: DataFrame, org_value, role: str | None = None, org_col: str = "c_nationkey",
+                 title_col: str = "c_mktsegment", name_col: str = "c_name", id_col: str = "c_custkey") -> DataFrame:
+    """People of one organisation, optionally with a role keyword
+    (lower-cased substring of the title)."""
+    p = people.filter(F.col(org_col) == org_value)
+    if role:
+        p = p.filter(F.lower(F.col(title_col)).contains(role.lower()))
+    return p.select(F.col(id_col).alias(id_col), F.col(name_col).alias("name"), F.col(title_col).alias("title"))

@@ -24,7 +24,8 @@ NAV_SEL = "nav a, header a, [class*='nav'] a, [class*='menu'] a"
 BUTTON_SEL = "button, a[class*='btn'], a[class*='button'], [class*='cta']"
 # ---------------------------------------------------------------------------
 
-EMPTY = F.array().cast("array<string>")
+def _empty():
+    return F.array().cast("array<string>")
 
 
 def _sel(dom: D.Dom, tags: list[str] | None = None) -> DataFrame:
@@ -40,7 +41,7 @@ def own_parts(dom: D.Dom, sel: DataFrame, col: str = "parts") -> DataFrame:
     """Own text nodes (``E::text``) of the selected elements, ordered."""
     ot = (dom.texts.groupBy("page_id", F.col("parent_start").alias("start"))
           .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias(col)))
-    return sel.join(ot, ["page_id", "start"], "left").withColumn(col, F.coalesce(F.col(col), EMPTY))
+    return sel.join(ot, ["page_id", "start"], "left").withColumn(col, F.coalesce(F.col(col), _empty()))
 
 
 def titles(dom: D.Dom) -> DataFrame:
@@ -115,7 +116,7 @@ def full_text(dom: D.Dom) -> DataFrame:
                                              lambda s: s["text"]).alias("parts"))
     pages = dom.tokens.select("page_id").distinct()
     g = pages.join(g, "page_id", "left")
-    return g.select("page_id", pystrip(collapse_ws(strip_join(F.coalesce("parts", EMPTY)))).alias("full_text"))
+    return g.select("page_id", pystrip(collapse_ws(strip_join(F.coalesce("parts", _empty())))).alias("full_text"))
 
 
 def json_ld(dom: D.Dom) -> DataFrame:

@@ -250,6 +250,18 @@ def flag(elements: DataFrame, selector: str | Selector, name: str, own_texts: Da
     return df.drop(*[c for c in df.columns if c.startswith(f"_{name}_")])
 
 
+def first_matches(elements: DataFrame, scope_flag: str, targets: dict[str, str]) -> DataFrame:
+    """Several D08 lookups over ONE window sort: ``targets`` maps a target flag
+    column to its output column."""
+    w = (Window.partitionBy("page_id").orderBy(F.col("start").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    df = elements.select("*", *[F.last(F.when(F.col(t), F.col("start")), ignorenulls=True).over(w).alias(o)
+                                for t, o in targets.items()])
+    limit = F.when(F.col("void"), F.col("start") + 1).otherwise(F.col("end"))
+    return df.select(*[c for c in df.columns if c not in targets.values()],
+                     *[F.when(F.col(scope_flag) & (F.col(o) < limit), F.col(o)).alias(o) for o in targets.values()])
+
+
 def first_match(elements: DataFrame, scope_flag: str, target_flag: str, out: str) -> DataFrame:
     """For every element, the start of the first descendant-or-self element
     flagged ``target_flag`` (NULL when none); evaluated where ``scope_flag``."""

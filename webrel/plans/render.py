@@ -211,3 +211,77 @@ def capture_log(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         L("wss://stream.example.com/feed").alias("url"), ts.alias("ts"),
         F.concat(L("tick "), F.col("props")).alias("data"))
     return req, resp, ws
+
+
+# --- fixed values: headlines for seniority scoring fixtures ---------------------
+HEADLINES = ["Director of Operations", "Vice President, Sales", "Project Coordinator", "Co-Founder & CEO",
+             "Senior Engineer", "Analyst", "Head of Marketing", "CTO", "Team Lead", "Principal Scientist",
+             "Chief Executive Officer", "President"]
+
+
+def headline(k: Column) -> Column:
+    return F.element_at(F.array(*[L(h) for h in HEADLINES]), (k % len(HEADLINES) + 1).cast("int"))
+
+
+def org_payloads(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    """Nested company payload per supplier (JSON text)."""
+    s = supplier.join(F.broadcast(nation.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"),
+                      "left")
+    k = F.col("s_suppkey")
+    emps = F.transform(F.sequence(F.lit(0), (k % 13).cast("int")), lambda i: F.struct(
+        F.concat(L("Emp"), k.cast("string"), L("_"), i.cast("string")).alias("first_name"),
+        L("Lastname").alias("last_name"), F.concat(L("Role "), i.cast("string")).alias("title"),
+        F.concat(L("https://people.example.com/in/e"), k.cast("string"), L("-"), i.cast("string")).alias("profile_url")))
+    rounds = F.transform(F.sequence(F.lit(1), (k % 3 + 1).cast("int")), lambda i: F.struct(
+        F.element_at(F.array(L("Seed"), L("Series A"), L("Series B")), i).alias("funding_type"),
+        (k * 1000 * i).alias("money_raised"), F.struct((2010 + k % 10 + i).cast("int").alias("year")).alias("announced_date"),
+        F.array(F.struct(F.concat(L("Fund "), i.cast("string")).alias("name"))).alias("lead_investors")))
+    hq = F.to_json(F.struct(F.concat(L("City"), (k % 50).cast("string")).alias("city"),
+                            F.coalesce("n_name", L("")).alias("country")))
+    body = F.struct(
+        F.col("s_name").alias("name"), F.concat(L("https://s"), k.cast("string"), L(".example.com")).alias("website"),
+        F.concat(L("Supplier in "), F.coalesce("n_name", L(""))).alias("description"),
+        F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(L("Wholesale"), L("Logistics")))
+        .alias("industries"),
+        L("Trade").alias("industry"), F.array(L("parts"), L("supply")).alias("specialities"),
+        (k % 500 + 11).alias("company_size_on_linkedin"), (1990 + k % 30).alias("founded_year"),
+        (k * 37 % 10000).alias("follower_count"), emps.alias("employees"),
+        F.when(k % 4 == 0, F.array().cast("array<struct<funding_type:string,money_raised:bigint,"
+                                          "announced_date:struct<year:int>,lead_investors:array<struct<name:string>>>>"))
+        .otherwise(rounds).alias("funding_data"),
+        (k * 1000 * (k % 3 + 1)).alias("total_funding_amount"))
+    js = F.concat(F.regexp_replace(F.to_json(body), r"\}$", ""), L(', "hq": '),
+                  F.when(k % 5 == 0, L('"Remote"')).otherwise(hq), L("}"))
+    return s.select(k.alias("s_suppkey"), F.concat(L("https://www.linkedin.com/company/s"), k.cast("string"))
+                    .alias("profile_url"), js.alias("payload"))
+
+
+def person_payloads(customer: DataFrame) -> DataFrame:
+    """Nested person payload per customer (JSON text)."""
+    k = F.col("c_custkey")
+    exps = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.struct(
+        F.concat(L("Title"), i.cast("string")).alias("title"),
+        F.concat(L("Co"), (k % 17).cast("string")).alias("company"), L("").alias("location"),
+        F.repeat(L("desc "), i * 40).alias("description"),
+        F.struct((2000 + i).cast("int").alias("year"), (i % 12 + 1).cast("int").alias("month")).alias("starts_at"),
+        F.when(i == 0, F.lit(None).cast("struct<year:int,month:int>"))
+        .otherwise(F.struct((2001 + i).cast("int").alias("year"), F.lit(None).cast("int").alias("month")))
+        .alias("ends_at")))
+    edus = F.transform(F.sequence(F.lit(1), (k % 3).cast("int")), lambda i: F.struct(
+        F.concat(L("School"), i.cast("string")).alias("school"), L("BSc").alias("degree_name"),
+        L("Physics").alias("field_of_study"), F.struct((1990 + i).cast("int").alias("year")).alias("ends_at")))
+    body = F.struct(
+        F.concat(L("First"), k.cast("string")).alias("first_name"),
+        F.when(k % 9 == 0, L("")).otherwise(F.concat(L("Last"), k.cast("string"))).alias("last_name"),
+        headline(k).alias("headline"), L("").alias("summary"),
+        F.when(k % 4 == 0, L("")).otherwise(F.concat(L("City"), (k % 50).cast("string"))).alias("city"),
+        L("Testland").alias("country_full_name"),
+        exps.alias("experiences"), F.when(k % 3 == 0, F.array().cast(
+            "array<struct<school:string,degree_name:string,field_of_study:string,ends_at:struct<year:int>>>"))
+        .otherwise(edus).alias("education"),
+        F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(
+            F.array(F.concat(L("c"), k.cast("string"), L("@example.com")))).alias("personal_emails"))
+    skills = F.when(k % 2 == 0, L(', "skills": [{"name": "sql"}, "python"]')).otherwise(L(', "skills": []'))
+    js = F.concat(F.regexp_replace(F.to_json(body), r"\}$", ""), skills, L("}"))
+    return customer.select(k.alias("c_custkey"), F.concat(L("https://people.example.com/in/c"), k.cast("string"))
+                           .alias("profile_url"), js.alias("payload"))
