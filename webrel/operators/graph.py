@@ -41,6 +41,24 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rank_within(df: DataFrame, key: str, order: list[str], out: str = "rn") -> DataFrame:
+    """``row_number() over (partition by key order by order)`` without putting a
+    hot key into one task: range-partition on (key, order) so a big key spans
+    several partitions, number rows inside each partition, and add the row
+    counts of the key's earlier partitions (a table of at most
+    partitions-per-key rows per key).  ``order`` must be a total order."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")),
+            df.sparkSession.sparkContext.defaultParallelism)
+    s = (df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    cnt = s.groupBy(key, "_pid").agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
+    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    cnt = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return (s.join(cnt.select(key, "_pid", "_off", "_m0"), [key, "_pid"])
+            .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
+            .drop("_pid", "_mid", "_off", "_m0"))
+
+
 def bfs(seeds: DataFrame, edge_df: DataFrame, max_pages: int = 0, max_levels: int = 1000) -> DataFrame:
     """FIFO crawl order from each seed.
 
@@ -65,9 +83,9 @@ def bfs(seeds: DataFrame, edge_df: DataFrame, max_pages: int = 0, max_levels: in
                 .agg(F.min(F.struct("src_rank", "pos", "src")).alias("k")))
         cand = cand.join(visited.select("site", F.col("url").alias("dst")), ["site", "dst"], "left_anti")
         top = visited.groupBy("site").agg(F.max("rank").alias("top"))
-        w = Window.partitionBy("site").orderBy("k")
-        new = (cand.join(top, "site")
-               .withColumn("rank", (F.col("top") + F.row_number().over(w)).cast("int"))
+        cand = cand.select("site", "dst", "k", F.col("k.src_rank").alias("_r"), F.col("k.pos").alias("_p"))
+        new = (rank_within(cand, "site", ["_r", "_p", "dst"]).join(top, "site")
+               .withColumn("rank", (F.col("top") + F.col("rn")).cast("int"))
                .select("site", F.col("dst").alias("url"), "rank", F.col("k.src").alias("parent"),
                        F.lit(level).alias("bfs_depth")))
         if max_pages > 0:
@@ -80,13 +98,40 @@ def bfs(seeds: DataFrame, edge_df: DataFrame, max_pages: int = 0, max_levels: in
     return visited
 
 
-def sitemap(visited: DataFrame, pages_by_url: DataFrame, edge_df: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Url, title, internal_links_found, path depth and BFS depth.
-
-    internal_links_found counts link occurrences of the page whose target was
-    not visited before this page (NULL rank or a later rank), duplicates
-    counted.  ``path_depth`` = '/' count of the URL after removing the seed
-    string, as the reference does (Q3).
+def site_edges(dom: D.Dom, pages: DataFrame) -> DataFrame:
+    """G03 for crawling: (site, src, pos, dst) internal links, site = host of src."""
+    e = edges(dom, pages).filter("internal")
+    return e.select(U.netloc(F.col("page_url")).alias("site"), F.col("page_url").alias("src"), "pos",
+                    F.col("url").alias("dst"))
+
+
+def crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 0, dom: D.Dom | None = None) -> dict:
+    """Crawl every seed over the captured pages.  Returns visited,
+    sitemap, crawl_pages (visited pages that exist), crawl_errors, stats."""
+    dom = dom or D.parse(pages)
+    seeds = seeds.select(U.netloc(F.col("url")).alias("site"), U.drop_fragment(F.col("url")).alias("url"))
+    e = site_edges(dom, pages)
+    visited = bfs(seeds, e, max_pages)
+    known = pages.select("url", "page_id")
+    ok = visited.join(known, "url", "left")
+    titles = P.titles(dom).join(pages.select("page_id", "url"), "page_id")
+    sm = sitemap(visited, titles, e, seeds)
+    errors = ok.filter(F.col("page_id").isNull()).select("site", "url", F.lit("not captured").alias("error"))
+    stats = ok.groupBy("site").agg(F.count("*").alias("total_pages"),
+                                   F.count("page_id").alias("successful"),
+                                   F.count_if(F.col("page_id").isNull()).alias("errors"))
+    return {"visited": visited, "sitemap": sm, "crawl_pages": ok.filter(F.col("page_id").isNotNull()),
+            "crawl_errors": errors, "stats": stats}
+
+
+def sitemap(visited: DataFrame, titles: DataFrame, edge_df: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Captured visited pages: url, title, internal_links_found,
+    path depth and BFS depth.
+
+    internal_links_found counts link occurrences whose target was not visited
+    before this page (target rank NULL or greater), duplicates counted.
+    ``path_depth`` = '/' count of the URL after removing the seed string, as
+    the reference computes it (Q3); ``bfs_depth`` is the link distance.
     """
     ranks = visited.select("site", F.col("url").alias("dst"), F.col("rank").alias("dst_rank"))
     out_e = (edge_df.join(visited.select("site", F.col("url").alias("src"), F.col("rank").alias("src_rank")),
@@ -95,14 +140,44 @@ def sitemap(visited: DataFrame, pages_by_url: DataFrame, edge_df: DataFrame, see
              .filter(F.col("dst_rank").isNull() | (F.col("dst_rank") > F.col("src_rank")))
              .groupBy("site", F.col("src").alias("url")).agg(F.count("*").alias("internal_links_found")))
     seed_url = seeds.select("site", F.col("url").alias("seed"))
-    v = (visited.join(pages_by_url, ["site", "url"], "left")
+    v = (visited.join(titles.select("url", "title"), "url")
          .join(out_e, ["site", "url"], "left")
          .join(seed_url, "site"))
     rest = F.replace(F.col("url"), F.col("seed"), F.lit(""))
-    path_depth = F.size(F.filter(F.split(F.regexp_replace(rest, r"^/+|/+$", ""), "/"), lambda s: s != ""))
-    return v.select("site", "url", "rank", F.coalesce("title", F.lit("")).alias("title"),
+    path_depth = F.size(F.split(rest, "/", -1)) - 1
+    return v.select("site", "url", "rank", "title",
                     F.coalesce("internal_links_found", F.lit(0)).alias("internal_links_found"),
-                    path_depth.alias("path_depth"), "bfs_depth", F.col("ok").isNotNull().alias("ok"))
+                    path_depth.alias("path_depth"), "bfs_depth")
+
+
+def sitemap_report(sm: DataFrame, n: int = 30) -> DataFrame:
+    """First ``n`` rows in visit order, url <= 80, title <= 50 chars."""
+    return sm.orderBy("site", "rank").limit(n).select(
+        "site", F.substring("url", 1, 80).alias("url"), F.substring("title", 1, 50).alias("title"),
+        "internal_links_found", "path_depth")
+
+
+def pagination_chain(dom: D.Dom, pages: DataFrame, seeds: DataFrame, selector: str = "a.next",
+                     max_pages: int = 0) -> DataFrame:
+    """Follow the first element matching ``selector`` (with href) from
+    each seed; the same BFS loop over a one-out-edge graph."""
+    from webrel.operators.select import flag
+    e = flag(dom.elements, selector, "_nx").filter(F.col("_nx") & F.col("attrs")["href"].isNotNull())
+    first = e.groupBy("page_id").agg(F.min_by(F.col("attrs")["href"], F.col("start")).alias("href"))
+    src = pages.select("page_id", F.col("url").alias("page_url"))
+    nxt = first.join(src, "page_id").withColumn("dst", U.normalize_link(F.col("page_url"), F.col("href")))
+    nxt = nxt.filter(F.col("dst").isNotNull() & U.same_site(F.col("page_url"), F.col("dst")))
+    edge_df = nxt.select(U.netloc(F.col("page_url")).alias("site"), F.col("page_url").alias("src"),
+                         F.lit(0).alias("pos"), "dst")
+    seeds = seeds.select(U.netloc(F.col("url")).alias("site"), U.drop_fragment(F.col("url")).alias("url"))
+    return bfs(seeds, edge_df, max_pages)
+
+
+def crawl_with(pages: DataFrame, visited: DataFrame, extract_fn) -> DataFrame:
+    """Run any ``DataFrame -> DataFrame`` page extractor on the crawled
+    pages only (``--business`` passes B14 next to F14)."""
+    sel = pages.join(visited.select("url").distinct(), "url", "left_semi")
+    return sel.transform(extract_fn)
 
 
 def fetch_strategy(pages: DataFrame, url_col: str = "url") -> DataFrame:

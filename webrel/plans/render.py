@@ -285,3 +285,46 @@ def person_payloads(customer: DataFrame) -> DataFrame:
     js = F.concat(F.regexp_replace(F.to_json(body), r"\}$", ""), skills, L("}"))
     return customer.select(k.alias("c_custkey"), F.concat(L("https://people.example.com/in/c"), k.cast("string"))
                            .alias("profile_url"), js.alias("payload"))
+
+
+SITE_BUCKET = 10
+
+
+def site_pages(supplier: DataFrame) -> DataFrame:
+    """Small sites for crawl tests: one site per (nation, s_suppkey // 10).
+
+    root ``http://n{nation}-b{bucket}.example.com/`` links every supplier page
+    of the bucket (relative, root-relative and fragment forms), ``mailto:``,
+    ``#``, a missing page and a duplicate link; each supplier page links home
+    (``../``), itself, and ``../s/{key+1}`` (class ``next``), which is missing
+    when key+1 belongs to another site.  At most ``SITE_BUCKET`` suppliers per
+    site, so no page grows with the table.
+    """
+    s = supplier.select("s_suppkey", "s_nationkey", "s_name",
+                        (F.col("s_suppkey") / SITE_BUCKET).cast("bigint").alias("b"))
+    host = F.concat(L("n"), F.col("s_nationkey").cast("string"), L("-b"), F.col("b").cast("string"),
+                    L(".example.com"))
+    k = F.col("s_suppkey")
+    href = (F.when(k % 3 == 0, F.concat(L("s/"), k.cast("string")))
+            .when(k % 3 == 1, F.concat(L("/s/"), k.cast("string"), L("#top")))
+            .otherwise(F.concat(L("/s/"), k.cast("string"))))
+    s = s.withColumn("host", host).withColumn("href", href)
+    sup_html = F.concat(
+        L("<html><head><title>"), esc(F.col("s_name")), L("</title></head><body><main><h1>"), esc(F.col("s_name")),
+        L('</h1><a href="../">home</a> <a href="'), k.cast("string"), L('">self</a> <a class="next" href="../s/'),
+        (k + 1).cast("string"), L('">next</a></main></body></html>'))
+    sup = s.select((k * 10 + 1).alias("page_id"), F.concat(L("http://"), F.col("host"), L("/s/"), k.cast("string"))
+                   .alias("url"), sup_html.alias("html"))
+    links = s.groupBy("s_nationkey", "b", "host").agg(
+        F.array_sort(F.collect_list(F.struct("s_suppkey", "href"))).alias("l"))
+    items = F.array_join(F.transform("l", lambda x: F.concat(
+        L('<li><a href="'), x["href"], L('">'), x["s_suppkey"].cast("string"), L("</a></li>"))), "")
+    first = F.concat(L('<a class="next" href="'), F.col("l")[0]["href"], L('">first</a>'))
+    root_html = F.concat(
+        L("<html><head><title>Site "), F.col("host"), L("</title></head><body><nav><ul>"), items,
+        L('</ul></nav><p><a href="mailto:info@'), F.col("host"), L('">mail</a> <a href="#">top</a> '
+                                                                   '<a href="/s/missing">old</a> '), first,
+        L("</p></body></html>"))
+    root = links.select((F.col("s_nationkey") * 100000 + F.col("b") * 10).alias("page_id"),
+                        F.concat(L("http://"), F.col("host"), L("/")).alias("url"), root_html.alias("html"))
+    return root.unionByName(sup)
