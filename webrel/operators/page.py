@@ -300,3 +300,58 @@ def table_rows_basic(dom: D.Dom) -> DataFrame:
     return out.select("page_id", "tr_start", "col_no",
                       F.when(F.col("keyed"), F.try_element_at("h", F.col("col_no") + 1))
                       .otherwise(F.concat(F.lit("col_"), F.col("col_no").cast("string"))).alias("key"), "value")
+
+
+def extract_full(dom: D.Dom) -> DataFrame:
+    """one nested record per page.  Every part is aggregated by
+    ``page_id`` on data already partitioned by ``page_id`` and the parts are
+    joined on ``page_id``, so assembling adds no exchange."""
+    pages = dom.tokens.select("page_id").distinct()
+
+    def by(key: str):
+        return lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+
+    def nest(df: DataFrame, name: str, fields: list[str], order: str = "start") -> DataFrame:
+        return df.groupBy("page_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct(order, *fields)), by(order)),
+                        lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias(name))
+
+    h = headings(dom).withColumn("_lv", F.substring("level", 2, 1).cast("int"))
+    heads = h.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_lv", "start", "level", "text"))),
+                                                 lambda s: F.struct(s["level"].alias("level"), s["text"].alias("text")))
+                                     .alias("headings"))
+    secs, content = sections(dom)
+    sec_c = content.groupBy("page_id", "start").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("tidx", "text"))), lambda s: s["text"]).alias("content"))
+    sec = nest(secs.join(sec_c, ["page_id", "start"]), "sections", ["heading", "content"])
+    paras = paragraphs(dom).groupBy("page_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("paragraphs"))
+    f, fields = forms(dom)
+    fl = fields.groupBy("page_id", "form_start").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "type", "name", "placeholder"))),
+                    lambda s: F.struct(s["type"].alias("type"), s["name"].alias("name"),
+                                       s["placeholder"].alias("placeholder"))).alias("fields"))
+    fm = f.join(fl, ["page_id", "form_start"], "left").withColumnRenamed("form_start", "start")
+    tr = table_rows(dom)
+    tbl = tr.groupBy("page_id", "table_start", "row_no").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.coalesce("header", F.concat(F.lit("col_"), F.col("col_no").cast(
+            "string"))), "value"))).alias("row"))
+    tbl = tbl.groupBy("page_id", "table_start").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row")), by("row_no")),
+                    lambda s: s["row"]).alias("rows"))
+    ld = json_ld(dom).groupBy("page_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("start", "body"))), lambda s: s["body"]).alias(
+            "structured_data"))
+    out = (pages.join(titles(dom), "page_id", "left").join(ld, "page_id", "left").join(heads, "page_id", "left")
+           .join(sec, "page_id", "left").join(paras, "page_id", "left")
+           .join(nest(navigation(dom), "navigation", ["text", "href"]), "page_id", "left")
+           .join(nest(links(dom), "links", ["text", "href"]), "page_id", "left")
+           .join(nest(images(dom), "images", ["src", "alt"]), "page_id", "left")
+           .join(nest(fm, "forms", ["action", "method", "fields"]), "page_id", "left")
+           .join(nest(buttons(dom), "buttons_cta", ["text", "href"]), "page_id", "left")
+           .join(nest(tbl.withColumnRenamed("table_start", "start"), "tables", ["rows"]), "page_id", "left")
+           .join(nest(social_links(dom), "social_links", ["platform", "href", "text"]), "page_id", "left")
+           .join(full_text(dom), "page_id", "left"))
+    # missing parts are empty lists, as in the reference record
+    return out.select(*[F.coalesce(F.col(f.name), F.array().cast(f.dataType)).alias(f.name)
+                        if f.dataType.typeName() == "array" else F.col(f.name) for f in out.schema.fields])

@@ -166,3 +166,45 @@ x AS (SELECT 1)
 SELECT page_id::BIGINT AS page_id, pos::BIGINT AS pos, text FROM tx
 """))(lambda spark, sf: P.page_text(_dom(spark, sf)).select(
     big("page_id").alias("page_id"), big("pos").alias("pos"), "text"))
+
+
+# --- F14 extract_full (record sizes per page) ------------------------------------------
+def _full_sizes(spark, sf):
+    f = P.extract_full(_dom(spark, sf))
+    n = lambda c: big(F.coalesce(F.size(c), F.lit(0))).alias(f"n_{c}")
+    return f.select(big("page_id").alias("page_id"), "title", n("headings"), n("paragraphs"), n("navigation"),
+                    n("links"), n("images"), big(F.length("full_text")).alias("len_full_text"))
+
+
+register("extract_full_sizes", _w(f"""
+ti AS (SELECT s.page_id, s.start FROM el s WHERE tag = 'title'),
+tt AS (SELECT t.page_id, arg_min(t.text, t.pos) AS t FROM tx t JOIN ti ON ti.page_id = t.page_id
+       AND t.parent_start = ti.start GROUP BY t.page_id),
+he AS (SELECT * FROM el WHERE tag IN ('h1','h2','h3','h4')),
+ht AS ({deep_text_sql('he', mode='strip_join')}),
+nh AS (SELECT page_id, count(*) AS n FROM ht WHERE text <> '' GROUP BY page_id),
+pe AS (SELECT page_id, start FROM el WHERE tag = 'p'),
+np AS (SELECT t.page_id, count(*) AS n FROM tx t JOIN pe ON pe.page_id = t.page_id AND pe.start = t.parent_start
+       WHERE length({strip_sql('t.text')}) > 20 GROUP BY t.page_id),
+ae AS (SELECT *, {attr_sql('tok', 'href')} AS href FROM el WHERE tag = 'a'),
+af AS (SELECT * FROM ae WHERE coalesce(href, '') <> ''),
+nl AS (SELECT page_id, count(*) AS n FROM af GROUP BY page_id),
+box AS (SELECT * FROM el WHERE tag IN ('nav', 'header')
+        OR coalesce({attr_sql('tok', 'class')}, '') LIKE '%nav%'
+        OR coalesce({attr_sql('tok', 'class')}, '') LIKE '%menu%'),
+na AS (SELECT DISTINCT a.* FROM af a JOIN box b ON a.page_id = b.page_id AND b.start < a.start AND a.start < b."end"),
+nt AS ({deep_text_sql('na', mode='join_strip')}),
+nn AS (SELECT page_id, count(*) AS n FROM nt WHERE text <> '' GROUP BY page_id),
+b AS (SELECT page_id, arg_min(start, start) AS bs, arg_min("end", start) AS be FROM el WHERE tag = 'body' GROUP BY page_id),
+bt AS (SELECT t.page_id, string_agg(CASE WHEN {strip_sql('t.text')} <> '' THEN {strip_sql('t.text')} END, ' '
+                                    ORDER BY t.pos) AS s
+       FROM tx t JOIN b ON b.page_id = t.page_id AND b.bs < t.pos AND t.pos < b.be AND t.parent_start <> b.bs
+       GROUP BY t.page_id),
+pg AS (SELECT DISTINCT page_id FROM tok)
+SELECT pg.page_id::BIGINT AS page_id, coalesce({strip_sql('tt.t')}, '') AS title,
+       coalesce(nh.n, 0)::BIGINT AS n_headings, coalesce(np.n, 0)::BIGINT AS n_paragraphs,
+       coalesce(nn.n, 0)::BIGINT AS n_navigation, coalesce(nl.n, 0)::BIGINT AS n_links, 0::BIGINT AS n_images,
+       length({strip_sql("regexp_replace(coalesce(bt.s, ''), '\\s+', ' ', 'g')")})::BIGINT AS len_full_text
+FROM pg LEFT JOIN tt USING (page_id) LEFT JOIN nh USING (page_id) LEFT JOIN np USING (page_id)
+     LEFT JOIN nn USING (page_id) LEFT JOIN nl USING (page_id) LEFT JOIN bt USING (page_id)
+"""))(_full_sizes)
