@@ -8,7 +8,7 @@ sub-selector, one text pass, and equi-joins on ``(page_id, start)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webrel.functions import text as TX
@@ -44,25 +44,35 @@ LIMITS = {"price_label": 100, "price_text": 300, "fallback_label": 50, "fallback
 # ---------------------------------------------------------------------------
 
 
-def block_texts(dom: D.Dom, block_sel: str, subs: dict[str, str]) -> DataFrame:
+def block_texts(dom: D.Dom, block_sel: str, subs: dict[str, str], attrs_of: dict[str, str] | None = None,
+                extra_block: Column | None = None) -> DataFrame:
     """Blocks matching ``block_sel`` with ``text`` (``_texts``) and, for each
     sub-selector, ``<name>`` = text of its first descendant-or-self match and
-    ``<name>_start`` = that element's start."""
-    e = flag(dom.elements, block_sel, "_blk")
+    ``<name>_start`` = that element's start.  ``attrs_of`` maps an output
+    column to ``sub:attribute`` (value of that attribute on the sub match);
+    ``extra_block`` adds more block rows (flag ``_blk`` false, ``_extra`` true).
+    One elements pass, one text pass."""
+    attrs_of = attrs_of or {}
+    e = flag(dom.el, block_sel, "_blk")
+    e = e.withColumn("_extra", extra_block if extra_block is not None else F.lit(False))
     names = list(subs)
     for n in names:
         e = flag(e, subs[n], f"_s_{n}")
     if names:
         e = first_matches(e, "_blk", {f"_s_{n}": f"{n}_start" for n in names})
-    any_flag = F.col("_blk")
+    any_flag = F.col("_blk") | F.col("_extra")
     for n in names:
         any_flag = any_flag | F.col(f"_s_{n}")
-    needed = e.filter(any_flag).select("page_id", "start", "start_tc", "end_tc")
-    txt = P.deep_parts(dom, needed).select("page_id", "start", TX.strip_join(F.col("parts")).alias("_txt"))
-    blocks = e.filter("_blk").select("page_id", "start", "attrs", *[f"{n}_start" for n in names])
-    blocks = blocks.join(txt.withColumnRenamed("_txt", "text"), ["page_id", "start"], "left")
+    needed = e.filter(any_flag).select("page_id", "start", "start_tc", "end_tc", "attrs")
+    txt = P.deep_parts(dom, needed).select("page_id", "start", "attrs",
+                                           TX.strip_join(F.col("parts")).alias("_txt"))
+    blocks = e.filter(F.col("_blk") | F.col("_extra")).select(
+        "page_id", "start", "attrs", "_blk", "_extra", *[f"{n}_start" for n in names])
+    blocks = blocks.join(txt.select("page_id", "start", F.col("_txt").alias("text")), ["page_id", "start"], "left")
     for n in names:
-        t = txt.select("page_id", F.col("start").alias(f"{n}_start"), F.col("_txt").alias(n))
+        cols = [F.col("_txt").alias(n)]
+        cols += [F.col("attrs")[a.split(":")[1]].alias(out) for out, a in attrs_of.items() if a.split(":")[0] == n]
+        t = txt.select("page_id", F.col("start").alias(f"{n}_start"), *cols)
         blocks = blocks.join(t, ["page_id", f"{n}_start"], "left")
         blocks = blocks.withColumn(n, F.coalesce(F.col(n), F.lit("")))
     return blocks.withColumn("text", F.coalesce("text", F.lit("")))
@@ -89,8 +99,39 @@ def contact(dom: D.Dom) -> DataFrame:
                      TX.opening_hours(F.col("t")).alias("hours"))
 
 
+def _class_id(a: Column) -> Column:
+    return F.lower(F.concat(F.coalesce(a["class"], F.lit("")), F.coalesce(a["id"], F.lit(""))))
+
+
+def pricing(dom: D.Dom) -> DataFrame:
+    """B04 + B05 in one pass.
+
+    B04: price/plan blocks with text: label, prices_found, text <= 300, kept
+    when a price or a price keyword is found.  B05, only for pages without any
+    B04 row: elements whose class+id holds a price keyword and whose text holds
+    a price; label = class+id <= 50, text <= 200.  A per-page window flag
+    decides between them (no anti-join, no second DOM pass)."""
+    cid = _class_id(F.col("attrs"))
+    b = block_texts(dom, PRICE_SEL, {"label": PRICE_LABEL_SEL},
+                    extra_block=TX.has_keyword(cid, TX.PRICE_KEYWORDS))
+    b = b.withColumn("prices_found", TX.prices(F.col("text"))).withColumn("class_id", _class_id(F.col("attrs")))
+    is4 = F.col("_blk") & (F.col("text") != "") & (
+        (F.size("prices_found") > 0) | TX.has_keyword(F.col("text"), TX.PRICE_KEYWORDS))
+    is5 = F.col("_extra") & (F.size("prices_found") > 0)
+    b = b.withColumn("_is4", is4).withColumn("_is5", is5)
+    page_has4 = F.max(F.col("_is4").cast("int")).over(Window.partitionBy("page_id")) == 1
+    b = b.withColumn("_page4", page_has4).filter(F.col("_is4") | (~F.col("_page4") & F.col("_is5")))
+    primary = F.col("_page4")
+    return b.select("page_id", "start",
+                    F.when(primary, TX.cut(F.col("label"), LIMITS["price_label"]))
+                    .otherwise(TX.cut(F.col("class_id"), LIMITS["fallback_label"])).alias("label"),
+                    "prices_found",
+                    F.when(primary, TX.cut(F.col("text"), LIMITS["price_text"]))
+                    .otherwise(TX.cut(F.col("text"), LIMITS["fallback_text"])).alias("text"))
+
+
 def price_cards(dom: D.Dom) -> DataFrame:
-    """Label, prices_found, text of price/plan blocks."""
+    """B04 alone (rows of pages that have price blocks)."""
     b = block_texts(dom, PRICE_SEL, {"label": PRICE_LABEL_SEL})
     b = b.filter(F.col("text") != "").withColumn("prices_found", TX.prices(F.col("text")))
     b = b.filter((F.size("prices_found") > 0) | TX.has_keyword(F.col("text"), TX.PRICE_KEYWORDS))
@@ -98,27 +139,6 @@ def price_cards(dom: D.Dom) -> DataFrame:
                     "prices_found", TX.cut(F.col("text"), LIMITS["price_text"]).alias("text"))
 
 
-def price_cards_fallback(dom: D.Dom, primary: DataFrame | None = None) -> DataFrame:
-    """Pages without B04 rows: any element whose class+id holds a price
-    keyword and whose text holds a price."""
-    primary = primary if primary is not None else price_cards(dom)
-    a = F.col("attrs")
-    cid = F.lower(F.concat(F.coalesce(a["class"], F.lit("")), F.coalesce(a["id"], F.lit(""))))
-    e = dom.elements.withColumn("class_id", cid).filter(TX.has_keyword(F.col("class_id"), TX.PRICE_KEYWORDS))
-    e = e.join(primary.select("page_id").distinct(), "page_id", "left_anti")
-    e = P.deep_parts(dom, e.select("page_id", "start", "start_tc", "end_tc", "class_id"))
-    e = e.withColumn("text", TX.strip_join(F.col("parts"))).withColumn("prices_found", TX.prices(F.col("text")))
-    e = e.filter(F.size("prices_found") > 0)
-    return e.select("page_id", "start", TX.cut(F.col("class_id"), LIMITS["fallback_label"]).alias("label"),
-                    "prices_found", TX.cut(F.col("text"), LIMITS["fallback_text"]).alias("text"))
-
-
-def pricing(dom: D.Dom) -> DataFrame:
-    """B04 + B05 together (the reference's ``pricing`` list)."""
-    p = price_cards(dom)
-    return p.unionByName(price_cards_fallback(dom, p))
-
-
 def services(dom: D.Dom) -> DataFrame:
     """service/feature/product blocks with text > 20: name, description."""
     b = block_texts(dom, SERVICE_SEL, {"name": "h1, h2, h3, h4", "description": "p"})
@@ -130,15 +150,9 @@ def services(dom: D.Dom) -> DataFrame:
 
 def team(dom: D.Dom) -> DataFrame:
     """Team member blocks: name, role, bio, photo; name or role required."""
-    b = block_texts(dom, TEAM_SEL, {"name": TEAM_NAME_SEL, "role": TEAM_ROLE_SEL, "bio": "p"})
-    imgs = flag(dom.elements, TEAM_SEL, "_blk")
-    imgs = imgs.withColumn("_img", F.col("tag") == "img")
-    imgs = first_match(imgs, "_blk", "_img", "img_start")
-    src = dom.elements.filter(F.col("tag") == "img").select(
-        "page_id", F.col("start").alias("img_start"), F.coalesce(F.col("attrs")["src"], F.lit("")).alias("photo"))
-    photos = imgs.filter("_blk").select("page_id", "start", "img_start").join(src, ["page_id", "img_start"], "left")
-    b = b.filter(F.length("text") >= LIMITS["team_min"]).join(photos.select("page_id", "start", "photo"),
-                                                               ["page_id", "start"], "left")
+    b = block_texts(dom, TEAM_SEL, {"name": TEAM_NAME_SEL, "role": TEAM_ROLE_SEL, "bio": "p", "img": "img"},
+                    attrs_of={"photo": "img:src"})
+    b = b.filter(F.length("text") >= LIMITS["team_min"])
     b = b.select("page_id", "start", TX.cut(F.col("name"), LIMITS["team_name"]).alias("name"),
                  TX.cut(F.col("role"), LIMITS["team_role"]).alias("role"),
                  TX.cut(F.col("bio"), LIMITS["team_bio"]).alias("bio"),

@@ -72,23 +72,31 @@ class Dom:
     tokens: DataFrame
     elements: DataFrame
     texts: DataFrame
+    txt: DataFrame | None = None   # (page_id, txt) position-indexed text arrays
+    base: DataFrame | None = None  # elements without depth/parent (cheaper; no extra windows)
+
+    @property
+    def el(self) -> DataFrame:
+        """Elements for operators that need no parent/depth columns."""
+        return self.base if self.base is not None else self.elements
 
     def page_texts(self) -> DataFrame:
         """One row per page: ``txt`` = array of all text nodes in order."""
-        return page_texts(self.tokens)
+        return self.txt if self.txt is not None else page_texts(self.tokens)
 
     def persist(self) -> "Dom":
         """Keep the three relations (memory, spilling to disk) when several
         outputs are derived from one parse; lost blocks are recomputed from
         lineage.  Pair with ``unpersist``."""
         from pyspark import StorageLevel
-        return Dom(self.tokens.persist(StorageLevel.MEMORY_AND_DISK),
-                   self.elements.persist(StorageLevel.MEMORY_AND_DISK),
-                   self.texts.persist(StorageLevel.MEMORY_AND_DISK))
+        lvl = StorageLevel.MEMORY_AND_DISK
+        return Dom(self.tokens.persist(lvl), self.elements.persist(lvl), self.texts.persist(lvl),
+                   self.txt.persist(lvl) if self.txt is not None else None, None)
 
     def unpersist(self) -> None:
-        for df in (self.tokens, self.elements, self.texts):
-            df.unpersist()
+        for df in (self.tokens, self.elements, self.texts, self.txt):
+            if df is not None:
+                df.unpersist()
 
 
 def _split_raw(t: Column) -> Column:
@@ -108,40 +116,63 @@ def dom_partitions(spark) -> int:
     return max(n, spark.sparkContext.defaultParallelism)
 
 
+def _kind(tok: Column, k: Column) -> Column:
+    tagname = F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1))
+    return (F.when(k.isNotNull(), k)
+            .when(tok.startswith("<!--"), F.lit("comment"))
+            .when(tok.startswith("<!"), F.lit("doctype"))
+            .when(tok.rlike(r"^</[a-zA-Z]"), F.lit("close"))
+            .when(tok.rlike(r"^<[a-zA-Z]"), F.when(tagname.isin(VOID_TAGS), F.lit("void")).otherwise(F.lit("open")))
+            .otherwise(F.lit("text")))
+
+
+def _text(tok: Column, kind: Column) -> Column:
+    return F.when(kind == "text", unescape(tok)).when(kind == "raw", tok)
+
+
+def page_token_arrays(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                      partitions: int | None = None) -> DataFrame:
+    """``(page_id, toks ARRAY<STRUCT<tok, k>>)`` after the one page exchange.
+
+    An explicit partition count: the exchange carries compact html and the
+    explode after it multiplies rows ~100x, so AQE must not coalesce it by its
+    (small) shuffle size.  The count follows the cluster's shuffle setting.
+    """
+    src = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
+    src = src.repartition(partitions or dom_partitions(pages.sparkSession), "page_id")
+    toks = F.flatten(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN_RE), F.lit(0)),
+                                 _split_raw))
+    return src.select("page_id", toks.alias("toks"))
+
+
 def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-             partitions: int | None = None) -> DataFrame:
+             partitions: int | None = None, arrays: DataFrame | None = None) -> DataFrame:
     """Ordered token table; lossless (``concat(tok) = html``).
 
     The raw pages are hash-partitioned by ``id_col`` *before* the explode so
     the one exchange moves compact html strings, and all later per-page
     windows run inside that partitioning.
     """
-    src = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
-    # An explicit count: the exchange carries compact html, and the explode
-    # after it multiplies rows ~100x, so AQE must not coalesce it by its
-    # (small) shuffle size.  The count follows the cluster's shuffle setting.
-    src = src.repartition(partitions or dom_partitions(pages.sparkSession), "page_id")
-    toks = F.flatten(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN_RE), F.lit(0)),
-                                 _split_raw))
-    t = src.select("page_id", toks.alias("toks")).select("page_id", F.size("toks").alias("n_tok"),
-                                                         F.posexplode("toks").alias("pos", "p"))
+    arr = arrays if arrays is not None else page_token_arrays(pages, id_col, html_col, partitions)
+    t = arr.select("page_id", F.size("toks").alias("n_tok"), F.posexplode("toks").alias("pos", "p"))
     tok = F.col("p.tok")
+    kind = _kind(tok, F.col("p.k"))
     tagname = F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1))
-    kind = (F.when(F.col("p.k").isNotNull(), F.col("p.k"))
-            .when(tok.startswith("<!--"), F.lit("comment"))
-            .when(tok.startswith("<!"), F.lit("doctype"))
-            .when(tok.rlike(r"^</[a-zA-Z]"), F.lit("close"))
-            .when(tok.rlike(r"^<[a-zA-Z]"), F.when(tagname.isin(VOID_TAGS), F.lit("void")).otherwise(F.lit("open")))
-            .otherwise(F.lit("text")))
     t = t.select("page_id", F.col("pos").cast("int").alias("pos"), tok.alias("tok"), kind.alias("kind"),
                  F.when(kind.isin("open", "close", "void"), tagname).alias("tag"), F.col("n_tok").cast("int"))
-    t = t.withColumn("text", F.when(F.col("kind") == "text", unescape(F.col("tok")))
-                     .when(F.col("kind") == "raw", F.col("tok")))
+    t = t.withColumn("text", _text(F.col("tok"), F.col("kind")))
     # text positions double as text indices: the text of an element is the
     # non-null run of the page's position-indexed text array (no running count)
     return t.withColumn("tc", F.col("pos"))
 
 
+def page_text_arrays(arrays: DataFrame) -> DataFrame:
+    """``(page_id, txt)``: the text at every token position (NULL for markup),
+    projected from the page's token array - no aggregation, no sort."""
+    return arrays.select("page_id", F.transform("toks", lambda p: _text(p["tok"], _kind(p["tok"], p["k"])))
+                         .alias("txt"))
+
+
 def attrs_of(tok: Column) -> Column:
     """Attribute map of a start tag; names lower-cased, first duplicate wins,
     values entity-decoded."""
@@ -231,15 +262,16 @@ def _depth_parent(tokens: DataFrame, elements: DataFrame) -> tuple[DataFrame, Da
 def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
           partitions: int | None = None, with_parents: bool = True) -> Dom:
     """Tokens, elements (with attrs, depth, parent) and texts."""
-    tokens = tokenize(pages, id_col, html_col, partitions)
-    elements = _elements(tokens)
+    arrays = page_token_arrays(pages, id_col, html_col, partitions)
+    tokens = tokenize(pages, arrays=arrays)
+    elements = base = _elements(tokens)
     texts = tokens.filter(F.col("text").isNotNull()).select(
         "page_id", "pos", F.col("tc").alias("tidx"), "text", "kind")
     if with_parents:
         epar, tpar = _depth_parent(tokens, elements)
         elements = elements.join(epar.withColumnRenamed("pos", "start"), ["page_id", "start"], "left")
         texts = texts.join(tpar, ["page_id", "pos"], "left")
-    return Dom(tokens, elements, texts)
+    return Dom(tokens, elements, texts, page_text_arrays(arrays), base)
 
 
 def page_texts(tokens: DataFrame) -> DataFrame:
@@ -256,7 +288,7 @@ def with_text_parts(sel: DataFrame, dom: Dom, col: str = "parts", first_only: bo
     joined 1:1 on ``page_id`` and sliced, so the cost is proportional to the
     output, not to elements x texts.
     """
-    pt = page_texts(dom.tokens)
+    pt = dom.page_texts()
     n = F.col("end_tc") - F.col("start_tc") - 1
     parts = F.filter(F.slice("txt", F.col("start_tc") + 2, F.greatest(n, F.lit(0))), lambda x: x.isNotNull())
     parts = F.when(n > 0, parts if not first_only else F.slice(parts, 1, 1)) \

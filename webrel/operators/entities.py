@@ -66,7 +66,7 @@ def _inner_text(parts: Column) -> Column:
 
 def org_cards(dom: D.Dom) -> DataFrame:
     """Result cards; per page only the first selector that yields a card."""
-    e = dom.elements
+    e = dom.el
     for i, s in enumerate(CARD_SELECTORS):
         e = flag(e, s, f"_c{i}")
     e = flag(e, "a[href*='/company/']", "_lnk")
@@ -112,7 +112,7 @@ def org_cards(dom: D.Dom) -> DataFrame:
 def org_details(dom: D.Dom) -> DataFrame:
     """``dl`` details (each dt -> the next dt/dd element's text) with
     the Spanish aliases."""
-    e = dom.elements.filter(F.col("tag").isin("dt", "dd"))
+    e = dom.el.filter(F.col("tag").isin("dt", "dd"))
     e = P.deep_parts(dom, e.select("page_id", "start", "tag", "start_tc", "end_tc"))
     e = e.withColumn("t", _inner_text(F.col("parts")))
     w = Window.partitionBy("page_id").orderBy("start")

@@ -23,7 +23,7 @@ from webrel.session import checkpoint_dir
 def edges(dom: D.Dom, pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Every anchor occurrence -> (page_id, pos, href, url, internal)."""
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("page_url"))
-    a = dom.elements.filter(F.col("tag") == "a").select(
+    a = dom.el.filter(F.col("tag") == "a").select(
         "page_id", F.col("start").alias("pos"), F.coalesce(F.col("attrs")["href"], F.lit("")).alias("href"))
     e = a.join(src, "page_id").withColumn("url", U.normalize_link(F.col("page_url"), F.col("href")))
     e = e.filter(F.col("url").isNotNull())
@@ -162,7 +162,7 @@ def pagination_chain(dom: D.Dom, pages: DataFrame, seeds: DataFrame, selector: s
     """Follow the first element matching ``selector`` (with href) from
     each seed; the same BFS loop over a one-out-edge graph."""
     from webrel.operators.select import flag
-    e = flag(dom.elements, selector, "_nx").filter(F.col("_nx") & F.col("attrs")["href"].isNotNull())
+    e = flag(dom.el, selector, "_nx").filter(F.col("_nx") & F.col("attrs")["href"].isNotNull())
     first = e.groupBy("page_id").agg(F.min_by(F.col("attrs")["href"], F.col("start")).alias("href"))
     src = pages.select("page_id", F.col("url").alias("page_url"))
     nxt = first.join(src, "page_id").withColumn("dst", U.normalize_link(F.col("page_url"), F.col("href")))

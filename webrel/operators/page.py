@@ -29,7 +29,7 @@ def _empty():
 
 
 def _sel(dom: D.Dom, tags: list[str] | None = None) -> DataFrame:
-    e = dom.elements
+    e = dom.el
     return e.filter(F.col("tag").isin(tags)) if tags else e
 
 
@@ -62,7 +62,7 @@ def headings(dom: D.Dom, levels=("h1", "h2", "h3", "h4")) -> DataFrame:
 
 def paragraphs(dom: D.Dom, min_len: int = 20) -> DataFrame:
     """own text nodes of ``p``, stripped, longer than ``min_len``."""
-    p = dom.elements.filter(F.col("tag") == "p").select("page_id", F.col("start").alias("parent_start"))
+    p = dom.el.filter(F.col("tag") == "p").select("page_id", F.col("start").alias("parent_start"))
     t = dom.texts.join(p, ["page_id", "parent_start"], "left_semi")
     t = t.select("page_id", "pos", pystrip(F.col("text")).alias("text"))
     return t.filter(F.length("text") > min_len)
@@ -70,14 +70,14 @@ def paragraphs(dom: D.Dom, min_len: int = 20) -> DataFrame:
 
 def links(dom: D.Dom) -> DataFrame:
     """anchors with href; text = all descendant text joined by space."""
-    a = dom.elements.filter((F.col("tag") == "a") & (F.coalesce(F.col("attrs")["href"], F.lit("")) != ""))
+    a = dom.el.filter((F.col("tag") == "a") & (F.coalesce(F.col("attrs")["href"], F.lit("")) != ""))
     a = deep_parts(dom, a.select("page_id", "start", "start_tc", "end_tc", F.col("attrs")["href"].alias("href")))
     return a.select("page_id", "start", join_strip(F.col("parts")).alias("text"), "href")
 
 
 def navigation(dom: D.Dom) -> DataFrame:
     """anchors inside nav/header/[class*=nav]/[class*=menu], href and text."""
-    e = flag(dom.elements, NAV_SEL, "is_nav").filter("is_nav")
+    e = flag(dom.el, NAV_SEL, "is_nav").filter("is_nav")
     e = e.filter(F.coalesce(F.col("attrs")["href"], F.lit("")) != "")
     e = deep_parts(dom, e.select("page_id", "start", "start_tc", "end_tc", F.col("attrs")["href"].alias("href")))
     e = e.select("page_id", "start", join_strip(F.col("parts")).alias("text"), "href")
@@ -86,7 +86,7 @@ def navigation(dom: D.Dom) -> DataFrame:
 
 def links_first_text(dom: D.Dom) -> DataFrame:
     """Anchors with href; text = first text node (stripped), href stripped."""
-    a = dom.elements.filter((F.col("tag") == "a") & (F.coalesce(F.col("attrs")["href"], F.lit("")) != ""))
+    a = dom.el.filter((F.col("tag") == "a") & (F.coalesce(F.col("attrs")["href"], F.lit("")) != ""))
     a = D.with_text_parts(a.select("page_id", "start", "start_tc", "end_tc",
                                    F.col("attrs")["href"].alias("href")), dom, first_only=True)
     return a.select("page_id", "start", F.coalesce(pystrip(F.try_element_at("parts", F.lit(1))), F.lit("")).alias("text"),
@@ -101,7 +101,7 @@ def page_text(dom: D.Dom) -> DataFrame:
 def body_texts(dom: D.Dom) -> DataFrame:
     """``body *::text`` - text nodes inside body but not directly under it."""
     w = Window.partitionBy("page_id").orderBy("start")
-    body = (dom.elements.filter(F.col("tag") == "body").withColumn("_n", F.row_number().over(w))
+    body = (dom.el.filter(F.col("tag") == "body").withColumn("_n", F.row_number().over(w))
             .filter("_n = 1").select("page_id", F.col("start").alias("b_start"),
                                      F.col("start_tc").alias("b_lo"), F.col("end_tc").alias("b_hi")))
     t = dom.texts.join(body, "page_id")
@@ -121,7 +121,7 @@ def full_text(dom: D.Dom) -> DataFrame:
 
 def json_ld(dom: D.Dom) -> DataFrame:
     """``script[type=application/ld+json]`` bodies that parse; empty skipped."""
-    s = dom.elements.filter((F.col("tag") == "script") & (F.col("attrs")["type"] == "application/ld+json"))
+    s = dom.el.filter((F.col("tag") == "script") & (F.col("attrs")["type"] == "application/ld+json"))
     s = deep_parts(dom, s.select("page_id", "start", "start_tc", "end_tc"))
     s = s.select("page_id", "start", pystrip(F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(""))).alias("body"))
     s = s.filter(F.col("body") != "").withColumn("doc", F.try_parse_json("body"))
@@ -132,7 +132,7 @@ def images(dom: D.Dom, lazy_attrs=("data-src", "data-lazy-src")) -> DataFrame:
     """F08 (X11 with ``lazy_attrs=('data-src',)`` and stripping): img src fall-backs."""
     a = F.col("attrs")
     src = F.coalesce(F.nullif(a["src"], F.lit("")), *[F.nullif(a[x], F.lit("")) for x in lazy_attrs])
-    i = dom.elements.filter(F.col("tag") == "img").select(
+    i = dom.el.filter(F.col("tag") == "img").select(
         "page_id", "start", F.coalesce(src, F.lit("")).alias("src"), F.coalesce(a["alt"], F.lit("")).alias("alt"))
     return i.filter(F.col("src") != "")
 
@@ -145,7 +145,7 @@ def images_basic(dom: D.Dom) -> DataFrame:
 
 def forms(dom: D.Dom) -> tuple[DataFrame, DataFrame]:
     """forms (action, method default get) and their fields."""
-    e = flag(dom.elements, "form", "is_form")
+    e = flag(dom.el, "form", "is_form")
     f = e.filter("is_form").select("page_id", F.col("start").alias("form_start"),
                                    F.coalesce(F.col("attrs")["action"], F.lit("")).alias("action"),
                                    F.coalesce(F.col("attrs")["method"], F.lit("get")).alias("method"))
@@ -162,7 +162,7 @@ def forms(dom: D.Dom) -> tuple[DataFrame, DataFrame]:
 
 def buttons(dom: D.Dom) -> DataFrame:
     """buttons and call-to-action elements with text."""
-    e = flag(dom.elements, BUTTON_SEL, "is_btn").filter("is_btn")
+    e = flag(dom.el, BUTTON_SEL, "is_btn").filter("is_btn")
     e = deep_parts(dom, e.select("page_id", "start", "start_tc", "end_tc",
                                  F.coalesce(F.col("attrs")["href"], F.lit("")).alias("href")))
     e = e.select("page_id", "start", join_strip(F.col("parts")).alias("text"), "href")
@@ -175,14 +175,14 @@ def social_links(dom: D.Dom) -> DataFrame:
     platform = F.lit(None)
     for p in reversed(SOCIAL_PATTERNS):
         platform = F.when(href.contains(p), F.lit(p)).otherwise(platform)
-    a = dom.elements.filter(F.col("tag") == "a").withColumn("platform", platform).filter(F.col("platform").isNotNull())
+    a = dom.el.filter(F.col("tag") == "a").withColumn("platform", platform).filter(F.col("platform").isNotNull())
     a = deep_parts(dom, a.select("page_id", "start", "start_tc", "end_tc", "platform", href.alias("href")))
     return a.select("page_id", "start", "platform", "href", join_strip(F.col("parts")).alias("text"))
 
 
 def page_meta(dom: D.Dom) -> DataFrame:
     """Title + meta description / og tags + canonical; missing -> ''."""
-    e = dom.elements
+    e = dom.el
     a = F.col("attrs")
 
     def first(pred: Column, val: Column, name: str) -> Column:
@@ -208,7 +208,7 @@ def page_meta(dom: D.Dom) -> DataFrame:
 def sections(dom: D.Dom) -> tuple[DataFrame, DataFrame]:
     """section-like blocks: heading = first h1-h3 inside (or self),
     content = own text of p/span/li inside; blocks without content dropped."""
-    e = flag(dom.elements, SECTION_SEL, "is_sec")
+    e = flag(dom.el, SECTION_SEL, "is_sec")
     e = e.withColumn("is_h", F.col("tag").isin("h1", "h2", "h3"))
     e = first_match(e, "is_sec", "is_h", "h_start")
     secs = e.filter("is_sec").select("page_id", "start", "end", "start_tc", "end_tc", "h_start")
@@ -216,7 +216,7 @@ def sections(dom: D.Dom) -> tuple[DataFrame, DataFrame]:
     hs = hs.select("page_id", F.col("start").alias("h_start"), join_strip(F.col("parts")).alias("heading"))
     secs = secs.join(hs, ["page_id", "h_start"], "left").withColumn("heading", F.coalesce("heading", F.lit("")))
     # content: own text of p/span/li whose parent lies inside the section (or is it)
-    holders = dom.elements.filter(F.col("tag").isin("p", "span", "li")).select(
+    holders = dom.el.filter(F.col("tag").isin("p", "span", "li")).select(
         "page_id", F.col("start").alias("parent_start"))
     t = dom.texts.join(holders, ["page_id", "parent_start"], "left_semi").select(
         "page_id", "tidx", "parent_start", pystrip(F.col("text")).alias("text")).filter(F.col("text") != "")
@@ -238,7 +238,7 @@ def tables(dom: D.Dom) -> DataFrame:
     Output: page_id, table_start, row_no (0 = header), col_no, text.
     Rows are ``tr`` with or without ``tbody`` (decision Q10).
     """
-    e = dom.elements
+    e = dom.el
     w = Window.partitionBy("page_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     e = (e.withColumn("_t", F.max(F.when(F.col("tag") == "table", F.struct("start", "end"))).over(w))
           .withColumn("_r", F.max(F.when(F.col("tag") == "tr", F.struct("start", "end"))).over(w)))
@@ -281,7 +281,7 @@ def table_rows(dom: D.Dom, table_index: int | None = None) -> DataFrame:
 def table_rows_basic(dom: D.Dom) -> DataFrame:
     """First text node per cell; a row whose cell count differs from the
     header count is keyed ``col_0..``."""
-    e = dom.elements
+    e = dom.el
     w = Window.partitionBy("page_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     e = (e.withColumn("_t", F.max(F.when(F.col("tag") == "table", F.struct("start", "end"))).over(w))
           .withColumn("_r", F.max(F.when(F.col("tag") == "tr", F.struct("start", "end"))).over(w)))

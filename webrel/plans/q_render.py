@@ -209,3 +209,15 @@ UNION ALL
 SELECT o_custkey::BIGINT AS page_id, printf('%.2f', mx) AS number, 'Total spent' AS label FROM g
 """)(lambda spark, sf: B.key_stats(D.parse(R.stat_pages(table(spark, sf, "orders")))).select(
     _pid(), "number", "label"))
+
+
+# --- B15 price values (ours): money text -> DECIMAL + currency ---------------------------
+def _price_values(spark, sf):
+    p = B.pricing(_part_dom(spark, sf)).select("page_id", F.explode("prices_found").alias("price"))
+    v = p.select(_pid(), "price", B.price_value(F.col("price")).alias("v"))
+    return v.select("page_id", "price", F.col("v.amount").cast("string").alias("amount"), F.col("v.currency").alias("currency"))
+
+
+register("price_values", f"""
+SELECT p_partkey::BIGINT AS page_id, {PRICE} AS price, printf('%.2f', p_retailprice) AS amount, 'USD' AS currency
+FROM part""")(_price_values)
