@@ -18,6 +18,7 @@ from webrel.functions import urls as U
 from webrel.operators import dom as D
 from webrel.operators import page as P
 from webrel.operators.select import first_match, first_matches, flag
+from webrel.session import checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 # Result-card selectors, tried in this order; the first with output wins.
@@ -348,3 +349,92 @@ def employees_of(people: DataFrame, org_value, role: str | None = None, org_col:
     if role:
         p = p.filter(F.lower(F.col(title_col)).contains(role.lower()))
     return p.select(F.col(id_col).alias(id_col), F.col(name_col).alias("name"), F.col(title_col).alias("title"))
+
+
+# Link scan (E02 / E04 strategy 2) ----------------------------------------------------
+_INLINE = {"company": ["span", "a", "b", "em", "strong", "i"], "in": ["span", "a", "b", "em"]}
+_SKIP_UI = {"company": UI_LABELS, "in": ["Conectar", "Connect", "Seguir", "Follow", "Mensaje", "Message",
+                                          "Pending", "·", "•"]}
+_LIMITS = {"company": (120, 100), "in": (80, 120)}  # max name length, max leaf length (exclusive)
+
+
+def link_scan(dom: D.Dom, kind: str = "company") -> DataFrame:
+    """E02 / E04 fallback: ``/company/`` (or ``/in/``) links in the main
+    content, outside nav/header/footer (and aside for people): canonical URL,
+    name (aria text, else link text), and the first two distinct leaf texts of
+    the link's container (closest li, else closest div[class], else parent).
+    Leaves are the container's nearest descendants span/div/p whose element
+    children are inline only."""
+    from webrel.operators.select import nearest_ancestor
+    e = dom.elements
+    excl = "nav a, header a, footer a" + (", aside a" if kind == "in" else "")
+    e = flag(e, f"a[href*='/{kind}/']", "_lnk").transform(lambda d: flag(d, excl, "_out"))
+    e = flag(e, ".scaffold-layout__main", "_r1").transform(lambda d: flag(d, "main", "_r2")) \
+        .transform(lambda d: flag(d, "body", "_r3"))
+    e = flag(e, "span[aria-hidden]", "_aria")
+    e = first_matches(e, "_lnk", {"_aria": "aria_start"})
+    e = e.withColumn("_li", F.col("tag") == "li").withColumn("_dc", (F.col("tag") == "div") & F.col("attrs")["class"]
+                                                              .isNotNull())
+    e = nearest_ancestor(e, "_li", "li_anc").transform(lambda d: nearest_ancestor(d, "_dc", "dc_anc"))
+    # e feeds six branches below: write it once to the shared checkpoint folder
+    # instead of re-deriving the DOM and ancestor windows per branch
+    checkpoint_dir(e.sparkSession)
+    e = e.checkpoint(eager=True)
+    # root element per page: first .scaffold-layout__main, else first main, else body
+    roots = e.groupBy("page_id").agg(
+        F.coalesce(F.min_by(F.when(F.col("_r1"), F.struct("start", "end")), F.when(F.col("_r1"), F.col("start"))),
+                   F.min_by(F.when(F.col("_r2"), F.struct("start", "end")), F.when(F.col("_r2"), F.col("start"))),
+                   F.min_by(F.when(F.col("_r3"), F.struct("start", "end")), F.when(F.col("_r3"), F.col("start"))))
+        .alias("root"))
+    txt = P.deep_parts(dom, e.select("page_id", "start", "start_tc", "end_tc")).select(
+        "page_id", "start", _inner_text(F.col("parts")).alias("t"))
+    href = F.col("attrs")["href"]
+    url = base_company_url(href) if kind == "company" else F.regexp_replace(F.split(href, r"\?")[0], "/$", "")
+    links = (e.filter(F.col("_lnk") & ~F.col("_out")).join(roots, "page_id")
+             .filter((F.col("start") > F.col("root.start")) & (F.col("start") < F.col("root.end")))
+             .select("page_id", "start", url.alias("url"), "aria_start", "li_anc", "dc_anc", "parent_start"))
+    if kind == "in":
+        tail = F.regexp_replace(F.col("url"), r".*/in/[^/]+", "")
+        links = links.filter(~F.col("url").endswith("/messaging") & ~F.col("url").contains("/in/undefined")
+                             & (F.length(tail) <= 1))
+    links = links.filter(F.col("url") != "")
+    links = dedupe_entities(links, ["url"], "start")
+    links = (links.join(txt.select("page_id", F.col("start").alias("aria_start"), F.col("t").alias("aria_t")),
+                        ["page_id", "aria_start"], "left")
+             .join(txt.select("page_id", "start", F.col("t").alias("link_t")), ["page_id", "start"], "left"))
+    max_name, max_leaf = _LIMITS[kind]
+    links = links.withColumn("name", F.coalesce(F.nullif(F.coalesce("aria_t", "link_t"), F.lit("")), F.lit("")))
+    links = links.filter((F.length("name") >= 2) & (F.length("name") <= max_name))
+    links = links.withColumn("container", F.coalesce("li_anc", "dc_anc", "parent_start"))
+    # leaf candidates: span/div/p with inline-only element children, nearest container ancestor
+    inline = _INLINE[kind]
+    block_kids = (e.filter(~F.col("tag").isin(inline)).groupBy("page_id", F.col("parent_start").alias("start"))
+                  .agg(F.count("*").alias("_bk")))
+    used = links.select("page_id", F.col("container").alias("start")).distinct().withColumn("_used", F.lit(True))
+    cand = (e.select("page_id", "start", "end", "tag", "void").join(used, ["page_id", "start"], "left")
+            .withColumn("_used", F.coalesce("_used", F.lit(False))))
+    cand = nearest_ancestor(cand, "_used", "container")
+    leaves = (cand.filter(F.col("tag").isin("span", "div", "p") & F.col("container").isNotNull())
+              .join(block_kids, ["page_id", "start"], "left").filter(F.col("_bk").isNull())
+              .join(txt, ["page_id", "start"]).select("page_id", "container", "start", "t"))
+    skip = F.array(*[F.lit(x) for x in _SKIP_UI[kind]])
+    lv = (links.select("page_id", "container", "name").distinct()
+          .join(leaves, ["page_id", "container"])
+          .filter((F.col("t") != "") & (F.col("t") != F.col("name")) & (F.length("t") > 2)
+                  & (F.length("t") < max_leaf) & ~F.array_contains(skip, F.col("t")) & ~F.col("t").contains("\n"))
+          .groupBy("page_id", "container", "name")
+          .agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("start", "t"))),
+                                            lambda s: s["t"])).alias("leaves")))
+    out = links.join(lv, ["page_id", "container", "name"], "left")
+    a, b = ("industry_size", "location") if kind == "company" else ("headline", "location")
+    return out.select("page_id", "start", "name", "url",
+                      F.coalesce(F.try_element_at("leaves", F.lit(1)), F.lit("")).alias(a),
+                      F.coalesce(F.try_element_at("leaves", F.lit(2)), F.lit("")).alias(b),
+                      F.lit("link_scan" if kind == "company" else "dom_link").alias("source"))
+
+
+def org_search(dom: D.Dom) -> DataFrame:
+    """E01 then E02 for pages without any card (one ``card``/``link_scan`` source per page)."""
+    cards = org_cards(dom)
+    scan = link_scan(dom, "company").join(cards.select("page_id").distinct(), "page_id", "left_anti")
+    return cards.unionByName(scan)

@@ -271,3 +271,31 @@ def first_match(elements: DataFrame, scope_flag: str, target_flag: str, out: str
     df = elements.withColumn(out, nxt)
     return df.withColumn(out, F.when(F.col(scope_flag) & (F.col(out) < F.when(F.col("void"), F.col("start") + 1)
                                                          .otherwise(F.col("end"))), F.col(out)))
+
+
+def nearest_ancestor(elements: DataFrame, flag_col: str, out: str) -> DataFrame:
+    """``closest()`` for every element: start of the nearest strictly enclosing
+    element flagged ``flag_col`` (NULL when none).
+
+    Windows only, and the input is read once (each row carries itself through
+    the explodes): a running count of open flagged elements gives each element
+    the nesting level k of its nearest flagged ancestor, and that ancestor is
+    the last flagged element started before it at level k (partition
+    ``(page_id, level)``), the same two-role trick as parent computation."""
+    f = F.coalesce(F.col(flag_col) & ~F.col("void"), F.lit(False))
+    row = F.struct(*[F.col(c) for c in elements.columns]).alias("_row")
+    ev = elements.select("page_id", "start", f.alias("_f"), row, F.explode(F.array(
+        F.struct(F.col("start").alias("pos"), F.lit(1).alias("ord"), F.when(f, 1).otherwise(0).alias("d")),
+        F.struct(F.col("end").alias("pos"), F.lit(0).alias("ord"), F.when(f, -1).otherwise(0).alias("d"))))
+        .alias("e")).filter((F.col("e.ord") == 1) | F.col("_f"))
+    w = Window.partitionBy("page_id").orderBy("e.pos", "e.ord").rowsBetween(Window.unboundedPreceding,
+                                                                            Window.currentRow)
+    ev = ev.withColumn("open", F.sum("e.d").over(w) - F.col("e.d")).filter(F.col("e.ord") == 1)
+    roles = ev.select("page_id", "start", "_f", "open", "_row", F.explode(
+        F.when(F.col("_f"), F.array(F.lit("p"), F.lit("c"))).otherwise(F.array(F.lit("c")))).alias("as"))
+    roles = roles.withColumn("key", F.when(F.col("as") == "p", F.col("open")).otherwise(F.col("open") - 1))
+    wk = (Window.partitionBy("page_id", "key").orderBy("start", F.col("as").desc())
+          .rowsBetween(Window.unboundedPreceding, -1))
+    anc = roles.withColumn(out, F.last(F.when(F.col("as") == "p", F.col("start")), True).over(wk))
+    anc = anc.filter(F.col("as") == "c").select("_row.*", F.when(F.col("open") > 0, F.col(out)).alias(out))
+    return anc

@@ -221,3 +221,15 @@ def _price_values(spark, sf):
 register("price_values", f"""
 SELECT p_partkey::BIGINT AS page_id, {PRICE} AS price, printf('%.2f', p_retailprice) AS amount, 'USD' AS currency
 FROM part""")(_price_values)
+
+
+# --- E01 + E02 organisation search: cards, link-scan fallback elsewhere --------------------
+register("org_search", """
+SELECT s_suppkey::BIGINT AS page_id, s_name AS name, 'https://www.linkedin.com/company/supplier-' || s_suppkey AS url,
+       CASE WHEN s_suppkey % 2 = 0 THEN 'Wholesale · ' || (s_suppkey % 500 + 11) || ' employees'
+            ELSE s_name || ' Wholesale Follow ' || coalesce(n_name, '') END AS industry_size,
+       CASE WHEN s_suppkey % 2 = 0 THEN coalesce(n_name, '') ELSE 'Wholesale' END AS location,
+       CASE WHEN s_suppkey % 2 = 0 THEN 'card' ELSE 'link_scan' END AS source
+FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+""")(lambda spark, sf: EN.org_search(_supplier_dom(spark, sf)).select(
+    _pid(), "name", "url", "industry_size", "location", "source"))

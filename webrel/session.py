@@ -27,6 +27,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         # DOM relations are all hash-partitioned by page_id; joins on
         # (page_id, start) may reuse that partitioning instead of re-shuffling
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # DOM plans chain many sorts (windows, in-stage sort-merge joins) inside
+        # one stage; small memory pages keep each sorter's reservation low
+        .config("spark.buffer.pageSize", os.environ.get("WEBREL_PAGE_SIZE", "4m"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("WEBREL_DRIVER_MEMORY", "16g"))
