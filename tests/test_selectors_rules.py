@@ -45,3 +45,25 @@ def test_outer_html_and_find(spark):
     assert [(r.tag, r.text) for r in f] == [("li", "three")]
     sel = RU.selector_for(d, "three").collect()[0].selector
     assert sel.endswith("li:nth-of-type(3)")
+
+
+PEOPLE = """<html><body><nav><a href="https://www.linkedin.com/in/navguy">Nav Guy</a></nav><main>
+<ul><li><div class="card"><a href="https://www.linkedin.com/in/ana-p?trk=x"><span aria-hidden="true">Ana P</span></a>
+<span>Director of Ops</span><span>Connect</span><span>Madrid</span></div></li>
+<li><a href="https://www.linkedin.com/in/ana-p/">Ana again</a></li>
+<li><a href="https://www.linkedin.com/in/bo/detail/skills">Bo</a></li>
+<li><a href="https://www.linkedin.com/in/undefined">X</a></li></ul></main></body></html>"""
+
+
+def test_person_link_scan_and_closest(spark):
+    from webrel.operators import entities as EN
+    from webrel.operators.select import flag, nearest_ancestor
+    d = D.parse(html_df(spark, PEOPLE))
+    rows = EN.link_scan(d, "in").collect()
+    assert [(r.name, r.url, r.headline, r.location) for r in rows] == [
+        ("Ana P", "https://www.linkedin.com/in/ana-p", "Director of Ops", "Madrid")]
+    e = flag(d.elements, "li", "_li")
+    anc = nearest_ancestor(e, "_li", "li_anc")
+    spans = anc.filter("tag = 'span'").select("li_anc").distinct().collect()
+    lis = sorted(r.start for r in d.elements.filter("tag = 'li'").collect())
+    assert [r.li_anc for r in spans] == [lis[0]]
