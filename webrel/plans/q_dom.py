@@ -21,11 +21,23 @@ def _w(body: str) -> str:
 
 # --- page_headline (flagship) -----------------------------------------------
 def page_headline_df(dom: D.Dom):
-    t = P.titles(dom)
-    h = P.headings(dom, ("h1",)).groupBy("page_id").agg(F.min_by("text", "start").alias("h1"))
-    n = P.links(dom).groupBy("page_id").agg(F.count("*").alias("n_links"))
-    return (t.join(h, "page_id", "left").join(n, "page_id", "left")
-            .select(big("page_id").alias("page_id"), "title", F.coalesce("h1", F.lit("")).alias("h1"),
+    """Title, first non-empty h1 and link count per page in ONE elements pass:
+    title/h1/a rows, one slice of the page text arrays, one groupBy(page_id).
+    (``title`` holds text only - RCDATA - so its first text node is its own.)"""
+    from webrel.functions.text import pystrip, strip_join
+    e = dom.el.filter(F.col("tag").isin("title", "h1", "a")).select(
+        "page_id", "start", "tag", "start_tc", "end_tc", F.col("attrs")["href"].alias("href"))
+    e = D.with_text_parts(e, dom)
+    h1 = F.when(F.col("tag") == "h1", strip_join(F.col("parts")))
+    ti = F.when(F.col("tag") == "title", pystrip(F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(""))))
+    g = e.groupBy("page_id").agg(
+        F.min_by(ti, F.when(ti.isNotNull(), F.col("start"))).alias("title"),
+        F.min_by(F.when(h1 != "", h1), F.when(h1 != "", F.col("start"))).alias("h1"),
+        F.count_if((F.col("tag") == "a") & (F.coalesce("href", F.lit("")) != "")).alias("n_links"))
+    pages = dom.txt.select("page_id")
+    return (pages.join(g, "page_id", "left")
+            .select(big("page_id").alias("page_id"), F.coalesce("title", F.lit("")).alias("title"),
+                    F.coalesce("h1", F.lit("")).alias("h1"),
                     F.coalesce(big("n_links"), F.lit(0).cast("bigint")).alias("n_links")))
 
 
