@@ -51,31 +51,41 @@ def block_texts(dom: D.Dom, block_sel: str, subs: dict[str, str], attrs_of: dict
     ``<name>_start`` = that element's start.  ``attrs_of`` maps an output
     column to ``sub:attribute`` (value of that attribute on the sub match);
     ``extra_block`` adds more block rows (flag ``_blk`` false, ``_extra`` true).
-    One elements pass, one text pass."""
+
+    One elements pass: every sub match travels as (start, end, attrs) through
+    one backward window, and all texts are slices of the page text array after
+    a single join - no per-sub join, no second DOM derivation."""
     attrs_of = attrs_of or {}
     e = flag(dom.el, block_sel, "_blk")
     e = e.withColumn("_extra", extra_block if extra_block is not None else F.lit(False))
     names = list(subs)
     for n in names:
         e = flag(e, subs[n], f"_s_{n}")
-    if names:
-        e = first_matches(e, "_blk", {f"_s_{n}": f"{n}_start" for n in names})
-    any_flag = F.col("_blk") | F.col("_extra")
-    for n in names:
-        any_flag = any_flag | F.col(f"_s_{n}")
-    needed = e.filter(any_flag).select("page_id", "start", "start_tc", "end_tc", "attrs")
-    txt = P.deep_parts(dom, needed).select("page_id", "start", "attrs",
-                                           TX.strip_join(F.col("parts")).alias("_txt"))
+    w = (Window.partitionBy("page_id").orderBy(F.col("start").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    m = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("attrs").alias("a"))
+    e = e.select("*", *[F.last(F.when(F.col(f"_s_{n}"), m), ignorenulls=True).over(w).alias(f"_m_{n}")
+                        for n in names])
+    limit = F.when(F.col("void"), F.col("start") + 1).otherwise(F.col("end"))
     blocks = e.filter(F.col("_blk") | F.col("_extra")).select(
-        "page_id", "start", "attrs", "_blk", "_extra", *[f"{n}_start" for n in names])
-    blocks = blocks.join(txt.select("page_id", "start", F.col("_txt").alias("text")), ["page_id", "start"], "left")
+        "page_id", "start", "end", "attrs", "_blk", "_extra",
+        *[F.when(F.col(f"_m_{n}.s") < limit, F.col(f"_m_{n}")).alias(f"_m_{n}") for n in names])
+    blocks = blocks.join(dom.page_texts(), "page_id", "left")
+
+    def text(st: Column, en: Column) -> Column:
+        n = en - st - 1
+        parts = F.filter(F.slice("txt", st + 2, F.greatest(n, F.lit(0))), lambda x: x.isNotNull())
+        return F.when(n > 0, TX.strip_join(parts)).otherwise(F.lit(""))
+
+    cols = [F.coalesce(text(F.col("start"), F.col("end")), F.lit("")).alias("text")]
     for n in names:
-        cols = [F.col("_txt").alias(n)]
-        cols += [F.col("attrs")[a.split(":")[1]].alias(out) for out, a in attrs_of.items() if a.split(":")[0] == n]
-        t = txt.select("page_id", F.col("start").alias(f"{n}_start"), *cols)
-        blocks = blocks.join(t, ["page_id", f"{n}_start"], "left")
-        blocks = blocks.withColumn(n, F.coalesce(F.col(n), F.lit("")))
-    return blocks.withColumn("text", F.coalesce("text", F.lit("")))
+        mm = F.col(f"_m_{n}")
+        cols.append(F.coalesce(text(mm["s"], mm["e"]), F.lit("")).alias(n))
+        cols.append(mm["s"].alias(f"{n}_start"))
+    for out, spec in attrs_of.items():
+        sub, attr = spec.split(":")
+        cols.append(F.col(f"_m_{sub}")["a"][attr].alias(out))
+    return blocks.select("page_id", "start", "attrs", "_blk", "_extra", *cols)
 
 
 def dedupe_keep_first(df: DataFrame, key: str, order: str, by: list[str] | None = None) -> DataFrame:
