@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrel.llm import bpe, exact, mixing
+from webrel.llm import bpe, exact, mixing, toxicity, warc
 from webrel.llm.common import table
 
 QUERIES: dict = {}
@@ -32,6 +32,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = toxicity.held_out()
+    model = toxicity.fit(docs, labels.where(~held))
+    out = docs.select("doc_id", held.alias("held_out"), toxicity.score(spark, model, "text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @register("op3_mixing", r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -72,3 +81,21 @@ FROM d JOIN g USING (norm)
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@register("op7_warc", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS h, html FROM p),
+g AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 8), lambda k: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 5 * k::INT, 5))::INT >> s) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d JOIN g USING (html)
+""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = warc.read(spark, warc.archive(table(spark, sf_dir, "pages"), min_bytes=0))
+    return chunks.where("last").select(
+        F.col("id").cast("long").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("refers_id").cast("long").alias("refers_to"))
