@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrel.llm import bpe, exact, mixing, toxicity, warc
+from webrel.llm import bpe, exact, mixing, topk, toxicity, warc
 from webrel.llm.common import table
 
 QUERIES: dict = {}
@@ -99,3 +99,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.where("last").select(
         F.col("id").cast("long").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("refers_id").cast("long").alias("refers_to"))
+
+
+@register("op10_topk", r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_inner_product(q.vec::DOUBLE[], c.vec::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
