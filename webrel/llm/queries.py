@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrel.llm import bpe, exact, mixing, topk, toxicity, warc
+from webrel.llm import bpe, exact, mainpage, mixing, topk, toxicity, warc
 from webrel.llm.common import table
 
 QUERIES: dict = {}
@@ -114,3 +114,9 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """)
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op9_mainpage")
+def op9_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainpage.extract(table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
