@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrel.llm import bpe, exact, mainpage, mixing, topk, toxicity, warc
+from webrel.llm import bpe, exact, mainpage, minhash, mixing, topk, toxicity, warc
 from webrel.llm.common import table
 
 QUERIES: dict = {}
@@ -120,3 +120,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpage.extract(table(spark, sf_dir, "pages")).select(
         F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@register("op6_minhash")
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "class_size")
