@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrel.llm import bpe, exact, mainpage, minhash, mixing, topk, toxicity, warc
+from webrel.llm import bpe, exact, lines, mainpage, minhash, mixing, topk, toxicity, warc
 from webrel.llm.common import table
 
 QUERIES: dict = {}
@@ -125,3 +125,28 @@ def op9_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_minhash")
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
+@register("op8_lines", r"""
+WITH o AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS no, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+d AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS pos FROM o WHERE trim(line) <> '' GROUP BY line),
+w AS (SELECT line, pos, string_split(line, ' ') AS w FROM d),
+v AS (SELECT line, pos, w, generate_subscripts(w, 1) AS i, len(w) AS n FROM w WHERE len(w) >= 8),
+g AS (SELECT line, pos, i, n, list_concat(w[:i - 1], w[i + 1:]) AS rest FROM v),
+near AS (
+  SELECT a.line FROM g a JOIN g b ON a.n = b.n AND a.i = b.i AND a.rest = b.rest AND b.pos < a.pos
+  UNION SELECT a.line FROM g a JOIN w b ON a.n - 1 >= 8 AND a.rest = b.w AND b.pos < a.pos
+  UNION SELECT b.line FROM g a JOIN w b ON a.n - 1 >= 8 AND a.rest = b.w AND a.pos < b.pos),
+k AS (SELECT o.doc_id, o.no, o.line,
+             d.pos IS NOT NULL AND (d.pos <> struct_pack(d := o.doc_id, n := o.no) OR o.line IN (SELECT line FROM near)) AS gone
+      FROM o LEFT JOIN d ON o.line = d.line)
+SELECT t.doc_id, CASE WHEN coalesce(t.text, '') = '' THEN 0 ELSE count(k.no) END::BIGINT AS n_lines,
+       count(k.no) FILTER (k.gone)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.no) FILTER (NOT k.gone), '')) AS kept_sha256
+FROM documents t LEFT JOIN k USING (doc_id) GROUP BY t.doc_id, t.text
+""")
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
