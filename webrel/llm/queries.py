@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrel.llm import bpe, exact, lines, mainpage, minhash, mixing, topk, toxicity, warc
+from webrel.llm import bpe, exact, lines, mainpage, minhash, mixing, repeats, topk, toxicity, warc
 from webrel.llm.common import table
 
 QUERIES: dict = {}
@@ -150,3 +150,11 @@ FROM documents t LEFT JOIN k USING (doc_id) GROUP BY t.doc_id, t.text
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op2_repeats")
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
