@@ -195,3 +195,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     first = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("rid").alias("rid")))
     of_class = out.groupBy("label").agg(first.alias("first"), F.count("*").alias("class_size"))
     return out.join(of_class, "label").select("rid", "id", F.col("first.id").alias("class_id"), F.col("first.rid").alias("class_rid"), "class_size")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one document of each class, the one with the smallest id (of rows
+    that repeat id and text, the smallest row); same columns."""
+    kept = classes(docs, id_col, text_col, **how).select(F.col("class_rid").alias("rid")).distinct()
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), row_key(id_col, text_col))
+    return rows.join(kept, "rid").groupBy("rid").agg(F.min("row").alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -25,9 +25,8 @@ shared by weight among the rest, which is the water level found from the sorted
 ratios of size and weight (a table of one row per source).
 
 Defined results: null text has 0 words; documents of 0 words are never taken; a
-null source is a source of its own; rows that repeat id and text lie next to
-each other in the order and are taken together at the cut; an empty table gives
-no rows.  The order depends on ids and texts only, so reruns agree.
+null source is a source of its own; rows that repeat id and text share one place
+in the order, so they are taken alike; an empty table gives no rows.  The order depends on ids and texts only, so reruns agree.
 """
 
 from __future__ import annotations
@@ -80,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap, weights)
     per = per.join(goal, per["source"].eqNullSafe(goal["source"])).select(
         per["source"], "bucket", "words_before", "source_size", "target", "place")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", F.col("id").asc_nulls_last(), "rid").rowsBetween(
+    inside = Window.partitionBy("source", "bucket").orderBy("h", F.col("id").asc_nulls_last(), "rid").rangeBetween(
         Window.unboundedPreceding, 0)
     queue = sized.withColumn("upto", F.sum("size").over(inside))
     queue = (queue.join(per, queue["source"].eqNullSafe(per["source"]) & (queue["bucket"] == per["bucket"]))
@@ -117,3 +116,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             taken.append((F.col("size") > 0) & ((here < cut["slot"]) | ((here == cut["slot"]) & at_edge)))
     n = sum((F.when(t, 1).otherwise(0) for t in taken[1:]), F.when(taken[0], 1).otherwise(0))
     return queue.select("rid", "id", "source", "size", "source_size", "target", n.cast("int").alias("copies"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          cap: int = CAP, weights: tuple = WEIGHTS, seed: str = "mix") -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    took = mix(docs, id_col, text_col, source_col, cap, weights, seed).where("copies > 0").select("rid", "source", "copies").distinct()
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), row_key(id_col, text_col))
+    out = (rows.join(took, (rows["rid"] == took["rid"]) & rows["row"][source_col].eqNullSafe(took["source"]))
+           .select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
