@@ -146,6 +146,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     queries = ints.where("is_query").select("id", "vec", "dim").distinct()
 
     def search(q: DataFrame) -> DataFrame:
+        q = q.select(*[F.col(c).alias(c) for c in ("id", "vec", "dim", "shard", "least")])   # columns of its own
         return (data.groupBy("dim", "shard").cogroup(q.groupBy("dim", "shard")).applyInArrow(_shard(k), schema))
 
     def best(found: DataFrame) -> DataFrame:
