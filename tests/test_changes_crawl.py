@@ -61,3 +61,35 @@ def test_bfs_equals_queue(spark):
         assert got == exp
     ranks = sorted(r.rank for r in out if r.site == out[0].site)
     assert ranks == list(range(1, len(ranks) + 1))
+
+
+def test_ranks_are_dense_for_two_million_rows_of_one_key(spark):
+    n = 2_000_000
+    rows = spark.range(n).select(F.lit("s").alias("site"), F.xxhash64("id").alias("o"), F.col("id").alias("payload"),
+                                 F.concat(F.lit("http://s/"), F.col("id")).alias("url"))
+    got = G.rank_within(rows, "site", ["o", "payload"], "rank").select("rank", "payload", "url", "o")
+    r = got.agg(F.countDistinct("rank"), F.min("rank"), F.max("rank"), F.countDistinct("payload"), F.max(F.length("url"))).first()
+    assert tuple(r)[:4] == (n, 1, n, n)
+    steps = got.select("rank", F.col("o").alias("a")).join(got.select((F.col("rank") - 1).alias("rank"), F.col("o").alias("b")), "rank")
+    assert steps.where("a > b").count() == 0
+
+
+def test_chain_of_more_than_thousand_pages(spark):
+    e = spark.range(1500).select(F.lit("s").alias("site"), F.concat(F.lit("p"), F.col("id")).alias("src"),
+                                 F.concat(F.lit("p"), F.col("id") + 1).alias("dst"))
+    e = e.unionByName(spark.createDataFrame([("s", "p1500", "p700")], "site string, src string, dst string"))
+    seeds = spark.createDataFrame([("s", "p0"), ("t", "alone")], "site string, url string")
+    got = {r.url: r for r in G.follow(seeds, e).collect()}
+    assert len(got) == 1502 and all(got[f"p{k}"].rank == k + 1 for k in range(1501))
+    assert got["p1500"].parent == "p1499" and got["alone"].rank == 1 and got["p7"].seed == "p0"
+    assert max(r.rank for r in G.follow(seeds, e, max_pages=1203).collect()) == 1203
+
+
+def test_levels_end_only_when_nothing_new_is_reached(spark):
+    e = spark.range(12).select(F.lit("s").alias("site"), F.concat(F.lit("p"), F.col("id")).alias("src"), F.lit(0).alias("pos"),
+                               F.concat(F.lit("p"), F.col("id") + 1).alias("dst"))
+    seeds = spark.createDataFrame([("s", "p0")], "site string, url string")
+    v = G.bfs(seeds, e)
+    assert {r.url: (r.rank, r.bfs_depth) for r in v.collect()} == {f"p{k}": (k + 1, k) for k in range(13)}
+    assert dict(v.dtypes)["rank"] == "bigint"
+    assert G.bfs(seeds, e, max_pages=5).count() == 5

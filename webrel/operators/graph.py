@@ -5,19 +5,21 @@
 over that edge table: all seeds advance together, one join per level, the
 visit rank of a newly reached URL is ``max rank so far + row_number`` ordered
 by (parent rank, link position) - exactly the order a queue would pop them.
-Each level's visited set is cut from its lineage with ``checkpoint()`` in the
-session's shared checkpoint directory.
+Edges are written once, and each level once, to the session's shared checkpoint
+directory.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webrel.functions import urls as U
 from webrel.operators import dom as D
 from webrel.operators import page as P
-from webrel.session import checkpoint_dir
+from webrel.session import checkpoint_dir, written
 
 
 def edges(dom: D.Dom, pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -36,66 +38,100 @@ def dangling(edges_df: DataFrame, pages: DataFrame, url_col: str = "url") -> Dat
     return edges_df.filter("internal").join(known, "url", "left_anti")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def rank_within(df: DataFrame, key: str, order: list[str], out: str = "rn") -> DataFrame:
+def rank_within(df: DataFrame, key: str, order: list[str], out: str = "rn", base: DataFrame | None = None) -> DataFrame:
     """``row_number() over (partition by key order by order)`` without putting a
     hot key into one task: range-partition on (key, order) so a big key spans
-    several partitions, number rows inside each partition, and add the row
-    counts of the key's earlier partitions (a table of at most
-    partitions-per-key rows per key).  ``order`` must be a total order."""
+    several partitions, write the sorted rows once, and add the row counts of the
+    key's earlier partitions (a table of at most partitions-per-key rows per key).
+    The counts are taken from the written rows: a second evaluation could draw other
+    range bounds.  ``order`` must be a total order; ``base(key, base)`` is added to
+    the numbers of a key through that small table."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")),
             df.sparkSession.sparkContext.defaultParallelism)
-    s = (df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    s = written(df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+                .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     cnt = s.groupBy(key, "_pid").agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    cnt = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (s.join(cnt.select(key, "_pid", "_off", "_m0"), [key, "_pid"])
+    off = F.coalesce(F.sum("_n").over(w), F.lit(0))
+    if base is not None:
+        cnt = cnt.join(base, key, "left")
+        off = off + F.coalesce("base", F.lit(0))
+    cnt = cnt.select(key, "_pid", off.alias("_off"), "_m0")
+    return (s.join(cnt, [key, "_pid"])
             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
             .drop("_pid", "_mid", "_off", "_m0"))
 
 
-def bfs(seeds: DataFrame, edge_df: DataFrame, max_pages: int = 0, max_levels: int = 1000) -> DataFrame:
-    """FIFO crawl order from each seed.
+_VISITED = "site string, url string, rank bigint, parent string, bfs_depth int, seed string"
+
+
+def _start(seeds: DataFrame) -> DataFrame:
+    return seeds.select("site", "url", F.lit(1).cast("long").alias("rank"), F.lit(None).cast("string").alias("parent"),
+                        F.lit(0).alias("bfs_depth"), F.col("url").alias("seed"))
+
+
+def bfs(seeds: DataFrame, edge_df: DataFrame, max_pages: int = 0) -> DataFrame:
+    """FIFO crawl order from each seed, until no new page is reached.
 
     seeds(site, url)             one start URL per site (normalised by caller, Q19)
     edge_df(site, src, pos, dst) internal link occurrences; pages absent from the
                                  table simply have no out-edges
-    returns visited(site, url, rank, parent, bfs_depth): rank 1 = seed, ranks
+    returns visited(site, url, rank, parent, bfs_depth, seed): rank 1 = seed, ranks
     dense per site; with ``max_pages`` > 0 only ranks <= max_pages are kept
     (failed pages count, as in the reference).
+
+    The edge table is written once (pages are not parsed again for each level) and
+    every level is appended to one folder of the shared directory, so neither the
+    plan nor what a level rewrites grows with the number of levels.
     """
-    visited = seeds.select("site", "url", F.lit(1).alias("rank"), F.lit(None).cast("string").alias("parent"),
-                           F.lit(0).alias("bfs_depth"))
-    visited = _cut(visited)
-    frontier = visited
+    spark = seeds.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/webrel-bfs-{uuid.uuid4().hex}"
+    out = edge_df.select("site", "src", "pos", "dst")
+    _start(seeds).write.parquet(f"{path}/level-0")
     level = 0
-    while level < max_levels:
+    while True:
+        visited = spark.read.schema(_VISITED).parquet(f"{path}/level-*")
+        frontier = spark.read.schema(_VISITED).parquet(f"{path}/level-{level}")
         level += 1
         # candidates: out-links of the frontier, earliest (parent rank, link pos) per target
-        cand = (frontier.select("site", F.col("url").alias("src"), F.col("rank").alias("src_rank"))
-                .join(edge_df.select("site", "src", "pos", "dst"), ["site", "src"])
-                .groupBy("site", "dst")
-                .agg(F.min(F.struct("src_rank", "pos", "src")).alias("k")))
+        cand = (frontier.select("site", F.col("url").alias("src"), F.col("rank").alias("src_rank"), "seed")
+                .join(out, ["site", "src"]).groupBy("site", "dst")
+                .agg(F.min(F.struct("src_rank", "pos", "src")).alias("k"), F.min("seed").alias("seed")))
         cand = cand.join(visited.select("site", F.col("url").alias("dst")), ["site", "dst"], "left_anti")
-        top = visited.groupBy("site").agg(F.max("rank").alias("top"))
-        cand = cand.select("site", "dst", "k", F.col("k.src_rank").alias("_r"), F.col("k.pos").alias("_p"))
-        new = (rank_within(cand, "site", ["_r", "_p", "dst"]).join(top, "site")
-               .withColumn("rank", (F.col("top") + F.col("rn")).cast("int"))
-               .select("site", F.col("dst").alias("url"), "rank", F.col("k.src").alias("parent"),
-                       F.lit(level).alias("bfs_depth")))
+        top = visited.groupBy("site").agg(F.max("rank").alias("base"))
+        cand = cand.select("site", "dst", "k", "seed", F.col("k.src_rank").alias("_r"), F.col("k.pos").alias("_p"))
+        new = rank_within(cand, "site", ["_r", "_p", "dst"], "rank", top).select(
+            "site", F.col("dst").alias("url"), "rank", F.col("k.src").alias("parent"), F.lit(level).alias("bfs_depth"), "seed")
+        if max_pages > 0:
+            new = new.filter(F.col("rank") <= max_pages)
+        new.write.parquet(f"{path}/level-{level}")
+        if spark.read.schema(_VISITED).parquet(f"{path}/level-{level}").isEmpty():
+            return spark.read.schema(_VISITED).parquet(f"{path}/level-*")
+
+
+def follow(seeds: DataFrame, next_df: DataFrame, max_pages: int = 0) -> DataFrame:
+    """``bfs`` where every page has at most one out-link (``site, src, dst``): path
+    doubling.  Round k knows the first 2**k pages of each path and where 2**k steps
+    lead from every page, so a chain of a million pages takes 20 rounds."""
+    jump = written(next_df.select("site", "src", "dst").dropDuplicates(["site", "src"]), "chain")
+    path = written(_start(seeds).select("site", "url", "rank", "seed"), "chain")
+    step = 1
+    while True:
+        new = (path.join(jump.withColumnRenamed("src", "url"), ["site", "url"])
+               .groupBy("site", F.col("dst").alias("url")).agg((F.min("rank") + step).alias("rank"), F.min("seed").alias("seed"))
+               .join(path.select("site", "url"), ["site", "url"], "left_anti"))
         if max_pages > 0:
             new = new.filter(F.col("rank") <= max_pages)
-        new = _cut(new)
+        new = written(new, "chain")
         if new.isEmpty():
             break
-        visited = _cut(visited.unionByName(new))
-        frontier = new
-    return visited
+        path = written(path.unionByName(new), "chain")
+        far = jump.select("site", F.col("src").alias("dst"), F.col("dst").alias("next"))
+        jump = written(jump.join(far, ["site", "dst"]).select("site", "src", F.col("next").alias("dst")), "chain")
+        step *= 2
+    before = path.select("site", F.col("url").alias("parent"), (F.col("rank") + 1).alias("rank"))
+    return path.join(before, ["site", "rank"], "left").select(
+        "site", "url", "rank", "parent", (F.col("rank") - 1).cast("int").alias("bfs_depth"), "seed")
 
 
 def site_edges(dom: D.Dom, pages: DataFrame) -> DataFrame:
@@ -108,14 +144,17 @@ def site_edges(dom: D.Dom, pages: DataFrame) -> DataFrame:
 def crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 0, dom: D.Dom | None = None) -> dict:
     """Crawl every seed over the captured pages.  Returns visited,
     sitemap, crawl_pages (visited pages that exist), crawl_errors, stats."""
-    dom = dom or D.parse(pages)
+    parsed = None if dom else D.parse(pages).persist()
+    dom = dom or parsed
     seeds = seeds.select(U.netloc(F.col("url")).alias("site"), U.drop_fragment(F.col("url")).alias("url"))
-    e = site_edges(dom, pages)
+    e = written(site_edges(dom, pages), "edges")
+    titles = written(P.titles(dom).join(pages.select("page_id", "url"), "page_id"), "titles")
+    if parsed:
+        parsed.unpersist()
     visited = bfs(seeds, e, max_pages)
     known = pages.select("url", "page_id")
     ok = visited.join(known, "url", "left")
-    titles = P.titles(dom).join(pages.select("page_id", "url"), "page_id")
-    sm = sitemap(visited, titles, e, seeds)
+    sm = sitemap(visited, titles, e)
     errors = ok.filter(F.col("page_id").isNull()).select("site", "url", F.lit("not captured").alias("error"))
     stats = ok.groupBy("site").agg(F.count("*").alias("total_pages"),
                                    F.count("page_id").alias("successful"),
@@ -124,7 +163,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 0, dom: D.Dom | N
             "crawl_errors": errors, "stats": stats}
 
 
-def sitemap(visited: DataFrame, titles: DataFrame, edge_df: DataFrame, seeds: DataFrame) -> DataFrame:
+def sitemap(visited: DataFrame, titles: DataFrame, edge_df: DataFrame) -> DataFrame:
     """Captured visited pages: url, title, internal_links_found,
     path depth and BFS depth.
 
@@ -139,10 +178,7 @@ def sitemap(visited: DataFrame, titles: DataFrame, edge_df: DataFrame, seeds: Da
              .join(ranks, ["site", "dst"], "left")
              .filter(F.col("dst_rank").isNull() | (F.col("dst_rank") > F.col("src_rank")))
              .groupBy("site", F.col("src").alias("url")).agg(F.count("*").alias("internal_links_found")))
-    seed_url = seeds.select("site", F.col("url").alias("seed"))
-    v = (visited.join(titles.select("url", "title"), "url")
-         .join(out_e, ["site", "url"], "left")
-         .join(seed_url, "site"))
+    v = visited.join(titles.select("url", "title"), "url").join(out_e, ["site", "url"], "left")
     rest = F.replace(F.col("url"), F.col("seed"), F.lit(""))
     path_depth = F.size(F.split(rest, "/", -1)) - 1
     return v.select("site", "url", "rank", "title",
@@ -160,7 +196,7 @@ def sitemap_report(sm: DataFrame, n: int = 30) -> DataFrame:
 def pagination_chain(dom: D.Dom, pages: DataFrame, seeds: DataFrame, selector: str = "a.next",
                      max_pages: int = 0) -> DataFrame:
     """Follow the first element matching ``selector`` (with href) from
-    each seed; the same BFS loop over a one-out-edge graph."""
+    each seed to the end of the chain, by path doubling."""
     from webrel.operators.select import flag
     e = flag(dom.el, selector, "_nx").filter(F.col("_nx") & F.col("attrs")["href"].isNotNull())
     first = e.groupBy("page_id").agg(F.min_by(F.col("attrs")["href"], F.col("start")).alias("href"))
@@ -170,7 +206,7 @@ def pagination_chain(dom: D.Dom, pages: DataFrame, seeds: DataFrame, selector: s
     edge_df = nxt.select(U.netloc(F.col("page_url")).alias("site"), F.col("page_url").alias("src"),
                          F.lit(0).alias("pos"), "dst")
     seeds = seeds.select(U.netloc(F.col("url")).alias("site"), U.drop_fragment(F.col("url")).alias("url"))
-    return bfs(seeds, edge_df, max_pages)
+    return follow(seeds, edge_df, max_pages)
 
 
 def crawl_with(pages: DataFrame, visited: DataFrame, extract_fn) -> DataFrame:
@@ -179,11 +215,3 @@ def crawl_with(pages: DataFrame, visited: DataFrame, extract_fn) -> DataFrame:
     sel = pages.join(visited.select("url").distinct(), "url", "left_semi")
     return sel.transform(extract_fn)
 
-
-def fetch_strategy(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """G11 over a table of URLs."""
-    return pages.withColumn("strategy", U.fetch_class(F.col(url_col)))
-
-
-def page_titles_by_url(dom: D.Dom, pages: DataFrame) -> DataFrame:
-    return P.titles(dom).join(pages.select("page_id", "url"), "page_id")

@@ -2,16 +2,17 @@
 
 Library functions never create sessions; they take DataFrames.  ``get_spark``
 exists for tests, the bench and scripts.  ``checkpoint_dir`` reads the
-cluster-wide ``spark.checkpoint.dir`` and only falls back to a scratch folder
-when the session has none (local tests).
+cluster-wide ``spark.checkpoint.dir``; only a one-process session without it (local
+tests) gets a scratch folder.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
@@ -41,16 +42,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the session's ``spark.checkpoint.dir``.
+    """Shared folder for lineage cuts and written tables: the session's
+    ``spark.checkpoint.dir``.
 
-    Only when it is unset (tests on one machine) a scratch folder is created
-    and registered, so that ``DataFrame.checkpoint()`` works.
+    Where it is unset, a session that runs in one process (``local[...]``, as in
+    tests) gets a scratch folder of its own; on a cluster that is an error, since
+    executors do not see each other's folders.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="webrel-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` evaluated once into the shared folder and read back: no lineage, and
+    nothing to recompute when an executor is lost."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/webrel-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
