@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webrel.session import checkpoint_dir, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir`` of the session."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(d) if spark.sparkContext.getCheckpointDir() is None else None
-    return d.rstrip("/")
+__all__ = ["checkpoint_dir", "maybe_in", "partitions", "row_key", "table", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: one evaluation,
-    no lineage, and safe when an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -41,6 +26,24 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(part(i), F.lit("|"), part(t)))).alias("rid")
 
 
-def ordered_id(id_col: str) -> Column:
-    """Sort key of a document id: nulls after every value."""
-    return F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
+FILTER_ROWS = 1 << 20   # bound of the bit table that ``maybe_in`` broadcasts: 2**20 rows of two numbers
+
+
+def maybe_in(rows: DataFrame, key: Column, members: DataFrame, member_key: Column) -> DataFrame:
+    """``rows`` without most of those whose key is in no row of ``members``.
+
+    One bit of a table of 64 * ``FILTER_ROWS`` bits per member; the table has at most
+    ``FILTER_ROWS`` rows whatever the data, so it is broadcast.  No row with a member's
+    key is lost; the exact join that must follow shuffles what is left.  With far
+    more members than bits everything passes, which costs only that saving."""
+    def place(k):
+        h = F.xxhash64(k)
+        return F.pmod(h, F.lit(FILTER_ROWS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
+
+    word, bit = place(member_key)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    bits = (members.select(word.alias("word"), bit.alias("bit")).distinct()
+            .groupBy("word").agg(F.bit_or(one).alias("bits")).select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))
+    word, bit = place(key)
+    hit = F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return rows.join(F.broadcast(bits), (word == F.col("__word")) & hit, "left_semi")

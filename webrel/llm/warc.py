@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrel.llm.common import shared_dir
+from webrel.llm.common import checkpoint_dir
 
 CHUNK = 1 << 15   # an Arrow batch holds 10,000 rows: at most 320 MB of chunks
 # --- fixed values -----------------------------------------------------------
@@ -222,6 +222,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
             min_bytes: int = 0, chunk: int = CHUNK, path: str | None = None) -> str:
     """Write the pages' archive (below the shared folder unless ``path`` is given) and return where."""
-    path = path or f"{shared_dir(pages.sparkSession)}/llm-warc-{uuid.uuid4().hex}"
+    path = path or f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/llm-warc-{uuid.uuid4().hex}"
     write(chunk_table(records(pages, id_col, url_col, payload_col, min_bytes), chunk), path)
     return path
