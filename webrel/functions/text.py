@@ -6,20 +6,16 @@ characters as Unicode; Java regex needs ``(?U)`` for the same behaviour.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 # Patterns and keyword lists that must equal the reference's behaviour.
-# Price, e-mail, phone and opening-hours patterns (Python re syntax, with
-# re.I on price and hours):
-#   price : [\$€£¥₹]\s?\d+[\d,\.]*|\d+[\d,\.]*\s?(?:USD|EUR|MXN|COP|usd|eur)
-#   email : [a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}
-#   phone : (\+?\d[\d\s\-\.\(\)]{7,}\d)
-#   hours : (?:Mon|Tue|Wed|Thu|Fri|Sat|Sun|Monday|Tuesday|Wednesday|Thursday|
-#            Friday|Saturday|Sunday)[\w\s,\-:]+\d{1,2}:\d{2}
+# Price, e-mail, phone and opening-hours patterns.
 PRICE_RE = r"(?iU)[\$€£¥₹]\s?\d+[\d,\.]*|\d+[\d,\.]*\s?(?:USD|EUR|MXN|COP|usd|eur)"
 EMAIL_RE = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE_RE = r"(?U)(\+?\d[\d\s\-\.\(\)]{7,}\d)"
@@ -28,24 +24,16 @@ HOURS_RE = (r"(?iU)(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun|Monday|Tuesday|Wednesday|Thurs
 # Price keywords (the only keyword list the business extractor uses).
 PRICE_KEYWORDS = ["price", "pricing", "plan", "cost", "fee", "rate", "subscription",
                   "per month", "per year", "annually"]
-# Named HTML entities decoded in text and attribute values.
-NAMED_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "copy": "©", "reg": "®", "trade": "™", "middot": "·",
-    "mdash": "—", "ndash": "–", "hellip": "…", "laquo": "«",
-    "raquo": "»", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
-    "rdquo": "”", "bull": "•", "euro": "€", "pound": "£",
-    "yen": "¥", "cent": "¢", "deg": "°", "times": "×",
-    "divide": "÷", "sect": "§", "para": "¶", "eacute": "é",
-    "egrave": "è", "agrave": "à", "ccedil": "ç", "uuml": "ü",
-    "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ",
-}
+# Character references: named or numeric, closed by a semicolon.
+REFERENCE_RE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
 # ---------------------------------------------------------------------------
 
 # Characters Python's str.isspace() accepts.
 _SPACE_CHARS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PYSPACE = rf"[{_SPACE_CHARS}]"
-_NUM_ENTITY = r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
+# The HTML table of named references, as the standard library lists it.
+_NAMED = {k: v for k, v in html5.items() if k.endswith(";")}
+_COMMON = ["amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "copy;", "middot;"]   # looked up first
 
 
 def pystrip(c: Column) -> Column:
@@ -73,29 +61,31 @@ def join_strip(parts: Column, sep: str = " ") -> Column:
     return pystrip(F.array_join(parts, sep))
 
 
-def _decode_codepoint(ent: Column) -> Column:
-    body = F.regexp_extract(ent, r"^&#([xX]?)([0-9a-fA-F]+);$", 2)
-    is_hex = F.regexp_extract(ent, r"^&#([xX]?)", 1) != ""
-    n = F.when(is_hex, F.conv(body, 16, 10)).otherwise(body).cast("bigint")
+def _code_point(ref: Column) -> Column:
+    """Character of a numeric reference; U+FFFD where there is none."""
+    digits = F.regexp_extract(ref, r"^&#[xX]?0*([0-9a-fA-F]*);$", 1)
+    known = (F.length(digits) > 0) & (F.length(digits) <= 7)   # without leading zeros no more are in range
+    n = F.when(~known, F.lit("0")).when(ref.rlike(r"^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
     n = F.when((n <= 0) | (n > 0x10FFFF) | ((n >= 0xD800) & (n <= 0xDFFF)), F.lit(0xFFFD)).otherwise(n)
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
+def _decoded(ref: Column) -> Column:
+    """What one reference stands for; unknown names stay as they are."""
+    def named(table: dict[str, str]) -> Column:
+        return F.from_json(F.lit(json.dumps(table)), "map<string,string>")[F.substring(ref, 2, 64)]
+
+    return (F.when(F.substring(ref, 2, 1) == "#", _code_point(ref))
+            .otherwise(F.coalesce(named({k: _NAMED[k] for k in _COMMON}), named(_NAMED), ref)))
+
+
 def unescape(c: Column) -> Column:
-    """Decode HTML character references (named subset + numeric)."""
-    named = reduce(lambda acc, kv: F.replace(acc, F.lit(f"&{kv[0]};"), F.lit(kv[1])),
-                   NAMED_ENTITIES.items(), c)
-    named = F.replace(named, F.lit("&amp;"), F.lit("&"))  # last: no double decoding
-    parts = F.split(named, _NUM_ENTITY, -1)
-    ents = F.regexp_extract_all(named, F.lit(_NUM_ENTITY), F.lit(0))
-    numeric = F.concat(
-        F.try_element_at(parts, F.lit(1)),
-        F.array_join(F.zip_with(ents, F.slice(parts, 2, F.size(parts)),
-                                lambda e, p: F.concat(_decode_codepoint(e), p)), ""),
-    )
-    return (F.when(~c.contains("&"), c)
-            .when(named.rlike(r"&#[0-9xX]"), numeric)
-            .otherwise(named))
+    """Decode HTML character references, each once."""
+    parts = F.split(c, REFERENCE_RE, -1)
+    refs = F.regexp_extract_all(c, F.lit(REFERENCE_RE), F.lit(0))
+    decoded = F.concat(F.try_element_at(parts, F.lit(1)), F.array_join(F.zip_with(
+        refs, F.slice(parts, 2, F.size(parts)), lambda e, p: F.concat(_decoded(e), p)), ""))
+    return F.when(c.contains("&") & c.contains(";"), decoded).otherwise(c)
 
 
 def emails(c: Column) -> Column:

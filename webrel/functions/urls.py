@@ -18,7 +18,7 @@ SKIP_PREFIXES = ["mailto:", "tel:", "javascript:", "#"]
 STEALTH_SIGNALS = ["linkedin", "cloudflare", "distil", "akamai", "incapsula",
                    "datadome", "perimeterx", "kasada"]
 DYNAMIC_SIGNALS = ["twitter", "instagram", "facebook", "tiktok", "youtube",
-                   "reddit", "airbnb", "zillow", "samayhealth"]
+                   "reddit", "airbnb", "zillow"]
 # ---------------------------------------------------------------------------
 
 URI_RE = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"

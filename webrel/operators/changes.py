@@ -9,7 +9,10 @@ aggregate with map-side combine, safe for a URL with many snapshots).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webrel.functions import text as TX
@@ -17,7 +20,8 @@ from webrel.functions import urls as U
 from webrel.operators import business as B
 from webrel.operators import dom as D
 from webrel.operators import page as P
-from webrel.session import checkpoint_dir
+from webrel.session import written
+
 
 def _empty():
     return F.array().cast("array<string>")
@@ -29,7 +33,9 @@ def snapshot_records(dom: D.Dom, pages: DataFrame, ts_col: str = "snapshot_ts",
     """M03 payload: url, ts, title, headings, links, images, prices, full_text,
     hash.  ``hash`` = md5(full_text) or, for empty text, md5 of the record's
     JSON without snapshot metadata (decision Q5)."""
-    dom = dom.persist()
+    level = dom.tokens.storageLevel
+    mine = not (level.useMemory or level.useDisk)   # a DOM that the caller keeps stays with the caller
+    dom = dom.persist() if mine else dom
     meta = pages.select("page_id", "url", F.col(ts_col).alias("snapshot_ts"))
     def arr(df, col, name):
         return df.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", col))),
@@ -51,9 +57,9 @@ def snapshot_records(dom: D.Dom, pages: DataFrame, ts_col: str = "snapshot_ts",
     rec = rec.withColumn("hash", F.md5(F.when(F.col("full_text") != "", F.col("full_text")).otherwise(body)))
     # snapshots are a stored table: write them once to the shared checkpoint
     # folder, which also ends the DOM lineage, then release the DOM cache
-    checkpoint_dir(rec.sparkSession)
-    rec = rec.checkpoint(eager=True)
-    dom.unpersist()
+    rec = written(rec, "snapshots")
+    if mine:
+        dom.unpersist()
     return rec
 
 
@@ -75,7 +81,11 @@ def compare(old: DataFrame, new: DataFrame, deep: bool = False) -> tuple[DataFra
     change) / changed / minor_change.
     """
     o = old.select("url", *[F.col(c).alias(f"o_{c}") for c in old.columns if c != "url"])
-    j = new.join(o, "url", "left")
+    return _compare_rows(new.join(o, "url", "left"), deep)
+
+
+def _compare_rows(j: DataFrame, deep: bool) -> tuple[DataFrame, DataFrame]:
+    """``compare`` where every new snapshot carries the old one as ``o_*`` columns."""
     has_old = F.col("o_hash").isNotNull()
     same = F.col("hash") == F.col("o_hash")
     active = has_old if deep else (has_old & ~same)
@@ -128,22 +138,47 @@ def diff_report(changes: DataFrame) -> DataFrame:
     return changes.select("url", "type", TX.cut(F.concat_ws(" | ", *parts), 200).alias("detail"))
 
 
+HOST_BUCKETS = 64  # folders per batch of the snapshot store
+
+
+def stored_snapshots(spark: SparkSession, store_path: str) -> DataFrame | None:
+    """The snapshot store; None if there is none yet.  Any other failure to read it
+    is raised: a store that cannot be read is not an empty one."""
+    try:
+        return spark.read.option("basePath", store_path).parquet(store_path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def monitor_batch(captures: DataFrame, store_path: str, out_path: str, deep: bool = False,
-                  batch_id: int | None = None) -> None:
-    """P03 / M15 body: compare captured pages with the latest stored snapshot
-    per URL, write status and change rows, then append the new snapshots
-    (partitioned by host).  Outputs are written before the store grows, so a
-    batch never compares against itself; a retried batch id overwrites its
-    own output folder."""
+                  batch_id: int | str | None = None) -> None:
+    """P03 / M15 body: compare every captured page with the snapshot before it (an
+    earlier capture of the batch, else the latest stored one of another batch),
+    write status and change rows and the snapshots.
+
+    All three go to folders of the batch, which a repeated batch overwrites, so it
+    leaves the same files and never compares with itself.  Without ``batch_id`` the
+    call is a batch of its own.  The store is laid out by batch and by a bucket of
+    the host; only the buckets of the batch are read."""
     spark = captures.sparkSession
-    dom = D.parse(captures)
-    new = snapshot_records(dom, captures)
-    try:
-        old = latest(spark.read.parquet(store_path).drop("host")).drop("n_snapshots")
-    except Exception:  # noqa: BLE001 - empty store on the first run
-        old = new.limit(0)
-    status, changes = compare(old, new, deep)
-    tag = f"batch={batch_id}" if batch_id is not None else "batch=0"
-    status.write.mode("overwrite").parquet(f"{out_path}/status/{tag}")
-    changes.write.mode("overwrite").parquet(f"{out_path}/changes/{tag}")
-    (new.withColumn("host", U.netloc(F.col("url"))).write.mode("append").partitionBy("host").parquet(store_path))
+    batch = uuid.uuid4().hex if batch_id is None else str(batch_id)
+    new = snapshot_records(D.parse(captures), captures)
+    bucket = F.pmod(F.xxhash64(U.netloc(F.col("url"))), F.lit(HOST_BUCKETS)).cast("int")
+    cols = new.columns
+    rows = new.withColumn("is_new", F.lit(True))
+    old = stored_snapshots(spark, store_path)
+    if old is not None:
+        buckets = [r[0] for r in new.select(bucket).distinct().collect()]   # at most HOST_BUCKETS
+        old = old.filter(F.col("host_bucket").isin(buckets) & (F.col("batch").cast("string") != batch))
+        old = latest(old.join(new.select("url").distinct(), "url", "left_semi").select(*cols)).drop("n_snapshots")
+        rows = rows.unionByName(old.select(*cols).withColumn("is_new", F.lit(False)))
+    w = Window.partitionBy("url").orderBy("is_new", "snapshot_ts", "page_id")   # the captures of one url in a batch
+    before = F.lag(F.struct(*[c for c in cols if c != "url"])).over(w)
+    j = rows.withColumn("_o", before).filter("is_new")
+    j = j.select(*cols, *[F.col(f"_o.{c}").alias(f"o_{c}") for c in cols if c != "url"])
+    status, changes = _compare_rows(j, deep)
+    status.write.mode("overwrite").parquet(f"{out_path}/status/batch={batch}")
+    changes.write.mode("overwrite").parquet(f"{out_path}/changes/batch={batch}")
+    (new.withColumn("host_bucket", bucket).write.mode("overwrite").partitionBy("host_bucket").parquet(f"{store_path}/batch={batch}"))

@@ -18,7 +18,7 @@ from webrel.functions import urls as U
 from webrel.operators import dom as D
 from webrel.operators import page as P
 from webrel.operators.select import first_match, first_matches, flag
-from webrel.session import checkpoint_dir
+from webrel.session import written
 
 # --- fixed values -----------------------------------------------------------
 # Result-card selectors, tried in this order; the first with output wins.
@@ -118,8 +118,9 @@ def org_details(dom: D.Dom) -> DataFrame:
     e = e.withColumn("t", _inner_text(F.col("parts")))
     w = Window.partitionBy("page_id").orderBy("start")
     e = e.withColumn("nxt", F.lead("t").over(w)).filter(F.col("tag") == "dt")
-    kv = e.groupBy("page_id").agg(F.map_from_entries(F.collect_list(
-        F.struct(F.lower("t"), F.coalesce("nxt", F.lit(""))))).alias("d"))
+    # a repeated dt: the last one counts
+    e = e.groupBy("page_id", F.lower("t").alias("k")).agg(F.max_by(F.coalesce("nxt", F.lit("")), "start").alias("v"))
+    kv = e.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("d"))
     out = [F.coalesce(*[F.nullif(F.col("d")[k], F.lit("")) for k in keys], F.lit("")).alias(name)
            for name, keys in DETAIL_ALIASES.items()]
     return kv.select("page_id", *out)
@@ -222,11 +223,11 @@ def rank_by_score(df: DataFrame, score: str, pos: str) -> DataFrame:
 def paged_results(df: DataFrame, page_col: str, pos_col: str, count: int | None = None) -> DataFrame:
     """Concatenate result pages in order, stop at the first empty page
     (pages after a gap in ``page_no`` are dropped), then keep ``count`` rows."""
-    pages = df.select(page_col).distinct()
-    w = Window.orderBy(page_col)
-    first_gap = (pages.withColumn("_rn", F.row_number().over(w))
-                 .filter(F.col(page_col) != F.col("_rn")).agg(F.min("_rn").alias("_gap")))
-    kept = df.withColumn("_one", F.lit(1)).join(F.broadcast(first_gap.withColumn("_one", F.lit(1))), "_one")
+    pages = df.select(F.col(page_col).cast("long").alias("p")).distinct()
+    # the first missing number: 1, or the smallest successor of a page that is no page
+    after = pages.select((F.col("p") + 1).alias("p")).union(df.sparkSession.range(1, 2).toDF("p"))
+    first_gap = after.join(pages, "p", "left_anti").agg(F.min("p").alias("_gap"))
+    kept = df.withColumn("_one", F.lit(1)).join(F.broadcast(first_gap.withColumn("_one", F.lit(1))), "_one")   # one row
     kept = kept.drop("_one").filter(F.col("_gap").isNull() | (F.col(page_col) < F.col("_gap")))
     kept = kept.drop("_gap").orderBy(page_col, pos_col)
     return kept.limit(count) if count else kept
@@ -378,8 +379,7 @@ def link_scan(dom: D.Dom, kind: str = "company") -> DataFrame:
     e = nearest_ancestor(e, "_li", "li_anc").transform(lambda d: nearest_ancestor(d, "_dc", "dc_anc"))
     # e feeds six branches below: write it once to the shared checkpoint folder
     # instead of re-deriving the DOM and ancestor windows per branch
-    checkpoint_dir(e.sparkSession)
-    e = e.checkpoint(eager=True)
+    e = written(e, "link-scan")
     # root element per page: first .scaffold-layout__main, else first main, else body
     roots = e.groupBy("page_id").agg(
         F.coalesce(F.min_by(F.when(F.col("_r1"), F.struct("start", "end")), F.when(F.col("_r1"), F.col("start"))),
@@ -398,7 +398,8 @@ def link_scan(dom: D.Dom, kind: str = "company") -> DataFrame:
         links = links.filter(~F.col("url").endswith("/messaging") & ~F.col("url").contains("/in/undefined")
                              & (F.length(tail) <= 1))
     links = links.filter(F.col("url") != "")
-    links = dedupe_entities(links, ["url"], "start")
+    links = links.groupBy("page_id", "url").agg(F.min_by(F.struct(*[c for c in links.columns if c not in ("page_id", "url")]), "start")
+                                                .alias("_l")).select("page_id", "url", "_l.*")
     links = (links.join(txt.select("page_id", F.col("start").alias("aria_start"), F.col("t").alias("aria_t")),
                         ["page_id", "aria_start"], "left")
              .join(txt.select("page_id", "start", F.col("t").alias("link_t")), ["page_id", "start"], "left"))

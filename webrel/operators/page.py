@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from webrel.functions.text import collapse_ws, join_strip, pystrip, strip_join
 from webrel.operators import dom as D
-from webrel.operators.select import first_match, flag
+from webrel.operators.select import first_match, flag, nearest_ancestor
 
 # --- fixed values -----------------------------------------------------------
 # Social networks, tested in this order; the first contained one names the platform.
@@ -149,11 +149,10 @@ def forms(dom: D.Dom) -> tuple[DataFrame, DataFrame]:
     f = e.filter("is_form").select("page_id", F.col("start").alias("form_start"),
                                    F.coalesce(F.col("attrs")["action"], F.lit("")).alias("action"),
                                    F.coalesce(F.col("attrs")["method"], F.lit("get")).alias("method"))
-    # field -> innermost enclosing form via running max of form starts
-    w = Window.partitionBy("page_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("_f", F.max(F.when(F.col("is_form"), F.struct("start", "end"))).over(w))
-    fields = e.filter(F.col("tag").isin("input", "textarea", "select") & (F.col("_f.end") > F.col("start")))
-    fields = fields.select("page_id", F.col("_f.start").alias("form_start"), F.col("start").alias("pos"),
+    # field -> the form that encloses it most closely
+    e = nearest_ancestor(e.filter(F.col("is_form") | F.col("tag").isin("input", "textarea", "select")), "is_form", "form_start")
+    fields = e.filter(F.col("tag").isin("input", "textarea", "select") & F.col("form_start").isNotNull())
+    fields = fields.select("page_id", "form_start", F.col("start").alias("pos"),
                            F.coalesce(F.col("attrs")["type"], F.lit("text")).alias("type"),
                            F.coalesce(F.col("attrs")["name"], F.lit("")).alias("name"),
                            F.coalesce(F.col("attrs")["placeholder"], F.lit("")).alias("placeholder"))
@@ -232,21 +231,24 @@ def sections(dom: D.Dom) -> tuple[DataFrame, DataFrame]:
     return secs.join(keep, ["page_id", "start"], "left_semi").select("page_id", "start", "heading"), content
 
 
+def _cells(dom: D.Dom) -> DataFrame:
+    """td / th with the start of their own table and row (those that enclose them
+    most closely; a nested table ends nothing of the outer one)."""
+    e = dom.el.filter(F.col("tag").isin("table", "tr", "td", "th"))
+    e = e.withColumn("_t", F.col("tag") == "table").withColumn("_r", F.col("tag") == "tr")
+    e = nearest_ancestor(e, "_t", "table_start").transform(lambda d: nearest_ancestor(d, "_r", "tr_start"))
+    return e.filter(F.col("tag").isin("td", "th") & F.col("table_start").isNotNull()).select(
+        "page_id", "start", "start_tc", "end_tc", "tag", "table_start",
+        F.when(F.col("tr_start") > F.col("table_start"), F.col("tr_start")).alias("tr_start"))
+
+
 def tables(dom: D.Dom) -> DataFrame:
     """Table cells with row / column numbers (header row = th cells).
 
     Output: page_id, table_start, row_no (0 = header), col_no, text.
     Rows are ``tr`` with or without ``tbody`` (decision Q10).
     """
-    e = dom.el
-    w = Window.partitionBy("page_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    e = (e.withColumn("_t", F.max(F.when(F.col("tag") == "table", F.struct("start", "end"))).over(w))
-          .withColumn("_r", F.max(F.when(F.col("tag") == "tr", F.struct("start", "end"))).over(w)))
-    cells = e.filter(F.col("tag").isin("td", "th") & (F.col("_t.end") > F.col("start")))
-    cells = cells.select("page_id", "start", "start_tc", "end_tc", "tag",
-                         F.col("_t.start").alias("table_start"),
-                         F.when(F.col("_r.end") > F.col("start"), F.col("_r.start")).alias("tr_start"))
-    cells = deep_parts(dom, cells)
+    cells = deep_parts(dom, _cells(dom))
     cells = cells.select("page_id", "table_start", "tr_start", "start", "tag",
                          join_strip(F.col("parts")).alias("text"))
     return cells
@@ -281,14 +283,7 @@ def table_rows(dom: D.Dom, table_index: int | None = None) -> DataFrame:
 def table_rows_basic(dom: D.Dom) -> DataFrame:
     """First text node per cell; a row whose cell count differs from the
     header count is keyed ``col_0..``."""
-    e = dom.el
-    w = Window.partitionBy("page_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    e = (e.withColumn("_t", F.max(F.when(F.col("tag") == "table", F.struct("start", "end"))).over(w))
-          .withColumn("_r", F.max(F.when(F.col("tag") == "tr", F.struct("start", "end"))).over(w)))
-    cells = e.filter(F.col("tag").isin("td", "th") & (F.col("_t.end") > F.col("start"))).select(
-        "page_id", "start", "start_tc", "end_tc", "tag", F.col("_t.start").alias("table_start"),
-        F.when(F.col("_r.end") > F.col("start"), F.col("_r.start")).alias("tr_start"))
-    cells = D.with_text_parts(cells, dom, first_only=True).withColumn(
+    cells = D.with_text_parts(_cells(dom), dom, first_only=True).withColumn(
         "text", F.coalesce(pystrip(F.try_element_at("parts", F.lit(1))), F.lit("")))
     heads = (cells.filter(F.col("tag") == "th").groupBy("page_id")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"]).alias("h")))
@@ -333,9 +328,12 @@ def extract_full(dom: D.Dom) -> DataFrame:
                                        s["placeholder"].alias("placeholder"))).alias("fields"))
     fm = f.join(fl, ["page_id", "form_start"], "left").withColumnRenamed("form_start", "start")
     tr = table_rows(dom)
-    tbl = tr.groupBy("page_id", "table_start", "row_no").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.coalesce("header", F.concat(F.lit("col_"), F.col("col_no").cast(
-            "string"))), "value"))).alias("row"))
+    # of equal headers (blank ones are common) the last cell counts
+    key = F.coalesce("header", F.concat(F.lit("col_"), F.col("col_no").cast("string")))
+    tr = tr.groupBy("page_id", "table_start", "row_no", key.alias("key")).agg(
+        F.max_by("value", "col_no").alias("value"), F.min("col_no").alias("first_col"))
+    tbl = tr.groupBy("page_id", "table_start", "row_no").agg(F.map_from_entries(F.transform(
+        F.array_sort(F.collect_list(F.struct("first_col", "key", "value"))), lambda s: F.struct(s["key"], s["value"]))).alias("row"))
     tbl = tbl.groupBy("page_id", "table_start").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row")), by("row_no")),
                     lambda s: s["row"]).alias("rows"))

@@ -88,8 +88,9 @@ def credential_exposure(req: DataFrame) -> DataFrame:
 def cookie_inventory(req: DataFrame) -> DataFrame:
     """Cookies seen in request headers: name, domain, value length and
     hash (the value itself is not kept)."""
-    c = req.select(U.host(F.col("url")).alias("domain"),
-                   F.explode(F.split(F.coalesce(F.col("headers")["cookie"], F.lit("")), r";\s*")).alias("kv"))
+    sent = F.map_values(F.map_filter("headers", lambda k, v: (F.lower(k) == "cookie") & v.isNotNull()))
+    c = req.select(U.host(F.col("url")).alias("domain"), F.explode(sent).alias("sent"))
+    c = c.select("domain", F.explode(F.split("sent", r";\s*")).alias("kv"))
     c = c.filter(F.col("kv").contains("="))
     c = c.select(F.regexp_extract("kv", r"^([^=]*)=", 1).alias("name"), "domain",
                  F.regexp_extract("kv", r"^[^=]*=(.*)$", 1).alias("value"))

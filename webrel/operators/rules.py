@@ -7,8 +7,8 @@ nodes to their parent element and by attribute / markup projections, then
 tagged with the rule ids whose flag is set.  Output is long form
 ``(page_id, field, idx, value)``; ``wide`` pivots over the known field list.
 
-Rules are configuration (a profile file), compiled on the driver; a profile
-larger than ``MAX_RULES`` is rejected rather than silently truncated.
+Rules are configuration (a profile file), compiled on the driver.  An item's
+``pos`` is the struct (token of the element or text, number within it).
 """
 
 from __future__ import annotations
@@ -21,14 +21,8 @@ from webrel.operators import dom as D
 from webrel.operators import page as P
 from webrel.operators.select import flag, parse_any, simple_pred
 
-MAX_RULES = 500
-
-
 def _as_list(rules) -> list[dict]:
     if isinstance(rules, DataFrame):
-        n = rules.count()
-        if n > MAX_RULES:
-            raise ValueError(f"rule profile has {n} rules (> {MAX_RULES})")
         rules = [r.asDict() for r in rules.collect()]
     out = []
     for r in rules:
@@ -37,6 +31,11 @@ def _as_list(rules) -> list[dict]:
     return out
 
 
+def _at(token: str, k: Column | None = None) -> Column:
+    """Order of an item in its page."""
+    return F.struct(F.col(token).cast("int").alias("at"), (F.lit(0) if k is None else k).cast("int").alias("k")).alias("pos")
+
+
 def page_tokens(dom: D.Dom) -> DataFrame:
     return dom.tokens.groupBy("page_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]).alias("toks"))
@@ -71,7 +70,7 @@ def items(dom: D.Dom, rules) -> DataFrame:
                  .select("page_id", "start", F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit("")).alias("text"))
                  if any(s.own_text_contains for ch in sel.chains for _, s in ch) else None)
     if not kinds:
-        return dom.elements.sparkSession.createDataFrame([], "page_id bigint, rule_id int, pos int, value string")
+        return dom.elements.sparkSession.createDataFrame([], "page_id bigint, rule_id int, pos struct<at:int,k:int>, value string")
 
     def ids(kind_pred) -> Column:
         sel_ids = [i for i, s in kinds.items() if kind_pred(s)]
@@ -91,23 +90,22 @@ def items(dom: D.Dom, rules) -> DataFrame:
     # own text nodes of matched elements
     t_el = flags.filter(F.size("_t") > 0).select("page_id", F.col("start").alias("parent_start"), "_t")
     own = dom.texts.join(t_el, ["page_id", "parent_start"]).select(
-        "page_id", F.explode("_t").alias("rule_id"), "pos", F.col("text").alias("value"))
+        "page_id", F.explode("_t").alias("rule_id"), _at("pos"), F.col("text").alias("value"))
     out.append(own)
     # all descendant text nodes
     a_el = flags.filter(F.size("_a") > 0).select("page_id", "start", "start_tc", "end_tc", "_a")
     deep = (D.with_text_parts(a_el, dom).select("page_id", "start", "_a", F.posexplode("parts").alias("k", "value"))
-            .select("page_id", F.explode("_a").alias("rule_id"), (F.col("start") * 100000 + F.col("k")).alias("pos"),
-                    "value"))
-    out.append(deep.withColumn("pos", F.col("pos").cast("int")))
+            .select("page_id", F.explode("_a").alias("rule_id"), _at("start", F.col("k")), "value"))
+    out.append(deep)
     # attributes
     if attr_names is not None:
-        at = flags.filter(F.size("_at") > 0).select("page_id", F.col("start").alias("pos"), "attrs",
+        at = flags.filter(F.size("_at") > 0).select("page_id", _at("start"), "attrs",
                                                      F.explode("_at").alias("rule_id"))
         at = at.select("page_id", "rule_id", "pos", F.col("attrs")[attr_names[F.col("rule_id")]].alias("value"))
         out.append(at.filter(F.col("value").isNotNull()))
     # element markup
     h_el = flags.filter(F.size("_h") > 0).select("page_id", "start", "end", "tag", "void", "_h")
-    hh = outer_html(dom, h_el).select("page_id", F.explode("_h").alias("rule_id"), F.col("start").alias("pos"),
+    hh = outer_html(dom, h_el).select("page_id", F.explode("_h").alias("rule_id"), _at("start"),
                                       F.col("html").alias("value"))
     out.append(hh)
     res = out[0]
@@ -138,7 +136,7 @@ def extract(dom: D.Dom, rules) -> DataFrame:
     rmeta = it.sparkSession.createDataFrame(
         [(i, rules[i]["field"], rules[i]["multiple"], rules[i]["regex"] or "") for i in keep],
         "rule_id int, field string, multiple boolean, regex string")
-    it = it.join(F.broadcast(rmeta), "rule_id")
+    it = it.join(rmeta, "rule_id")
     single = (it.filter(~F.col("multiple")).groupBy("page_id", "rule_id", "field", "regex")
               .agg(F.min_by("value", "pos").alias("value"), F.min("pos").alias("pos")))
     multi = it.filter(F.col("multiple")).select("page_id", "rule_id", "field", "regex", "value", "pos")
@@ -220,7 +218,7 @@ def adhoc(dom: D.Dom, css: str | None = None, xpath: str | None = None, n_text:
     sel = css or xpath
     if sel:
         it = items(dom, [{"field": "match", "selector": sel, "multiple": True}])
-        return {"matches": it.select("page_id", "pos", "value")}
+        return {"matches": it.select("page_id", "pos.at", "pos.k", "value")}
     w = Window.partitionBy("page_id").orderBy("pos")
     txt = dom.texts.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n_text).drop("_n")
     return {"meta": P.page_meta(dom), "links": P.links_first_text(dom), "text": txt.select("page_id", "pos", "text")}

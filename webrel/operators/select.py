@@ -239,8 +239,11 @@ def flag(elements: DataFrame, selector: str | Selector, name: str, own_texts: Da
                                                     F.lit(True).alias(col + "_p"))
                 df = df.join(par, ["page_id", "parent_start"], "left")
                 df = df.withColumn(col, pred & F.coalesce(F.col(col + "_p"), F.lit(False)))
-            else:
-                raise ValueError(f"combinator {comb!r} not supported")
+            else:  # siblings: "+" the element right before, "~" any before
+                ws = Window.partitionBy("page_id", "parent_start").orderBy("start")
+                before = (F.lag(F.col(prev)).over(ws) if comb == "+" else
+                          F.max(F.col(prev)).over(ws.rowsBetween(Window.unboundedPreceding, -1)))
+                df = df.withColumn(col, pred & F.coalesce(before, F.lit(False)))
             prev = col
         chain_cols.append(prev)
     out = F.lit(False)

@@ -58,7 +58,7 @@ def deep(pages: DataFrame, requests: DataFrame, responses: DataFrame, ws: DataFr
 def find_orgs(result_pages: DataFrame, count: int | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """Cards (E01) -> dedupe (E08) -> top n (E10) -> optional enrich."""
     dom = D.parse(result_pages)
-    cards = EN.org_cards(dom).withColumn("pos", F.col("page_id") * 1000000 + F.col("start"))
+    cards = EN.org_cards(dom).withColumn("pos", F.struct("page_id", "start"))
     orgs = EN.dedupe_entities(cards, ["url", "name"], "pos")
     if count:
         orgs = EN.top_n(orgs, "pos", count)

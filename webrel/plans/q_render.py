@@ -185,7 +185,7 @@ _TALK = """
 WITH c AS (SELECT conv_id, turn, role, text,
                   lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
                   lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations),
-u AS (SELECT (conv_id * 1000 + turn)::BIGINT AS page_id, conv_id,
+u AS (SELECT (conv_id * 2147483648 + turn)::BIGINT AS page_id, conv_id,
              regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q,
              regexp_replace(CASE WHEN nr = 'assistant' THEN nt ELSE '' END, '^\\s+|\\s+$', '', 'g') AS a
       FROM c WHERE role = 'user')

@@ -130,7 +130,7 @@ def talk_pages(conversations: DataFrame) -> DataFrame:
         L('<html><body><div class="faq-item"><h3>'), esc(F.col("text")), L("</h3><p>"), esc(ans),
         L('</p></div><blockquote class="testimonial">'), esc(F.col("text")),
         L('<cite>User '), F.col("conv_id").cast("string"), L("</cite></blockquote></body></html>"))
-    pid = F.col("conv_id") * 1000 + F.col("turn")
+    pid = F.col("conv_id") * 2147483648 + F.col("turn")
     return c.select(pid.alias("page_id"), F.concat(L("https://talk.example.com/c/"), pid.cast("string")).alias("url"),
                     html.alias("html"))
 
@@ -325,6 +325,6 @@ def site_pages(supplier: DataFrame) -> DataFrame:
         L('</ul></nav><p><a href="mailto:info@'), F.col("host"), L('">mail</a> <a href="#">top</a> '
                                                                    '<a href="/s/missing">old</a> '), first,
         L("</p></body></html>"))
-    root = links.select((F.col("s_nationkey") * 100000 + F.col("b") * 10).alias("page_id"),
+    root = links.select(((F.col("b") * 1000 + F.col("s_nationkey")) * 10).alias("page_id"),
                         F.concat(L("http://"), F.col("host"), L("/")).alias("url"), root_html.alias("html"))
     return root.unionByName(sup)

@@ -6,6 +6,7 @@ DataFrameWriter calls (partitioned output instead of file-name slugs).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,19 +35,32 @@ def read_pages(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     return spark.read.parquet(path)
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rule profiles; each JSON file is one profile (a JSON array of rules)
-    named by its file name.  Unreadable files give no rules (see S03)."""
-    df = (spark.read.schema(T.StructType(RULE_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())]))
-          .option("multiLine", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    prof = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
-    return df.withColumn("profile", prof)
+def read_rules(spark: SparkSession, path: str, profile: str | None = None) -> DataFrame:
+    """Rule profiles below ``path``: ``NAME.json`` with a JSON array of rules, or
+    a folder ``profile=NAME`` as ``write_rules`` leaves it.  A file that does not
+    parse gives one row whose rule columns are null (see S03).  ``profile``: only
+    that one; it is an error if there is none of that name."""
+    files = (spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+             .select("value", F.col("_metadata.file_path").alias("file")))
+    folder = F.url_decode(F.regexp_extract("file", r"profile=([^/]+)/[^/]*$", 1))
+    name = F.when(folder != "", folder).otherwise(F.url_decode(F.regexp_extract("file", r"([^/]+?)(?:\.json)?$", 1)))
+    rules = F.from_json("value", T.ArrayType(RULE_SCHEMA))
+    out = files.select(name.alias("profile"), F.explode_outer(rules).alias("rule"), F.when(rules.isNull(), F.col("value")).alias("_corrupt_record"))
+    out = out.select("rule.*", "_corrupt_record", "profile")
+    if profile is None:
+        return out
+    out = out.where(F.col("profile") == profile)
+    if out.isEmpty():
+        raise ValueError(f"no rule profile {profile!r} below {path}")
+    return out
 
 
 def write_rules(rules: DataFrame, path: str) -> None:
-    """Save rules as JSON, one folder per profile."""
-    rules.write.mode("overwrite").partitionBy("profile").json(path)
+    """Save rules, one JSON array per profile in a folder ``profile=NAME``."""
+    rule = F.struct(*[F.col(f.name) for f in RULE_SCHEMA.fields])
+    numbered = rules.select("profile", F.struct(F.monotonically_increasing_id().alias("k"), rule.alias("rule")).alias("r"))
+    arrays = numbered.groupBy("profile").agg(F.to_json(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["rule"])).alias("value"))
+    arrays.write.mode("overwrite").partitionBy("profile").text(path)   # a profile is configuration: a few rules
 
 
 def profile_summary(rules: DataFrame) -> DataFrame:
@@ -89,14 +103,30 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    """UTF-8 JSON lines (non-ASCII kept)."""
-    w = df.write.mode(mode)
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
+    """UTF-8 JSON lines (non-ASCII and null fields kept)."""
+    w = df.write.mode(mode).option("ignoreNullFields", "false")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.json(path)
 
 
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON array per part file.  Every file is opened and closed by its own
+    first and last row, so the arrays are written in parallel and no row is moved."""
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+
+    def array(rows):
+        first = True
+        for batch in rows:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([("[" if first else ",") + text.as_py()], pa.string())], ["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], ["value"])
+
+    df.select(row.alias("value")).mapInArrow(array, "value string").write.mode(mode).text(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header, nested values as JSON text; schema is fixed (Q14)."""
     _flat(df).write.mode(mode).option("header", True).csv(path)
@@ -110,10 +140,7 @@ def write_all(df: DataFrame, path: str, fmt: str = "all") -> list[str]:
         df = df.persist()
     for t in targets:
         out = f"{path.rstrip('/')}/{t}"
-        if t == "csv":
-            write_csv(df, out)
-        else:
-            write_json(df, out)
+        {"csv": write_csv, "json": write_json, "jsonl": write_jsonl}[t](df, out)
         written.append(out)
     if len(targets) > 1:
         df.unpersist()

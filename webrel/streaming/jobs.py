@@ -63,13 +63,14 @@ def monitor_stream(spark: SparkSession, captures_path: str, store_path: str, out
 
 def item_stream(spark: SparkSession, pages_path: str, out_path: str, checkpoint: str,
                 fields: dict[str, str] | None = None, available_now: bool = True):
-    """Spider items per micro-batch of captured pages, appended to
-    ``out_path``; re-running resumes from ``checkpoint``."""
+    """Spider items per micro-batch of captured pages, each batch in a folder
+    of ``out_path`` that a repeated batch overwrites; re-running resumes from
+    ``checkpoint``."""
     src = spark.readStream.schema("page_id BIGINT, url STRING, html STRING").parquet(pages_path)
 
     def per_batch(batch: DataFrame, bid: int) -> None:
         it = RU.spider_items(D.parse(batch), fields)
-        it.withColumn("batch_id", F.lit(bid)).write.mode("append").parquet(out_path)
+        it.write.mode("overwrite").parquet(f"{out_path}/batch_id={bid}")
 
     w = src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
