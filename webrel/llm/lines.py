@@ -22,8 +22,9 @@ last half of their words.  Every line emits those halves as four narrow keys; a
 line that shares none with a different line cannot have a partner and emits no
 variants.  This drops nothing: it holds for every pair within the bound.
 
-Scale.  Occurrences travel as hashes; texts move by document, once to fetch the
-candidate lines and once to remove lines.  A line that fills a third of all rows is merged before it is shuffled, and
+Scale.  Occurrences travel as hashes, and where only few can match a bit table of
+bounded size (``maybe_in``) holds the others back before the exact join, so
+texts move once, when the lines are removed.  A line that fills a third of all rows is merged before it is shuffled, and
 returns to its occurrences in a join which adaptive execution may split.
 
 Defined results: null text is empty and has no lines; empty and blank lines are
@@ -36,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webrel.llm.common import partitions, row_key, written
+from webrel.llm.common import maybe_in, partitions, row_key, written
 
 MIN_WORDS = 8
 
@@ -52,21 +53,21 @@ def _key(line) -> Column:
     return F.unhex(F.md5(line))
 
 
-def _halves(words: Column, m: Column) -> list[Column]:
-    """Keys of a pair whose shorter line has ``m`` words: its first and its last half."""
-    a = (m / 2).cast("int")
-    return [F.xxhash64(F.lit("first"), m, F.slice(words, F.lit(1), a)),
-            F.xxhash64(F.lit("last"), m, F.slice(words, F.size(words) - (m - a) + 1, m - a))]
-
-
 def _candidates(occ: DataFrame, min_words: int) -> DataFrame:
-    """``k``: hash of the lines that agree with a different line in half of their words."""
-    words = occ.select(F.xxhash64("line").alias("k"), F.split("line", " ", -1).alias("w"))
-    n = F.size("w")
-    slots = words.where(n >= min_words).select("k", F.explode(F.array(
-        *_halves(F.col("w"), n), *_halves(F.col("w"), n - 1))).alias("half"))
-    shared = slots.groupBy("half").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high")
-    return slots.join(shared.select("half"), "half").select("k").distinct()
+    """``k``: hash of the lines that agree with a different line in half of their words.
+
+    A line of ``n`` words emits the halves of a pair whose shorter line has ``n`` or
+    ``n - 1`` words: together three, since two of them always have equal lengths."""
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+    rows = occ.select("line", F.xxhash64("line").alias("k"), n.alias("n")).where(F.col("n") >= min_words)
+    rows = rows.withColumn("a", F.expr("n div 2").cast("int"))
+    first = lambda a: F.xxhash64(F.lit("first"), a, F.call_function("substring_index", F.col("line"), F.lit(" "), a))
+    last = lambda a: F.xxhash64(F.lit("last"), a, F.call_function("substring_index", F.col("line"), F.lit(" "), -a))
+    slots = rows.select("k", F.explode(F.array(
+        first(F.col("a")), last(F.col("n") - F.col("a")),
+        F.when(F.col("n") % 2 == 0, first(F.col("a") - 1)).otherwise(last(F.col("a"))))).alias("half"))
+    shared = written(slots.groupBy("half").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("half"), "halves")
+    return maybe_in(slots, F.col("half"), shared, F.col("half")).join(shared, "half").select("k").distinct()
 
 
 def _variants(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,22 +118,24 @@ def duplicates(text: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``rid, id, text`` -> ``rid, gone``: numbers (from 0) of the lines to remove."""
     occ = _occurrences(text)
     place = F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("rid").alias("rid"), F.col("no").alias("no"))
-    distinct = written(occ.select("rid", "id", "no", _key("line").alias("key"), F.xxhash64("line").alias("k"))
-                       .groupBy("key", "k").agg(F.min(place).alias("at"), F.count("*").alias("times")), "lines")
-    candidates = _candidates(occ, min_words)
-    wanted = (distinct.join(candidates, "k").select(F.col("at.rid").alias("rid"), F.struct(F.col("at.no").alias("no"), "key", "at").alias("line"))
-              .groupBy("rid").agg(F.collect_list("line").alias("lines")))   # at most the lines of one document
-    fetched = (text.select("rid", F.split("text", "\n", -1).alias("all")).join(wanted, "rid")
-               .select(F.explode("lines").alias("line"), "all").dropDuplicates(["line"])
-               .select("line.key", "line.at", F.split(F.element_at("all", F.col("line.no") + 1), " ", -1).alias("words"))
-               .withColumn("n", F.size("words")))
-    lines = written(fetched.repartition(partitions(text.sparkSession), "key"), "line-words")
-    near = _near(lines).withColumn("near", F.lit(True))
-    dropped = distinct.join(near, "key", "left").where("times > 1 or near").select("key", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    candidates = written(_candidates(occ, min_words), "line-candidates")
+    seen = occ.select("rid", "id", "no", _key("line").alias("key"), F.xxhash64("line").alias("k"))
+    times = seen.groupBy("key", "k").agg(F.min(place).alias("at"), F.count("*").alias("times"))
+    near = candidates.withColumn("candidate", F.lit(True))
+    known = written(times.join(near, "k", "left").where("times > 1 or candidate")
+                    .select("key", "at", "times", F.coalesce("candidate", F.lit(False)).alias("candidate")), "lines")
+    wanted = known.where("candidate").select(F.col("at.rid").alias("rid"), F.col("at.no").alias("no"), "key", "at")
+    at = F.xxhash64("rid", "no")
+    fetched = (maybe_in(occ.select("rid", "no", "line"), at, wanted, at).join(wanted, ["rid", "no"])
+               .select("key", "at", "line").dropDuplicates(["key"]))
+    lines = written(fetched.select("key", "at", F.split("line", " ", -1).alias("words")).withColumn("n", F.size("words")), "line-words")
+    near = _near(lines.repartition(partitions(text.sparkSession), "key")).withColumn("near", F.lit(True))
+    dropped = written(known.join(near, "key", "left").where("times > 1 or near")
+                      .select("key", "at", F.coalesce("near", F.lit(False)).alias("near")), "line-drops")
     first = (F.col("at.rid") == F.col("rid")) & (F.col("at.no") == F.col("no"))
-    gone = (occ.select("rid", "no", _key("line").alias("key")).join(dropped, "key").where(F.col("near") | ~first)
+    hits = maybe_in(occ.select("rid", "no", _key("line").alias("key")), F.col("key"), dropped, F.col("key"))
+    return (hits.join(dropped, "key").where(F.col("near") | ~first)
             .groupBy("rid").agg(F.collect_set("no").alias("gone")))   # at most the lines of one document
-    return gone
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
