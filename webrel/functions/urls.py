@@ -144,11 +144,6 @@ def clean_url(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"\?.*$", ""), r"/$", "")
 
 
-def canonical_entity_url(url: Column, kind: str = "company") -> Column:
-    """Cut ``.../company/<slug>/sub?x`` to ``.../company/<slug>``."""
-    return F.regexp_extract(url, rf"^(.*?/{kind}/[^/?#]+)", 1)
-
-
 def profile_url(slug: Column, base: str) -> Column:
     """Values not starting with ``http`` get the entity base URL."""
     return F.when(slug.startswith("http"), slug).otherwise(F.concat(F.lit(base), slug))

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import re
 
-from webrel.functions.text import NAMED_ENTITIES
 from webrel.operators.dom import AUTO_CLOSE, TOKEN_RE, VOID_TAGS
 
 RE2_TOKEN = TOKEN_RE.replace("*+", "*").replace("++", "+")
 
 
+# Named references that occur in the driver's tables and the rendered pages.
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "middot": "·"}
+
+
 def q(s: str) -> str:
     """SQL string literal."""
     return "'" + s.replace("'", "''") + "'"
@@ -27,7 +30,7 @@ def in_list(xs) -> str:
 
 def unescape_sql(expr: str) -> str:
     out = expr
-    for k, v in NAMED_ENTITIES.items():
+    for k, v in REFERENCES.items():
         out = f"replace({out}, {q('&' + k + ';')}, {q(v)})"
     return f"replace({out}, '&amp;', '&')"
 

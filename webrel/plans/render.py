@@ -328,3 +328,65 @@ def site_pages(supplier: DataFrame) -> DataFrame:
     root = links.select(((F.col("b") * 1000 + F.col("s_nationkey")) * 10).alias("page_id"),
                         F.concat(L("http://"), F.col("host"), L("/")).alias("url"), root_html.alias("html"))
     return root.unionByName(sup)
+
+
+def org_profile_pages(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    """One organisation page per supplier; the element that carries a value changes
+    with ``s_suppkey``, so every selector of a chain is met."""
+    k = F.col("s_suppkey")
+    s = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    name = F.when(k % 3 == 0, F.concat(L('<div class="org-top-card-summary__title"> '), esc(F.col("s_name")), L("</div>"))) \
+        .otherwise(F.concat(L("<h1> "), esc(F.col("s_name")), L("</h1>")))
+    about = F.concat(L("Makes "), (k % 7).cast("string"), L(" things &amp; more"))
+    desc = (F.when(k % 4 == 0, F.concat(L('<p class="org-about-us-organization-description__text">'), about, L("</p>")))
+            .when(k % 4 == 1, F.concat(L('<p data-test-id="about-us__description">'), about, L("</p>")))
+            .when(k % 4 == 2, F.concat(L('<section class="about-us"><h2>About</h2><p>'), about, L("</p></section>"))).otherwise(L("")))
+    site = F.when(k % 2 == 0, F.concat(L('<a data-control-name="visit_company_website" href="https://s'), k.cast("string"), L('.example.com/">site</a>'))) \
+        .otherwise(L('<a href="https://elsewhere.example.com/">x</a>'))
+    spec = F.when(k % 5 != 0, F.concat(L('<p class="org-about-us-organization-description__text--specialties">tools, , parts '),
+                                       (k % 5).cast("string"), L(" ,trade</p>"))).otherwise(L(""))
+    facts = F.concat(L("<dl><dt>Sede</dt><dd>"), esc(F.col("n_name")), L("</dd><dt>Founded</dt><dd>"), (1950 + k % 60).cast("string"),
+                     L("</dd><dt>Industry</dt><dd>old</dd><dt>Industry</dt><dd>Trade</dd></dl>"))
+    tail = F.concat(L("<p>"), F.format_number(k * 1234, 0), L(" followers</p><p>"), F.when(k % 2 == 0, L("51-200 employees")).otherwise(L("1,000+ employees")), L("</p>"))
+    return s.select(k.alias("page_id"), F.concat(L("https://www.linkedin.com/company/s"), k.cast("string")).alias("url"),
+                    F.concat(L("<html><body><main>"), name, desc, site, spec, facts, tail, L("</main></body></html>")).alias("html"))
+
+
+def person_profile_pages(customer: DataFrame) -> DataFrame:
+    """One person page per customer: chains as in ``org_profile_pages``, and up to
+    twelve experience items, some without a title."""
+    k = F.col("c_custkey")
+    name = F.concat(L('<h1><span class="x">noise</span><span aria-hidden="true"> '), esc(F.col("c_name")), L("</span></h1>"))
+    head = F.when(k % 2 == 0, F.concat(L('<div class="pv-text-details__left-panel"><div class="text-body-medium">'), esc(F.col("c_mktsegment")), L("</div></div>"))) \
+        .otherwise(F.concat(L('<p class="top-card-layout__headline">'), esc(F.lower("c_mktsegment")), L("</p>")))
+    place = F.when(k % 3 == 0, F.concat(L('<span class="top-card__subline-item">Nation '), F.col("c_nationkey").cast("string"), L("</span>"))).otherwise(L(""))
+    about = F.when(k % 4 == 0, F.concat(L('<section><h2 id="about">About</h2><i>i</i><div><span class="visually-hidden">About '), k.cast("string"), L("</span></div></section>"))) \
+        .otherwise(F.concat(L('<p class="summary">Sum '), k.cast("string"), L("</p>")))
+    conn = F.concat(L("<p>"), F.format_number(k * 7, 0), L(" connections</p>"))
+    items = F.array_join(F.transform(F.sequence(F.lit(1), (k % 12 + 1).cast("int")), lambda i: F.concat(
+        L("<li>"), F.when(i % 4 == 3, L("")).otherwise(F.concat(L('<span aria-hidden="true">Title '), i.cast("string"), L('</span><span>twice</span><span aria-hidden="true">Co '), (k % 17).cast("string"),
+                                                                L('</span><span aria-hidden="true">20'), (10 + i).cast("string"), L("</span>"))), L("</li>"))), "")
+    exp = F.concat(L('<section><h2 id="experience">Experience</h2><div><ul>'), items, L("</ul></div></section>"))
+    return customer.select(k.alias("page_id"), F.concat(L("https://www.linkedin.com/in/c"), k.cast("string")).alias("url"),
+                           F.concat(L("<html><body><main>"), name, head, place, about, conn, exp, L("</main></body></html>")).alias("html"))
+
+
+PEOPLE_BUCKET = 8
+
+
+def person_result_pages(customer: DataFrame) -> DataFrame:
+    """Search-result pages of up to ``PEOPLE_BUCKET`` people: cards on even pages,
+    plain links in list items on odd ones."""
+    k = F.col("c_custkey")
+    c = customer.withColumn("page_id", (k / PEOPLE_BUCKET).cast("bigint"))
+    href = F.concat(L("https://www.linkedin.com/in/c"), k.cast("string"))
+    card = F.concat(L('<li class="reusable-search__result-container"><a href="'), href, L('/?mini=1"><span aria-hidden="true">'), esc(F.col("c_name")),
+                    L('</span><span>View profile</span></a><div class="entity-result__primary-subtitle">'), esc(F.col("c_mktsegment")),
+                    L('</div><div class="entity-result__secondary-subtitle">Nation '), F.col("c_nationkey").cast("string"), L("</div></li>"))
+    link = F.concat(L('<li><a href="'), href, L('/">'), esc(F.col("c_name")), L("</a><div><span>"), esc(F.col("c_mktsegment")), L("</span></div><p>Nation "),
+                    F.col("c_nationkey").cast("string"), L('</p><button>Follow</button><a href="'), href, L('/messaging">m</a></li>'))
+    item = F.when(F.col("page_id") % 2 == 0, card).otherwise(link)
+    g = c.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("i")))).alias("l"))   # at most PEOPLE_BUCKET
+    html = F.concat(L('<html><body><nav><a href="https://www.linkedin.com/in/me">Me</a></nav><main><ul>'), F.array_join(F.transform("l", lambda x: x["i"]), ""),
+                    L("</ul></main></body></html>"))
+    return g.select("page_id", F.concat(L("https://www.linkedin.com/search?page="), F.col("page_id").cast("string")).alias("url"), html.alias("html"))
