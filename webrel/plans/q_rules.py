@@ -146,4 +146,4 @@ SELECT page_id::BIGINT AS page_id, pos::BIGINT AS pos,
        CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END AS value FROM p
 """)(lambda spark, sf: RU.preview(
     RU.items(_dom(spark, sf), [{"field": "p", "selector": "p::text", "multiple": True}])).select(
-    big("page_id").alias("page_id"), big("pos").alias("pos"), "value"))
+    big("page_id").alias("page_id"), big("pos.at").alias("pos"), "value"))
