@@ -156,11 +156,11 @@ class Coder:
 
 
 def _columns(spark: SparkSession, path: str):
-    shared = spark.sparkContext.broadcast(read_vocabulary(path))
+    shared = spark.sparkContext.broadcast(tuple(read_vocabulary(path)))
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = Coder(shared.value)
+        coder = Coder(Vocabulary(*shared.value))
         for batch in batches:
             ids, ends = array("i"), array("i", [0])
             for text in batch:
@@ -172,7 +172,7 @@ def _columns(spark: SparkSession, path: str):
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = Coder(shared.value)
+        coder = Coder(Vocabulary(*shared.value))
         for batch in batches:
             out = [coder.decode(row.values.to_numpy(zero_copy_only=False).tolist()) if row.is_valid else "" for row in batch]
             yield pa.array(out, pa.string())

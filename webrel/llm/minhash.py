@@ -10,13 +10,13 @@ weights.  ``BANDS`` bands of ``ROWS`` registers give the candidates, and every
 link is verified by the exact Jaccard similarity of the shingle sets.
 
 Classes without all pairs.  Texts with equal words are one node.  In each bucket
-every node is compared with the bucket's smallest node only (a star), links that
-hold are joined into components, and nodes that are not in the component of
-their bucket's smallest node form the bucket's next star, until no bucket has two
-such nodes left.  Finally the pairs of a bucket that lie in different components
-and have not been compared are verified as well, so no link that banding finds
-is lost.  Counting and joining are by bucket key with partial combining: a bucket
-with a third of all texts costs one row per text.
+every node is compared with the bucket's smallest node only (a star), and the
+links that hold are joined into components.  What is left are buckets with nodes of
+several components.  A node there can have a further link only if no more than a
+fifth of its shingles are its own (``_may_link``), which rules out most of a family
+of loose copies at once; the others are compared across components, so no link
+that banding finds is lost.  Counting and joining are by bucket key with partial
+combining: a bucket with a third of all texts costs one row per text.
 
 Missed links: a pair of similarity 0.8 shares no band with probability
 ``(1 - 0.8**4)**24`` = 3e-6.
@@ -37,12 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrel.llm.common import row_key, written
+from webrel.llm.common import maybe_in, row_key, written
 from webrel.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
+STARS = 2            # rounds of stars before components are compared with each other
 CACHE = 500_000      # word hashes remembered by one Python worker
 
 _U = np.uint64
@@ -128,16 +129,28 @@ def _sets(words: int):
     return run
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, text: DataFrame, words: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(a, b)`` -> + exact Jaccard similarity ``sim``."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "content").join(nodes, "content")
-    sets = text.join(wanted, "rid").select("content", "text").mapInArrow(_sets(words), "content binary, shingles array<long>")
     one = pairs.join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("y")), "b")
     both = one.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("sim"))
 
 
+def _may_link(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The nodes that can still have a link to another of ``nodes``, with the ``size``
+    of their set and how many of its shingles are theirs ``alone``.
+
+    A link of similarity s leaves at most ``(1 - s)`` of a set outside its partner, so
+    a node with more shingles than that which no other node has is out.  Nothing
+    with a link is lost."""
+    mine = sets.join(nodes, "content")
+    alone = (mine.select("content", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("content").alias("content"))
+             .where("n = 1").groupBy("content").agg(F.count("*").alias("alone")))
+    sized = mine.select("content", F.size("shingles").alias("size")).join(alone, "content", "left").na.fill(0, ["alone"])
+    return sized.where(F.col("alone") <= (1 - similarity) * F.col("size") + 1e-9)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
             similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: ``rid``, ``id``, ``class_id`` (smallest id of the class),
@@ -148,47 +161,48 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                      "sketches")
     nodes = sketch.groupBy("content").agg(F.min("rid").alias("rid"), F.first("keys").alias("keys"))
     slots = nodes.select("content", F.explode("keys").alias("key"))
-    shared = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("a")).where("n > 1").select("key", "a")
-    members = written(slots.join(shared, "key").select("key", F.col("content").alias("b"), "a"), "buckets")
-    nodes = nodes.select("content", "rid")
-    one_text = text.select("rid", "text")
-    tested = written(_verify(members.where("a <> b").select("a", "b").distinct(), nodes, one_text, words), "pairs")
-    label = components(tested.where(F.col("sim") >= similarity).select("a", "b"))
-
-    def labelled(m: DataFrame, lab: DataFrame) -> DataFrame:
-        """Members with the component of their own and of their bucket's smallest node."""
-        la = lab.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-        lb = lab.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-        m = m.join(lb, "b", "left").join(la, "a", "left")
-        return m.select("key", "a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
-
-    def compare(pairs: DataFrame) -> bool:
-        nonlocal tested, label
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                        .join(tested.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-        if pairs.isEmpty():
-            return False
-        new = written(_verify(pairs, nodes, one_text, words), "pairs")
-        links = new.where(F.col("sim") >= similarity).select("a", "b")
-        tested = tested.unionByName(new)
-        if not links.isEmpty():
-            label = components(tested.where(F.col("sim") >= similarity).select("a", "b"))
-        return True
-
-    rest = members
-    while True:  # the next star of each bucket: its members outside the component of its smallest node
-        rest = labelled(rest, label).where("label_a <> label_b").select("key", "b")
-        star = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("b").alias("a")).where("n > 1").select("key", "a")
-        rest = written(rest.join(star, "key"), "buckets")
-        if rest.isEmpty():
-            break
-        compare(rest.where("a <> b").select("a", "b"))
-    now = written(labelled(members, label), "buckets")
-    apart = now.where("label_a <> label_b").select("key").distinct()
-    now = now.join(apart, "key", "left_semi").select("key", "b", "label_b")
-    left, right = now.alias("l"), now.alias("r")
-    compare(left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.b") < F.col("r.b"))
-                      & (F.col("l.label_b") != F.col("r.label_b"))).select(F.col("l.b").alias("a"), F.col("r.b").alias("b")))
+    shared = written(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    members = written(maybe_in(slots, F.col("key"), shared, F.col("key")).join(shared, "key").select("key", F.col("content").alias("b"), "n"), "buckets")
+    wanted = members.select(F.col("b").alias("content")).distinct().join(sketch.groupBy("content").agg(F.min("rid").alias("rid")), "content")
+    wanted = written(wanted, "candidates")
+    near = maybe_in(text.select("rid", "text"), F.col("rid"), wanted, F.col("rid")).join(wanted, "rid").dropDuplicates(["rid"])
+    sets = written(near.select("content", "text").mapInArrow(_sets(words), "content binary, shingles array<long>"), "shingles")
+
+    # stars: the members of each bucket against its most central node, the one that
+    # shares the most places in buckets; again for those left outside its component
+    left, tested, label = members, None, None
+    for _ in range(STARS):
+        central = left.groupBy("b").agg(F.sum("n").alias("c"))
+        heads = left.join(central, "b").groupBy("key").agg(F.max(F.struct("c", "b")).alias("head")).select("key", F.col("head.b").alias("a"))
+        star = left.join(heads, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested is not None:
+            star = star.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = written(_verify(star, sets), "pairs")
+        tested = new if tested is None else tested.unionByName(new)
+        label = components(tested.where(F.col("sim") >= similarity).select("a", "b"))
+        of = label.select(F.col("node").alias("b"), "label")
+        now = members.select("key", "b", "n").join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
+        biggest = now.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(
+            F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("m")).where("labels > 1").select("key", F.col("m.label").alias("main"))
+        now = written(now.join(biggest, "key"), "buckets")   # buckets with several components
+        left = now.where("label <> main").select("key", "b", "n")
+    left = now.select("key", "b", "label")
+
+    def mixed(m: DataFrame) -> DataFrame:
+        keys = m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        return m.join(keys, "key", "left_semi")
+
+    live = _may_link(left.select(F.col("b").alias("content")).distinct(), sets, similarity)
+    left = written(mixed(left.join(live.withColumnRenamed("content", "b"), "b")), "buckets")
+    x, y, c = left.alias("x"), left.alias("y"), F.col
+    # what a node has alone it shares with nobody: an upper bound of their similarity
+    most = F.least(c("x.size") - c("x.alone"), c("y.size") - c("y.alone"))
+    apart = x.join(y, (c("x.key") == c("y.key")) & (c("x.b") < c("y.b")) & (c("x.label") != c("y.label"))
+                   & (most >= similarity * (c("x.size") + c("y.size") - most) - 1e-9))
+    apart = apart.select(c("x.b").alias("a"), c("y.b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(_verify(apart, sets), "pairs").where(F.col("sim") >= similarity).select("a", "b")
+    if not more.isEmpty():
+        label = components(label.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     out = sketch.select("rid", "id", "content").join(label.withColumnRenamed("node", "content"), "content", "left")
     out = out.select("rid", "id", F.coalesce("label", "content").alias("label"))

@@ -190,8 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(*empty, float(y.mean()) if len(y) else 0.0)
     spark = docs.sparkSession
     held = np.zeros(len(y), bool)
-    for c in (0, 1):  # a third of each class is held back for the curve
-        held[np.flatnonzero(y == c)[2::3]] = True
+    for c in (0, 1):  # a fifth of each class is held back for the curve
+        held[np.flatnonzero(y == c)[4::5]] = True
     chosen["fit"] = ~held
     sample_df = spark.createDataFrame(chosen[["id", "toxic", "fit"]])
     got = _ratios(written(_counts(docs, sample_df, id_col, text_col), "letters"), vocabulary).toArrow()
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(keys[order], got["value"].to_numpy()[order], np.zeros(5), None)
     curve = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
              .join(F.broadcast(sample_df.where("not fit")), "id")
-             .select("toxic", _columns(spark, model)("text").alias("x"))).toArrow()   # at most a third of the sample
+             .select("toxic", _columns(spark, model)("text").alias("x"))).toArrow()   # at most a fifth of the sample
     if curve.num_rows == 0 or len(set(curve["toxic"].to_pylist())) < 2:
         return model._replace(weights=np.array([-2.0, 1.0, 1.0, 0.0, 0.0]))
     x = np.array(curve["x"].to_pylist())
@@ -208,13 +208,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _columns(spark, model: Model):
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(tuple(model))
 
     @F.arrow_udf("array<double>")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         value: dict[str, float] = {}
+        held = Model(*shared.value)
         for batch in batches:
-            yield pa.array([list(_features(t.as_py() or "", value, shared.value)) for t in batch], pa.list_(pa.float64()))
+            yield pa.array([list(_features(t.as_py() or "", value, held)) for t in batch], pa.list_(pa.float64()))
 
     return features
 
