@@ -119,12 +119,23 @@ def _sketch(words: int, bands: int, rows: int):
     return run
 
 
+def _bits(shingles: np.ndarray) -> list[int]:
+    """One bit per shingle in a table of 4 to 8 bits per shingle, a power of two of words."""
+    words = 1 << max(2, int(len(shingles) * 4 - 1 >> 6).bit_length())
+    out = np.zeros(words, np.uint64)
+    at = shingles & _U(words * 64 - 1)
+    np.bitwise_or.at(out, (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
+    return out.view(np.int64).tolist()
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            sets = [shingle((t.as_py() or "").lower().split())[0].view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(sets, pa.list_(pa.int64()))], ["content", "shingles"])
+            sets = [shingle((t.as_py() or "").lower().split())[0] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("content"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                 pa.array([_bits(x) for x in sets], pa.list_(pa.int64()))], ["content", "shingles", "bits"])
 
     return run
 
@@ -144,10 +155,10 @@ def _may_link(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     A link of similarity s leaves at most ``(1 - s)`` of a set outside its partner, so
     a node with more shingles than that which no other node has is out.  Nothing
     with a link is lost."""
-    mine = sets.join(nodes, "content")
+    mine = sets.join(nodes, "content")   # content, shingles, bits
     alone = (mine.select("content", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("content").alias("content"))
              .where("n = 1").groupBy("content").agg(F.count("*").alias("alone")))
-    sized = mine.select("content", F.size("shingles").alias("size")).join(alone, "content", "left").na.fill(0, ["alone"])
+    sized = mine.select("content", F.size("shingles").alias("size"), "bits").join(alone, "content", "left").na.fill(0, ["alone"])
     return sized.where(F.col("alone") <= (1 - similarity) * F.col("size") + 1e-9)
 
 
@@ -166,7 +177,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     wanted = members.select(F.col("b").alias("content")).distinct().join(sketch.groupBy("content").agg(F.min("rid").alias("rid")), "content")
     wanted = written(wanted, "candidates")
     near = maybe_in(text.select("rid", "text"), F.col("rid"), wanted, F.col("rid")).join(wanted, "rid").dropDuplicates(["rid"])
-    sets = written(near.select("content", "text").mapInArrow(_sets(words), "content binary, shingles array<long>"), "shingles")
+    sets = written(near.select("content", "text").mapInArrow(_sets(words), "content binary, shingles array<long>, bits array<long>"), "shingles")
 
     # stars: the members of each bucket against its most central node, the one that
     # shares the most places in buckets; again for those left outside its component
@@ -195,8 +206,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     live = _may_link(left.select(F.col("b").alias("content")).distinct(), sets, similarity)
     left = written(mixed(left.join(live.withColumnRenamed("content", "b"), "b")), "buckets")
     x, y, c = left.alias("x"), left.alias("y"), F.col
-    # what a node has alone it shares with nobody: an upper bound of their similarity
-    most = F.least(c("x.size") - c("x.alone"), c("y.size") - c("y.alone"))
+    # A bit that x has and y lacks is a shingle that x has and y lacks, and what a node
+    # has alone is in no other: both bound the similarity of two nodes from above.
+    def lacks(p, q):
+        missing = F.aggregate(F.zip_with(p, q, lambda m, n: F.bit_count(m.bitwiseAND(F.bitwise_not(n)))), F.lit(0), lambda t, k: t + k)
+        return F.when(F.size(p) == F.size(q), missing).otherwise(0)
+
+    most = F.least(c("x.size") - F.greatest(c("x.alone"), lacks(c("x.bits"), c("y.bits"))),
+                   c("y.size") - F.greatest(c("y.alone"), lacks(c("y.bits"), c("x.bits"))))
     apart = x.join(y, (c("x.key") == c("y.key")) & (c("x.b") < c("y.b")) & (c("x.label") != c("y.label"))
                    & (most >= similarity * (c("x.size") + c("y.size") - most) - 1e-9))
     apart = apart.select(c("x.b").alias("a"), c("y.b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
