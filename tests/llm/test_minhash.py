@@ -81,3 +81,14 @@ def test_no_link_lost_in_one_bucket(spark):
     """Two families that only meet in shared buckets stay apart."""
     df = docs(spark, [" ".join(f"w{k}" for k in range(100)), " ".join(f"w{k}" for k in range(50, 150))])
     assert [r["class_size"] for r in minhash.classes(df).collect()] == [1, 1]
+
+
+def test_links_with_repeated_passages_are_candidates(spark):
+    """80 shared shingles; 20 of one text only, 16 of them about 100 times each: similarity 0.8."""
+    texts = []
+    for k in range(40):
+        shared = " ".join(f"s{k}x{i}" for i in range(84))
+        texts += [shared, shared + " " + " ".join([f"r{k}x{i}" for i in range(16)] * 100)]
+    a, b = shingles(texts[0]), shingles(texts[1])
+    assert len(a & b) == 80 and len(a | b) == 100
+    assert {r["class_size"] for r in minhash.classes(docs(spark, texts)).collect()} == {2}

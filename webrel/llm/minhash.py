@@ -1,13 +1,15 @@
-"""MinHash near-dedup (operator 6): ProbMinHash over weighted word shingles.
-
-Every shingle of five words (a text of fewer is one shingle) carries the weight
-``1 + ln(count)``.  It generates the points of a Poisson process with that rate,
-from its hash alone: exponential waiting times, each point falling on a random
-register.  A register keeps the shingle that arrives first; a shingle stops as
-soon as its next point is later than every register's arrival, so most stop after
-one point.  Two texts agree in a register with the probability Jaccard of their
-weights.  ``BANDS`` bands of ``ROWS`` registers give the candidates, and every
-link is verified by the exact Jaccard similarity of the shingle sets.
+"""MinHash near-dedup (operator 6): ProbMinHash over sets of word shingles.
+
+Every distinct shingle of five words (a text of fewer is one shingle) generates the
+points of a Poisson process with the rate of its weight, from its hash alone:
+exponential waiting times, each point falling on a random register.  A register
+keeps the shingle that arrives first; a shingle stops as soon as its next point is
+later than every register's arrival, so most stop after one point.  Two texts
+agree in a register with the probability Jaccard of their weights.  A link is
+defined by the sets, so every shingle weighs 1, however often its text repeats it,
+and two texts agree in a register with the Jaccard similarity of their sets.
+``BANDS`` bands of ``ROWS`` registers give the candidates, and every link is
+verified by the exact Jaccard similarity of the shingle sets.
 
 Classes without all pairs.  Texts with equal words are one node.  In each bucket
 every node is compared with the bucket's smallest node only (a star), and the
@@ -19,7 +21,7 @@ that banding finds is lost.  Counting and joining are by bucket key with partial
 combining: a bucket with a third of all texts costs one row per text.
 
 Missed links: a pair of similarity 0.8 shares no band with probability
-``(1 - 0.8**4)**24`` = 3e-6.
+``(1 - 0.8**4)**24`` = 3e-6, also where passages repeat inside a text.
 
 Defined results: words are separated by white space and compared in lower case;
 null, empty and blank texts have no words, and are equal texts; a null id sorts
@@ -106,8 +108,8 @@ def _sketch(words: int, bands: int, rows: int):
                 if not tokens:
                     keys.append([])
                     continue
-                s, n = shingle(tokens)
-                sig = signature(s, 1 + np.log(n), bands * rows).reshape(bands, rows)
+                s, _ = shingle(tokens)
+                sig = signature(s, np.ones(len(s)), bands * rows).reshape(bands, rows)
                 key = np.arange(1, bands + 1, dtype=np.uint64)
                 for k in range(rows):
                     key = _mix(key + sig[:, k])
