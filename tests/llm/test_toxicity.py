@@ -59,3 +59,12 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(toxicity, "FLUSH", 1)
     cache = {}
     assert [toxicity._features(t, cache, model) for t in ("x y z", "a bad day bad", "q", "a bad day bad")][1::2] == [want, want]
+
+
+def test_text_of_cached_and_many_new_words(monkeypatch):
+    model = toxicity.Model(np.sort(toxicity.letter_groups(["bad"])[0]), np.arange(4, dtype=np.float32) + 3, np.zeros(5), None)
+    want = toxicity._features("x a bad", {}, model)
+    monkeypatch.setattr(toxicity, "FLUSH", 1)
+    cache = {}
+    toxicity._features("x y", cache, model)
+    assert toxicity._features("x a bad", cache, model) == want

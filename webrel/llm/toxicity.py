@@ -115,6 +115,7 @@ def _features(text: str, value: dict[str, float], model: Model) -> tuple[float,
     if not words:
         return 0.0, 0.0, 0.0, 0.0
     new = [w for w in set(words) if w not in value]
+    own = {w: value[w] for w in set(words) if w in value}
     if new:
         gram, hist, _, _, word = letter_groups(new)
         out = np.zeros(len(gram), np.float32)
@@ -124,16 +125,12 @@ def _features(text: str, value: dict[str, float], model: Model) -> tuple[float,
             hit = todo & (model.keys[at] == keys) if len(model.keys) else np.zeros(len(gram), bool)
             out[hit] = model.values[at[hit]]
             todo &= ~hit
+        got = dict(zip(new, np.bincount(word, out, len(new)).tolist(), strict=True))
+        own.update(got)
         if len(value) > FLUSH:
             value.clear()
-            new_words = set(new)
-            rest = [w for w in set(words) if w not in new_words]
-            value.update(zip(new, np.bincount(word, out, len(new)).tolist(), strict=True))
-            if rest:  # values that were just forgotten
-                _features(" ".join(rest), value, model)
-        else:
-            value.update(zip(new, np.bincount(word, out, len(new)).tolist(), strict=True))
-    x = np.fromiter(map(value.__getitem__, words), np.float64, len(words))
+        value.update(got)
+    x = np.fromiter(map(own.__getitem__, words), np.float64, len(words))
     return float(x.mean()), float(np.maximum(x - STRONG, 0).mean()), float(x.max()), float(np.log1p(len(x)))
 
 
