@@ -68,3 +68,12 @@ def test_text_of_cached_and_many_new_words(monkeypatch):
     cache = {}
     toxicity._features("x y", cache, model)
     assert toxicity._features("x a bad", cache, model) == want
+
+
+def test_model_keeps_every_group_of_the_sample(spark):
+    """200,000 words that occur once each, four fifths of them in the fitted rows."""
+    texts = [" ".join(f"{(k * 2000 + i) * 2654435761 % 2**32:08x}" for i in range(2000)) for k in range(100)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs(spark, texts), labels)
+    assert len(model.keys) > 500_000
+    assert (np.diff(model.keys.astype(object)) > 0).all()

@@ -20,8 +20,9 @@ Scale.  One pass counts letter groups of all documents (each task counts its
 words first, then the groups are summed by a shuffle with partial sums); it
 grows with the corpus.  Class counts use at most ``sample`` labelled rows, chosen
 by the hash of their id; that bounded table is the only broadcast on the way.
-The model keeps at most ``vocabulary`` letter groups, those with the largest
-effect times frequency, and goes to the tasks as one array of that bounded size.
+The model keeps every letter group of that sample, so nothing but the sample bounds
+it, and goes to the tasks as one sorted array (12 bytes a group or history); the
+driver and each Python worker must hold it.
 Scoring is an Arrow column function without a shuffle; a task remembers the
 values of its words.
 
@@ -50,7 +51,6 @@ ORDER = 5
 DISCOUNT = 0.75
 STRONG = 4.0
 SAMPLE = 60_000        # labelled rows learned from, at most
-VOCABULARY = 500_000   # letter groups in the model, at most
 FLUSH = 300_000        # distinct words that a counting task holds
 
 
@@ -142,8 +142,8 @@ def _counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> D
                                      F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
-def _ratios(grams: DataFrame, vocabulary: int) -> DataFrame:
-    """``(key, value)`` of the model, the ``vocabulary`` most telling ones."""
+def _ratios(grams: DataFrame) -> DataFrame:
+    """``(key, value)`` of the model: every letter group and history of the sample."""
     shared = grams.groupBy("sub_hist", "sub").agg(F.count("*").alias("n_sub"))
     shared_h = shared.groupBy("sub_hist").agg(F.sum("n_sub").alias("n_sub_hist"))
     seen = grams.where("toxic + plain > 0")
@@ -155,11 +155,9 @@ def _ratios(grams: DataFrame, vocabulary: int) -> DataFrame:
          .withColumn("low", F.col("n_sub") / F.col("n_sub_hist")))
     p = {c: F.when(F.col(f"n_{c}") > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"n_{c}")).otherwise(F.lit(0.0))
          + back[c] * F.col("low") for c in ("toxic", "plain")}
-    of_grams = x.select(F.col("gram").alias("key"), F.log(p["toxic"] / p["plain"]).alias("value"), (F.col("toxic") + F.col("plain")).alias("n"))
-    of_hist = hist.select(F.col("hist").alias("key"), F.log(back["toxic"] / back["plain"]).alias("value"),
-                          (F.col("n_toxic") + F.col("n_plain")).alias("n"))
-    return (of_grams.unionByName(of_hist)
-            .orderBy(F.desc(F.abs("value") * F.sqrt("n")), "key").limit(vocabulary).select("key", F.col("value").cast("float")))
+    of_grams = x.select(F.col("gram").alias("key"), F.log(p["toxic"] / p["plain"]).alias("value"))
+    of_hist = hist.select(F.col("hist").alias("key"), F.log(back["toxic"] / back["plain"]).alias("value"))
+    return of_grams.unionByName(of_hist).select("key", F.col("value").cast("float"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -176,7 +174,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
+        sample: int = SAMPLE) -> Model:
     """The model from the labelled rows given (at most ``sample`` of them) and all texts."""
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic")))
@@ -191,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         held[np.flatnonzero(y == c)[4::5]] = True
     chosen["fit"] = ~held
     sample_df = spark.createDataFrame(chosen[["id", "toxic", "fit"]])
-    got = _ratios(written(_counts(docs, sample_df, id_col, text_col), "letters"), vocabulary).toArrow()
+    got = _ratios(written(_counts(docs, sample_df, id_col, text_col), "letters")).toArrow()
     keys = got["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     model = Model(keys[order], got["value"].to_numpy()[order], np.zeros(5), None)
