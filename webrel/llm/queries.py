@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrel.llm import bpe, exact, lines, mainpage, minhash, mixing, repeats, topk, toxicity, warc
+from webrel.llm import bpe, exact, lexical, lines, mainpage, minhash, mixing, packing, phrases, repeats, topk, toxicity, warc
 from webrel.llm.common import table
 
 QUERIES: dict = {}
@@ -158,3 +158,58 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"),
+                         F.col("tokens").alias("doc_tokens"), F.col("sequence").alias("sequence_id"), "offset")
+
+
+@register("op12_lexical", r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+t AS (SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+p AS (SELECT row, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT row, count(*) AS n FROM t GROUP BY row),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, docs),
+m AS (SELECT row, 100 - 25 + (25 * n * docs) // words AS m FROM n, c),
+b AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+q AS (SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM b),
+s AS (SELECT item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (row) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+""")
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+@register("op13_phrases", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+g AS (SELECT lang, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS phrase, k
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, phrase, k, count(*)::BIGINT AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+x AS (SELECT c.*, unnest(range(1, k)) AS cut FROM c),
+y AS (SELECT x.lang, x.phrase, x.k, x.a, x.cut, l.f AS l, r.f AS r, ((2000000::HUGEINT * x.a) // (l.f::HUGEINT + r.f))::BIGINT AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.phrase = list_aggregate(x.w[:x.cut], 'string_agg', ' ')
+             JOIN f r ON r.lang = x.lang AND r.phrase = list_aggregate(x.w[x.cut + 1:], 'string_agg', ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, a, w, k, n, unnest(range(1, k - n + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS n FROM c WHERE k > 2)),
+h AS (SELECT lang, list_aggregate(w[s:s + n - 1], 'string_agg', ' ') AS phrase, max(a) AS longer FROM i GROUP BY ALL),
+o AS (SELECT z.* FROM z LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * z.a),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) JOIN t USING (lang)
+WHERE rank <= 2000
+""")
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
