@@ -99,15 +99,21 @@ def cookie_inventory(req: DataFrame) -> DataFrame:
         F.col("count").alias("n"))
 
 
+def _is_graphql() -> Column:
+    keys = F.map_keys(F.try_variant_get("body_json", "$", "map<string,variant>"))
+    return F.coalesce(F.col("body_json").isNotNull() & _is_object(F.col("body_json"))
+                      & (F.array_contains(keys, "query") | F.array_contains(keys, "mutation")), F.lit(False))
+
+
+def _is_api() -> Column:
+    return F.col("resource_type").isin("xhr", "fetch") | F.col("url").rlike(API_PATTERN) | F.col("has_body")
+
+
 def capture_stats(req: DataFrame, resp: DataFrame, ws: DataFrame) -> DataFrame:
     """The five counters in one row."""
     r = request_body(req)
-    keys = F.map_keys(F.try_variant_get("body_json", "$", "map<string,variant>"))
-    gql = F.col("body_json").isNotNull() & _is_object(F.col("body_json")) & \
-        (F.array_contains(keys, "query") | F.array_contains(keys, "mutation"))
-    api = F.col("resource_type").isin("xhr", "fetch") | F.col("url").rlike(API_PATTERN) | F.col("has_body")
-    a = r.agg(F.count("*").alias("total_requests"), F.count_if(api).alias("api_calls"),
-              F.count_if(F.coalesce(gql, F.lit(False))).alias("graphql_ops"))
+    a = r.agg(F.count("*").alias("total_requests"), F.count_if(_is_api()).alias("api_calls"),
+              F.count_if(_is_graphql()).alias("graphql_ops"))
     j = json_responses(resp).agg(F.count("*").alias("json_responses"))
     w = ws.agg(F.count("*").alias("ws_messages"))
     one = F.lit(1)
@@ -134,8 +140,42 @@ def windowed_stats(req: DataFrame, window: str = "1 hour", watermark: str | None
     """N12 (window and watermark are our addition): request counters per event
     time window; works on a batch or a streaming ``req``."""
     r = req.withWatermark("ts", watermark) if watermark else req
-    r = request_body(r)
-    api = F.col("resource_type").isin("xhr", "fetch") | F.col("url").rlike(API_PATTERN) | F.col("has_body")
-    return r.groupBy(F.window("ts", window).alias("w")).agg(
-        F.count("*").alias("total_requests"), F.sum(api.cast("long")).alias("api_calls")) \
+    return request_body(r).groupBy(F.window("ts", window).alias("w")).agg(
+        F.count("*").alias("total_requests"), F.sum(_is_api().cast("long")).alias("api_calls")) \
         .select(F.col("w.start").alias("window_start"), "total_requests", "api_calls")
+
+
+COUNTERS = ["total_requests", "api_calls", "json_responses", "graphql_ops", "ws_messages"]
+
+
+def windowed_counters(req: DataFrame, resp: DataFrame, ws: DataFrame, window: str = "1 hour",
+                      watermark: str | None = None) -> DataFrame:
+    """The five counters of N09 per event-time window, on batches or on three live
+    feeds.
+
+    Every feed keeps a watermark of its own; its rows become (time, which counters they
+    add to) and the union of the three is aggregated once, so one row of state per open
+    window is all that is kept.  Windows close at the slowest feed's watermark: a feed
+    that is behind is waited for, rows behind the watermark are left out.  Rows without a
+    time are in no window."""
+    def tagged(rows: DataFrame, **adds: Column) -> DataFrame:
+        rows = rows.withWatermark("ts", watermark) if watermark else rows
+        return rows.select("ts", *[F.coalesce(adds.get(c, F.lit(False)), F.lit(False)).cast("int").alias(c) for c in COUNTERS])
+
+    yes = F.lit(True)
+    body = F.try_parse_json("body")
+    is_json = F.col("content_type").contains("json") & (F.coalesce("body", F.lit("")) != "") & body.isNotNull()
+    rows = tagged(request_body(req), total_requests=yes, api_calls=_is_api(), graphql_ops=_is_graphql()) \
+        .unionByName(tagged(resp, json_responses=is_json)).unionByName(tagged(ws, ws_messages=yes))
+    return rows.groupBy(F.window("ts", window).alias("w")).agg(*[F.sum(c).alias(c) for c in COUNTERS]) \
+        .select(F.col("w.start").alias("window_start"), *COUNTERS)
+
+
+def unanswered(req: DataFrame, resp: DataFrame, within: str = "30 seconds", watermark: str | None = None) -> DataFrame:
+    """API calls without a response in the time ``within`` after them (an interval join of both
+    logs by ``event_id``; on live feeds a call is reported once the watermarks have passed its time)."""
+    calls = api_calls(req.withWatermark("ts", watermark) if watermark else req)
+    told = resp.select(F.col("event_id").alias("_id"), F.col("ts").alias("_at"))
+    told = told.withWatermark("_at", watermark) if watermark else told
+    in_time = (F.col("event_id") == F.col("_id")) & (F.col("_at") >= F.col("ts")) & (F.col("_at") <= F.col("ts") + F.expr(f"interval {within}"))
+    return calls.join(told, in_time, "left_outer").filter(F.col("_id").isNull()).select("event_id", "ts", "method", "url")

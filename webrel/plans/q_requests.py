@@ -134,3 +134,25 @@ SELECT strftime(date_trunc('hour', rb.ts), '%Y-%m-%d %H:%M:%S') AS window_start,
        count(*) FILTER (WHERE rtype IN ('xhr', 'fetch') OR regexp_matches(url, '(?i)/api/|/graphql|/v\\d+/|\\.json|/rest/|/data/|/query|/search|/fetch|/ajax') OR has_body)::BIGINT AS api_calls
 FROM rb GROUP BY 1
 """)(_hourly)
+
+
+def _counters(spark, sf):
+    w = N.windowed_counters(*_logs(spark, sf), "1 hour")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *[big(c).alias(c) for c in N.COUNTERS])
+
+
+register("capture_counters_hourly", _RQ + """, tagged AS (
+  SELECT ts, 1 AS a, (rtype IN ('xhr', 'fetch') OR regexp_matches(url, '(?i)/api/|/graphql|/v\\d+/|\\.json|/rest/|/data/|/query|/search|/fetch|/ajax') OR has_body)::INT AS b,
+         0 AS c, (t = 'signup')::INT AS d, 0 AS e FROM rb
+  UNION ALL SELECT ts + to_seconds(event_id % 50), 0, 0, (contains(ctype, 'json') AND json_valid(body))::INT, 0, 0 FROM rq
+  UNION ALL SELECT ts, 0, 0, 0, 0, 1 FROM rq WHERE t = 'click' AND event_id % 3 = 0)
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, sum(a)::BIGINT AS total_requests, sum(b)::BIGINT AS api_calls,
+       sum(c)::BIGINT AS json_responses, sum(d)::BIGINT AS graphql_ops, sum(e)::BIGINT AS ws_messages
+FROM tagged GROUP BY 1
+""")(_counters)
+
+
+register("unanswered_calls", _RQ + """
+SELECT event_id::BIGINT AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, method, url FROM api WHERE event_id % 50 > 30
+""")(lambda spark, sf: N.unanswered(*_logs(spark, sf)[:2]).select(
+    big("event_id").alias("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "method", "url"))

@@ -205,8 +205,9 @@ def capture_log(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
              .otherwise(L("application/json")))
     rbody = (F.when(t == "view", L("<html></html>")).when(t == "error", L("not json"))
              .otherwise(F.concat(L('{"ok": true, "id": '), k.cast("string"), L(', "props": '), F.col("props"), L("}"))))
+    answered = F.expr("cast(ts as timestamp) + make_dt_interval(0, 0, 0, event_id % 50)")
     resp = e.select(k.alias("event_id"), url.alias("url"), status.alias("status"), ctype.alias("content_type"),
-                    rbody.alias("body"))
+                    rbody.alias("body"), answered.alias("ts"))
     ws = e.filter((t == "click") & (k % 3 == 0)).select(
         L("wss://stream.example.com/feed").alias("url"), ts.alias("ts"),
         F.concat(L("tick "), F.col("props")).alias("data"))

@@ -3,6 +3,9 @@
 * ``capture_stats_stream`` (N12): request counters per event-time window with
   a watermark - the windowed aggregation is the stateful operator, late rows
   beyond the watermark are dropped by Spark, output mode append.
+* ``capture_counters_stream`` (N12): all five counters of requests, responses and
+  messages, one watermark a feed, one windowed aggregate over their union.
+* ``unanswered_stream``: interval join of requests and responses.
 * ``monitor_stream`` (M15 / P03): each micro-batch of captured pages is parsed,
   compared with the latest stored snapshot per URL and appended to the
   store (``foreachBatch``, idempotent per batch id).
@@ -41,6 +44,31 @@ def capture_stats_stream(spark: SparkSession, events_path: str, window: str = "1
     return N.windowed_stats(req, window, watermark)
 
 
+REQUESTS = ("event_id BIGINT, ts TIMESTAMP, page_url STRING, method STRING, url STRING, resource_type STRING, "
+            "headers MAP<STRING,STRING>, post_data STRING")
+RESPONSES = "event_id BIGINT, url STRING, status INT, content_type STRING, body STRING, ts TIMESTAMP"
+MESSAGES = "url STRING, ts TIMESTAMP, data STRING"
+
+
+def capture_feeds(spark: SparkSession, requests_path: str, responses_path: str, messages_path: str,
+                  files_per_batch: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three live logs as streams of parquet folders."""
+    read = lambda schema, path: spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return read(REQUESTS, requests_path), read(RESPONSES, responses_path), read(MESSAGES, messages_path)
+
+
+def capture_counters_stream(feeds: tuple[DataFrame, DataFrame, DataFrame], window: str = "1 hour",
+                            watermark: str = "10 minutes") -> DataFrame:
+    """The five counters per window of three live logs, emitted when a window closes."""
+    return N.windowed_counters(*feeds, window, watermark)
+
+
+def unanswered_stream(feeds: tuple[DataFrame, DataFrame, DataFrame], within: str = "30 seconds",
+                      watermark: str = "10 minutes") -> DataFrame:
+    """API calls that got no response in time, emitted when that is certain (stream-stream outer join)."""
+    return N.unanswered(feeds[0], feeds[1], within, watermark)
+
+
 def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append") -> None:
     """Drain a streaming DataFrame to parquet with ``availableNow``."""
     q = (df.writeStream.outputMode(mode).format("parquet").option("path", sink_path)
