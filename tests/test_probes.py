@@ -114,7 +114,7 @@ def test_monitor_batches_may_be_repeated(spark, tmp_path):
 
 
 def test_a_broken_store_is_not_an_empty_one(spark, tmp_path):
-    bad = tmp_path / "store" / "batch=1" / "host_bucket=0"
+    bad = tmp_path / "store" / "generations" / "gen=000000000001"
     bad.mkdir(parents=True)
     (bad / "part-0.parquet").write_bytes(b"no parquet file at all")
     with pytest.raises(Exception, match=r"(?i)parquet|footer"):

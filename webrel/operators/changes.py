@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +20,7 @@ from webrel.operators import business as B
 from webrel.operators import dom as D
 from webrel.operators import page as P
 from webrel.session import written
+from webrel.sources.store import SnapshotStore
 
 
 def _empty():
@@ -138,47 +138,35 @@ def diff_report(changes: DataFrame) -> DataFrame:
     return changes.select("url", "type", TX.cut(F.concat_ws(" | ", *parts), 200).alias("detail"))
 
 
-HOST_BUCKETS = 64  # folders per batch of the snapshot store
-
-
 def stored_snapshots(spark: SparkSession, store_path: str) -> DataFrame | None:
-    """The snapshot store; None if there is none yet.  Any other failure to read it
-    is raised: a store that cannot be read is not an empty one."""
-    try:
-        return spark.read.option("basePath", store_path).parquet(store_path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    """All snapshots of a store; None if there is none yet.  A store that cannot be read is an error."""
+    return SnapshotStore(spark, store_path).history()
 
 
 def monitor_batch(captures: DataFrame, store_path: str, out_path: str, deep: bool = False,
                   batch_id: int | str | None = None) -> None:
     """P03 / M15 body: compare every captured page with the snapshot before it (an
-    earlier capture of the batch, else the latest stored one of another batch),
-    write status and change rows and the snapshots.
+    earlier capture of the batch, else the latest stored one), write status and
+    change rows and add the snapshots to the store.
 
-    All three go to folders of the batch, which a repeated batch overwrites, so it
-    leaves the same files and never compares with itself.  Without ``batch_id`` the
-    call is a batch of its own.  The store is laid out by batch and by a bucket of
-    the host; only the buckets of the batch are read."""
+    Status and changes go to folders of the batch, which a repeated batch overwrites; the
+    store takes its rows once.  A repeated batch is compared with the store as it was
+    before it, so it leaves the same files.  Without ``batch_id`` the call is a batch of
+    its own.  What a batch reads is the latest snapshot per url, never the history."""
     spark = captures.sparkSession
     batch = uuid.uuid4().hex if batch_id is None else str(batch_id)
+    store = SnapshotStore(spark, store_path)
+    base = store.before(batch)
     new = snapshot_records(D.parse(captures), captures)
-    bucket = F.pmod(F.xxhash64(U.netloc(F.col("url"))), F.lit(HOST_BUCKETS)).cast("int")
     cols = new.columns
-    rows = new.withColumn("is_new", F.lit(True))
-    old = stored_snapshots(spark, store_path)
-    if old is not None:
-        buckets = [r[0] for r in new.select(bucket).distinct().collect()]   # at most HOST_BUCKETS
-        old = old.filter(F.col("host_bucket").isin(buckets) & (F.col("batch").cast("string") != batch))
-        old = latest(old.join(new.select("url").distinct(), "url", "left_semi").select(*cols)).drop("n_snapshots")
-        rows = rows.unionByName(old.select(*cols).withColumn("is_new", F.lit(False)))
-    w = Window.partitionBy("url").orderBy("is_new", "snapshot_ts", "page_id")   # the captures of one url in a batch
-    before = F.lag(F.struct(*[c for c in cols if c != "url"])).over(w)
-    j = rows.withColumn("_o", before).filter("is_new")
-    j = j.select(*cols, *[F.col(f"_o.{c}").alias(f"o_{c}") for c in cols if c != "url"])
+    rest = [c for c in cols if c != "url"]
+    w = Window.partitionBy("url").orderBy("snapshot_ts", "page_id")   # the captures of one url in a batch
+    j = store.join_latest(new, base).withColumn("_before", F.lag(F.struct(*rest)).over(w))
+    old = F.struct(*[F.when(F.col("_before").isNotNull(), F.col(f"_before.{c}")).otherwise(
+        F.col(f"_old.{c}")).alias(c) for c in rest])
+    j = j.withColumn("_o", old).select(*cols, *[F.col(f"_o.{c}").alias(f"o_{c}") for c in rest])
     status, changes = _compare_rows(j, deep)
     status.write.mode("overwrite").parquet(f"{out_path}/status/batch={batch}")
     changes.write.mode("overwrite").parquet(f"{out_path}/changes/batch={batch}")
-    (new.withColumn("host_bucket", bucket).write.mode("overwrite").partitionBy("host_bucket").parquet(f"{store_path}/batch={batch}"))
+    store.append(new, batch)
+    store.expire()

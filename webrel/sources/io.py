@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webrel.sources.store import SnapshotStore
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -154,12 +156,11 @@ def output_slug(url: Column, ts: Column) -> Column:
     return F.concat(host, F.lit("_"), F.date_format(ts, "yyyyMMdd_HHmmss"))
 
 
-def append_snapshot(records: DataFrame, path: str) -> None:
-    """Append snapshot records, partitioned by host."""
-    (records.withColumn("host", F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-     .write.mode("append").partitionBy("host").parquet(path))
+def append_snapshot(records: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add snapshot records to the store at ``path`` as one generation."""
+    SnapshotStore(records.sparkSession, path).append(records, batch)
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot store (host partitions pruned by filters on ``host``)."""
-    return spark.read.parquet(path)
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
+    """All snapshots of the store's newest generation (None: no store yet)."""
+    return SnapshotStore(spark, path).history()
