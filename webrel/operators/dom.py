@@ -74,6 +74,7 @@ class Dom:
     texts: DataFrame
     txt: DataFrame | None = None   # (page_id, txt) position-indexed text arrays
     base: DataFrame | None = None  # elements without depth/parent (cheaper; no extra windows)
+    arrays: DataFrame | None = None  # (page_id, toks) token arrays, one row per page
 
     @property
     def el(self) -> DataFrame:
@@ -91,7 +92,7 @@ class Dom:
         from pyspark import StorageLevel
         lvl = StorageLevel.MEMORY_AND_DISK
         return Dom(self.tokens.persist(lvl), self.elements.persist(lvl), self.texts.persist(lvl),
-                   self.txt.persist(lvl) if self.txt is not None else None, None)
+                   self.txt.persist(lvl) if self.txt is not None else None, None, self.arrays)
 
     def unpersist(self) -> None:
         for df in (self.tokens, self.elements, self.texts, self.txt):
@@ -166,11 +167,15 @@ def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     return t.withColumn("tc", F.col("pos"))
 
 
+def text_array(toks: Column) -> Column:
+    """The text at every token position (NULL for markup)."""
+    return F.transform(toks, lambda p: _text(p["tok"], _kind(p["tok"], p["k"])))
+
+
 def page_text_arrays(arrays: DataFrame) -> DataFrame:
-    """``(page_id, txt)``: the text at every token position (NULL for markup),
-    projected from the page's token array - no aggregation, no sort."""
-    return arrays.select("page_id", F.transform("toks", lambda p: _text(p["tok"], _kind(p["tok"], p["k"])))
-                         .alias("txt"))
+    """``(page_id, txt)``: the text at every token position, projected from the
+    page's token array - no aggregation, no sort."""
+    return arrays.select("page_id", text_array(F.col("toks")).alias("txt"))
 
 
 def attrs_of(tok: Column) -> Column:
@@ -271,7 +276,7 @@ def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
         epar, tpar = _depth_parent(tokens, elements)
         elements = elements.join(epar.withColumnRenamed("pos", "start"), ["page_id", "start"], "left")
         texts = texts.join(tpar, ["page_id", "pos"], "left")
-    return Dom(tokens, elements, texts, page_text_arrays(arrays), base)
+    return Dom(tokens, elements, texts, page_text_arrays(arrays), base, arrays)
 
 
 def page_texts(tokens: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """Rule-driven extraction.
 
 A rule is ``{field, selector, multiple, regex, attr}`` (CSS or the XPath forms
-of ``select.parse_xpath``).  All rules of a profile are compiled into boolean
-columns of ONE elements pass; items are produced by a single join of text
-nodes to their parent element and by attribute / markup projections, then
-tagged with the rule ids whose flag is set.  Output is long form
+of ``select.parse_xpath``).  All rules of a profile are read from the
+page's arrays (``tree``) in one expression, in which rules that begin alike share
+their first steps: no join and no exchange per rule.  Output is long form
 ``(page_id, field, idx, value)``; ``wide`` pivots over the known field list.
 
 Rules are configuration (a profile file), compiled on the driver.  An item's
@@ -19,7 +18,8 @@ from pyspark.sql import functions as F
 from webrel.functions import text as TX
 from webrel.operators import dom as D
 from webrel.operators import page as P
-from webrel.operators.select import flag, parse_any, simple_pred
+from webrel.operators import tree as T
+from webrel.operators.select import parse_any, simple_pred
 
 def _as_list(rules) -> list[dict]:
     if isinstance(rules, DataFrame):
@@ -31,93 +31,17 @@ def _as_list(rules) -> list[dict]:
     return out
 
 
-def _at(token: str, k: Column | None = None) -> Column:
-    """Order of an item in its page."""
-    return F.struct(F.col(token).cast("int").alias("at"), (F.lit(0) if k is None else k).cast("int").alias("k")).alias("pos")
-
-
-def page_tokens(dom: D.Dom) -> DataFrame:
-    return dom.tokens.groupBy("page_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]).alias("toks"))
-
-
-def outer_html(dom: D.Dom, sel: DataFrame) -> DataFrame:
-    """X08 fallback: source markup of each selected element (start tag through
-    its end tag when present)."""
-    pt = page_tokens(dom)
-    j = sel.join(pt, "page_id", "left")
-    n = F.col("end") - F.col("start")
-    body = F.array_join(F.slice("toks", F.col("start") + 1, F.greatest(n, F.lit(1))), "")
-    close = F.try_element_at("toks", F.col("end") + 1)
-    has_close = (~F.col("void")) & F.coalesce(
-        F.regexp_replace(F.lower(close), r"\s+", "") == F.concat(F.lit("</"), F.col("tag"), F.lit(">")), F.lit(False))
-    return j.withColumn("html", F.when(has_close, F.concat(body, close)).otherwise(body)).drop("toks")
-
-
 def items(dom: D.Dom, rules) -> DataFrame:
-    """Every item of every rule: (page_id, rule_id, pos, value) in document order."""
-    rules = _as_list(rules)
-    e = dom.elements
+    """Every item of every rule: (page_id, rule_id, pos, value), ``pos`` in document order."""
     kinds = {}
-    for i, r in enumerate(rules):
-        if not r["selector"]:
-            continue
-        sel = parse_any(r["selector"])
-        if r["attr"]:
-            sel.pseudo_element, sel.attr = "attr", r["attr"].lower()
-        kinds[i] = sel
-        e = flag(e, sel, f"_r{i}", own_texts=P.own_parts(dom, dom.elements.select("page_id", "start"))
-                 .select("page_id", "start", F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit("")).alias("text"))
-                 if any(s.own_text_contains for ch in sel.chains for _, s in ch) else None)
+    for i, r in enumerate(_as_list(rules)):
+        if r["selector"]:
+            kinds[i] = sel = parse_any(r["selector"])
+            if r["attr"]:
+                sel.pseudo_element, sel.attr = "attr", r["attr"].lower()
     if not kinds:
         return dom.elements.sparkSession.createDataFrame([], "page_id bigint, rule_id int, pos struct<at:int,k:int>, value string")
-
-    def ids(kind_pred) -> Column:
-        sel_ids = [i for i, s in kinds.items() if kind_pred(s)]
-        if not sel_ids:
-            return F.array().cast("array<int>")
-        return F.filter(F.array(*[F.when(F.col(f"_r{i}"), F.lit(i)) for i in sel_ids]), lambda x: x.isNotNull())
-
-    flags = e.select("page_id", "start", "end", "tag", "void", "attrs", "start_tc", "end_tc",
-                     ids(lambda s: s.pseudo_element == "text").alias("_t"),
-                     ids(lambda s: s.pseudo_element == "alltext").alias("_a"),
-                     ids(lambda s: s.pseudo_element == "attr").alias("_at"),
-                     ids(lambda s: s.pseudo_element is None).alias("_h"))
-    attr_names = F.create_map(*[x for i, s in kinds.items() if s.pseudo_element == "attr"
-                                for x in (F.lit(i), F.lit(s.attr))]) if any(
-        s.pseudo_element == "attr" for s in kinds.values()) else None
-    out = []
-    # own text nodes of matched elements
-    t_el = flags.filter(F.size("_t") > 0).select("page_id", F.col("start").alias("parent_start"), "_t")
-    own = dom.texts.join(t_el, ["page_id", "parent_start"]).select(
-        "page_id", F.explode("_t").alias("rule_id"), _at("pos"), F.col("text").alias("value"))
-    out.append(own)
-    # all descendant text nodes
-    a_el = flags.filter(F.size("_a") > 0).select("page_id", "start", "start_tc", "end_tc", "_a")
-    deep = (D.with_text_parts(a_el, dom).select("page_id", "start", "_a", F.posexplode("parts").alias("k", "value"))
-            .select("page_id", F.explode("_a").alias("rule_id"), _at("start", F.col("k")), "value"))
-    out.append(deep)
-    # attributes
-    if attr_names is not None:
-        at = flags.filter(F.size("_at") > 0).select("page_id", _at("start"), "attrs",
-                                                     F.explode("_at").alias("rule_id"))
-        at = at.select("page_id", "rule_id", "pos", F.col("attrs")[attr_names[F.col("rule_id")]].alias("value"))
-        out.append(at.filter(F.col("value").isNotNull()))
-    # element markup
-    h_el = flags.filter(F.size("_h") > 0).select("page_id", "start", "end", "tag", "void", "_h")
-    hh = outer_html(dom, h_el).select("page_id", F.explode("_h").alias("rule_id"), _at("start"),
-                                      F.col("html").alias("value"))
-    out.append(hh)
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    idx = {i: s.index for i, s in kinds.items() if s.index}
-    if idx:
-        w = Window.partitionBy("page_id", "rule_id").orderBy("pos")
-        m = F.create_map(*[x for kv in idx.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-        res = res.withColumn("_n", F.row_number().over(w)).filter(
-            F.col("_n") == F.coalesce(m[F.col("rule_id")], F.col("_n"))).drop("_n")
-    return res
+    return T.rule_items(T.encode(dom), kinds)
 
 
 def extract(dom: D.Dom, rules) -> DataFrame:
@@ -128,26 +52,21 @@ def extract(dom: D.Dom, rules) -> DataFrame:
     group 0; a later rule with the same field replaces an earlier one.
     """
     rules = _as_list(rules)
-    it = items(dom, rules)
-    last_rule = {}
-    for i, r in enumerate(rules):
-        last_rule[r["field"]] = i
-    keep = sorted(last_rule.values())
-    rmeta = it.sparkSession.createDataFrame(
-        [(i, rules[i]["field"], rules[i]["multiple"], rules[i]["regex"] or "") for i in keep],
-        "rule_id int, field string, multiple boolean, regex string")
-    it = it.join(rmeta, "rule_id")
-    single = (it.filter(~F.col("multiple")).groupBy("page_id", "rule_id", "field", "regex")
-              .agg(F.min_by("value", "pos").alias("value"), F.min("pos").alias("pos")))
-    multi = it.filter(F.col("multiple")).select("page_id", "rule_id", "field", "regex", "value", "pos")
-    both = single.unionByName(multi)
+    last = {r["field"]: i for i, r in enumerate(rules)}
+    keep = {i: rules[i] for i in last.values()}
+    if not keep:
+        return items(dom, rules).select("page_id", F.lit("").alias("field"), F.lit(0).alias("idx"), "value")
+
+    def of(key: str) -> Column:
+        return F.create_map(*[F.lit(x) for i, r in keep.items() for x in (i, r[key] if r[key] is not None else "")])[F.col("rule_id")]
+
+    it = items(dom, rules).withColumns({"field": of("field"), "multiple": of("multiple"), "regex": of("regex")}).filter("field is not null")
+    w = Window.partitionBy("page_id", "rule_id").orderBy("pos")
+    it = it.withColumn("_n", F.row_number().over(w)).filter(F.col("multiple") | (F.col("_n") == 1))
     # user patterns are Python regexes: Unicode \w \d \s
     rx = F.concat(F.lit("(?U)"), F.col("regex"))
-    both = both.withColumn("value", F.when(F.col("regex") == "", F.col("value"))
-                           .otherwise(F.regexp_substr(F.col("value"), rx)))
-    both = both.filter(F.col("value").isNotNull())
-    w = Window.partitionBy("page_id", "rule_id").orderBy("pos")
-    return both.withColumn("idx", F.row_number().over(w) - 1).select("page_id", "field", "idx", "value")
+    it = it.withColumn("value", F.when(F.col("regex") == "", F.col("value")).otherwise(F.regexp_substr(F.col("value"), rx)))
+    return it.filter(F.col("value").isNotNull()).withColumn("idx", F.row_number().over(w) - 1).select("page_id", "field", "idx", "value")
 
 
 def wide(long: DataFrame, pages: DataFrame, fields: list[str], multiple: dict[str, bool]) -> DataFrame:
@@ -245,4 +164,4 @@ def scrape(dom: D.Dom, rules=None, meta=False, links=False, images=False, tables
 
 
 __all__ = ["items", "extract", "wide", "spider_items", "find_by_text", "selector_for", "preview", "display",
-           "adhoc", "scrape", "outer_html", "simple_pred"]
+           "adhoc", "scrape", "simple_pred"]

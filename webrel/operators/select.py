@@ -18,6 +18,7 @@ join.  Only the child combinator joins (on ``parent_start``).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -144,8 +145,7 @@ def parse_any(sel: str) -> Selector:
     return parse_css(s)
 
 
-def _attr_pred(name: str, op: str | None, val: str | None) -> Column:
-    a = F.col("attrs")[name]
+def _attr_pred(a: Column, op: str | None, val: str | None) -> Column:
     if op is None:
         return a.isNotNull()
     if op == "=":
@@ -163,16 +163,17 @@ def _attr_pred(name: str, op: str | None, val: str | None) -> Column:
     raise ValueError(op)
 
 
-def simple_pred(s: Simple) -> Column:
+def simple_pred(s: Simple, of: Callable[[str], Column] = F.col) -> Column:
+    """Tag, id, class and attribute conditions on an element whose fields ``of`` gives."""
     p = F.lit(True)
     if s.tag:
-        p = p & (F.col("tag") == s.tag)
+        p = p & (of("tag") == s.tag)
     for i in s.ids:
-        p = p & (F.col("attrs")["id"] == i)
+        p = p & (of("attrs")["id"] == i)
     for c in s.classes:
-        p = p & F.coalesce(F.array_contains(F.split(F.trim(F.col("attrs")["class"]), r"\s+"), c), F.lit(False))
+        p = p & F.coalesce(F.array_contains(F.split(F.trim(of("attrs")["class"]), r"\s+"), c), F.lit(False))
     for a in s.attrs:
-        p = p & F.coalesce(_attr_pred(*a), F.lit(False))
+        p = p & F.coalesce(_attr_pred(of("attrs")[a[0]], *a[1:]), F.lit(False))
     return p
 
 
