@@ -1,20 +1,23 @@
 """Business-data extraction.
 
 Every block type is "elements matching a class heuristic, with their text and
-the text of the first descendant-or-self element matching a sub-selector".
-That is one flag pass (``select.flag``), one ``first_match`` window per
-sub-selector, one text pass, and equi-joins on ``(page_id, start)``.
+the text of the first descendant-or-self element matching a sub-selector": an
+expression over the page's arrays (``tree``).  ``extract_business`` reads them all
+from one reading of the page; the single operators give their rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrel.functions import text as TX
 from webrel.operators import dom as D
-from webrel.operators import page as P
-from webrel.operators.select import first_match, first_matches, flag
+from webrel.operators import record as RC
+from webrel.operators.record import first, in_element, text_or
+from webrel.operators.tree import Page, let
 
 # --- fixed values -----------------------------------------------------------
 PRICE_SEL = "[class*='price'], [class*='plan'], [class*='pricing'], [id*='price'], [id*='plan']"
@@ -44,50 +47,6 @@ LIMITS = {"price_label": 100, "price_text": 300, "fallback_label": 50, "fallback
 # ---------------------------------------------------------------------------
 
 
-def block_texts(dom: D.Dom, block_sel: str, subs: dict[str, str], attrs_of: dict[str, str] | None = None,
-                extra_block: Column | None = None) -> DataFrame:
-    """Blocks matching ``block_sel`` with ``text`` (``_texts``) and, for each
-    sub-selector, ``<name>`` = text of its first descendant-or-self match and
-    ``<name>_start`` = that element's start.  ``attrs_of`` maps an output
-    column to ``sub:attribute`` (value of that attribute on the sub match);
-    ``extra_block`` adds more block rows (flag ``_blk`` false, ``_extra`` true).
-
-    One elements pass: every sub match travels as (start, end, attrs) through
-    one backward window, and all texts are slices of the page text array after
-    a single join - no per-sub join, no second DOM derivation."""
-    attrs_of = attrs_of or {}
-    e = flag(dom.el, block_sel, "_blk")
-    e = e.withColumn("_extra", extra_block if extra_block is not None else F.lit(False))
-    names = list(subs)
-    for n in names:
-        e = flag(e, subs[n], f"_s_{n}")
-    w = (Window.partitionBy("page_id").orderBy(F.col("start").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    m = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("attrs").alias("a"))
-    e = e.select("*", *[F.last(F.when(F.col(f"_s_{n}"), m), ignorenulls=True).over(w).alias(f"_m_{n}")
-                        for n in names])
-    limit = F.when(F.col("void"), F.col("start") + 1).otherwise(F.col("end"))
-    blocks = e.filter(F.col("_blk") | F.col("_extra")).select(
-        "page_id", "start", "end", "attrs", "_blk", "_extra",
-        *[F.when(F.col(f"_m_{n}.s") < limit, F.col(f"_m_{n}")).alias(f"_m_{n}") for n in names])
-    blocks = blocks.join(dom.page_texts(), "page_id", "left")
-
-    def text(st: Column, en: Column) -> Column:
-        n = en - st - 1
-        parts = F.filter(F.slice("txt", st + 2, F.greatest(n, F.lit(0))), lambda x: x.isNotNull())
-        return F.when(n > 0, TX.strip_join(parts)).otherwise(F.lit(""))
-
-    cols = [F.coalesce(text(F.col("start"), F.col("end")), F.lit("")).alias("text")]
-    for n in names:
-        mm = F.col(f"_m_{n}")
-        cols.append(F.coalesce(text(mm["s"], mm["e"]), F.lit("")).alias(n))
-        cols.append(mm["s"].alias(f"{n}_start"))
-    for out, spec in attrs_of.items():
-        sub, attr = spec.split(":")
-        cols.append(F.col(f"_m_{sub}")["a"][attr].alias(out))
-    return blocks.select("page_id", "start", "attrs", "_blk", "_extra", *cols)
-
-
 def dedupe_keep_first(df: DataFrame, key: str, order: str, by: list[str] | None = None) -> DataFrame:
     """First row per (``by`` + ``key``) in ``order``; rows with an empty key
     are all kept.  Written as one aggregation (partial aggregation absorbs a
@@ -100,106 +59,123 @@ def dedupe_keep_first(df: DataFrame, key: str, order: str, by: list[str] | None
     return firsts.unionByName(df.filter(k == "").select(*cols))
 
 
-def contact(dom: D.Dom) -> DataFrame:
-    """B01-B03 on ``" ".join(body *::text)``: e-mails, phones, hours per page."""
-    bt = P.body_texts(dom).groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ")
-        .alias("t"))
-    return bt.select("page_id", TX.emails(F.col("t")).alias("emails"), TX.phones(F.col("t")).alias("phones"),
-                     TX.opening_hours(F.col("t")).alias("hours"))
+def _text(p: Page, e: Column) -> Column:
+    """Text of an element; '' for none."""
+    return text_or(TX.strip_join(p.deep(e)))
+
+
+def _blocks(p: Page, found: Column, subs: dict[str, str], row: Callable[[Column, dict[str, Column]], Column]) -> Column:
+    """``row`` of every element of ``found`` with, by name, its first descendant-or-self element that
+    matches each sub-selector (null: none)."""
+    def within(e: Column, matches: Column) -> Column:
+        till = F.when(e["void"], e["start"] + 1).otherwise(e["end"])
+        return first(F.filter(matches, lambda x: (x["start"] >= e["start"]) & (x["start"] < till)))
+
+    def bind(names: list[str], matches: dict[str, Column]) -> Column:
+        if names:
+            return let(p.select(subs[names[0]]), lambda m: bind(names[1:], {**matches, names[0]: m}))
+        return F.transform(found, lambda e: row(e, {n: within(e, m) for n, m in matches.items()}))
+
+    return bind(list(subs), {})
+
+
+def _keep_first(rows: Column, key: str) -> Column:
+    """B12 within a page: the first row per key, and all rows with an empty one."""
+    return let(rows, lambda rs: let(F.transform(rs, lambda r: r[key]), lambda ks: F.filter(
+        rs, lambda r, i: (r[key] == "") | (F.array_position(ks, r[key]) == i + 1))))
+
 
+def _class_id(e: Column) -> Column:
+    return F.lower(F.concat(text_or(e["attrs"]["class"]), text_or(e["attrs"]["id"])))
 
-def _class_id(a: Column) -> Column:
-    return F.lower(F.concat(F.coalesce(a["class"], F.lit("")), F.coalesce(a["id"], F.lit(""))))
 
+def contact(p: Page) -> Column:
+    """B01-B03 on ``" ".join(body *::text)``: e-mails, phones, hours."""
+    parts = let(first(RC.tagged(p, "body")), lambda b: F.transform(
+        F.filter(p.texts, lambda t: in_element(b, t["start"]) & (t["parent"] != b["start"])), lambda t: t["text"]))
+    return let(text_or(F.array_join(parts, " ")), lambda t: F.struct(
+        TX.emails(t).alias("emails"), TX.phones(t).alias("phones"), TX.opening_hours(t).alias("hours")))
 
-def pricing(dom: D.Dom) -> DataFrame:
-    """B04 + B05 in one pass.
+
+def pricing(p: Page) -> Column:
+    """B04 + B05.
 
     B04: price/plan blocks with text: label, prices_found, text <= 300, kept
     when a price or a price keyword is found.  B05, only for pages without any
     B04 row: elements whose class+id holds a price keyword and whose text holds
-    a price; label = class+id <= 50, text <= 200.  A per-page window flag
-    decides between them (no anti-join, no second DOM pass)."""
-    cid = _class_id(F.col("attrs"))
-    b = block_texts(dom, PRICE_SEL, {"label": PRICE_LABEL_SEL},
-                    extra_block=TX.has_keyword(cid, TX.PRICE_KEYWORDS))
-    b = b.withColumn("prices_found", TX.prices(F.col("text"))).withColumn("class_id", _class_id(F.col("attrs")))
-    is4 = F.col("_blk") & (F.col("text") != "") & (
-        (F.size("prices_found") > 0) | TX.has_keyword(F.col("text"), TX.PRICE_KEYWORDS))
-    is5 = F.col("_extra") & (F.size("prices_found") > 0)
-    b = b.withColumn("_is4", is4).withColumn("_is5", is5)
-    page_has4 = F.max(F.col("_is4").cast("int")).over(Window.partitionBy("page_id")) == 1
-    b = b.withColumn("_page4", page_has4).filter(F.col("_is4") | (~F.col("_page4") & F.col("_is5")))
-    primary = F.col("_page4")
-    return b.select("page_id", "start",
-                    F.when(primary, TX.cut(F.col("label"), LIMITS["price_label"]))
-                    .otherwise(TX.cut(F.col("class_id"), LIMITS["fallback_label"])).alias("label"),
-                    "prices_found",
-                    F.when(primary, TX.cut(F.col("text"), LIMITS["price_text"]))
-                    .otherwise(TX.cut(F.col("text"), LIMITS["fallback_text"])).alias("text"))
-
-
-def price_cards(dom: D.Dom) -> DataFrame:
-    """B04 alone (rows of pages that have price blocks)."""
-    b = block_texts(dom, PRICE_SEL, {"label": PRICE_LABEL_SEL})
-    b = b.filter(F.col("text") != "").withColumn("prices_found", TX.prices(F.col("text")))
-    b = b.filter((F.size("prices_found") > 0) | TX.has_keyword(F.col("text"), TX.PRICE_KEYWORDS))
-    return b.select("page_id", "start", TX.cut(F.col("label"), LIMITS["price_label"]).alias("label"),
-                    "prices_found", TX.cut(F.col("text"), LIMITS["price_text"]).alias("text"))
-
-
-def services(dom: D.Dom) -> DataFrame:
+    a price; label = class+id <= 50, text <= 200."""
+    def row(e: Column, sub: dict[str, Column], blocks: Column) -> Column:
+        return let(_text(p, e), lambda t: let(TX.prices(t), lambda found: F.struct(
+            e["start"].alias("start"), _text(p, sub["label"]).alias("label"), _class_id(e).alias("class_id"), found.alias("prices_found"), t.alias("text"),
+            (F.array_contains(blocks, e["start"]) & (t != "") & ((F.size(found) > 0) | TX.has_keyword(t, TX.PRICE_KEYWORDS))).alias("block"),
+            (TX.has_keyword(_class_id(e), TX.PRICE_KEYWORDS) & (F.size(found) > 0)).alias("fallback"))))
+
+    def cut(r: Column, label: str, limits: tuple[str, str]) -> Column:
+        return F.struct(r["start"].alias("start"), TX.cut(r[label], LIMITS[limits[0]]).alias("label"), r["prices_found"].alias("prices_found"),
+                        TX.cut(r["text"], LIMITS[limits[1]]).alias("text"))
+
+    def rows(blocks: Column) -> Column:
+        some = F.filter(p.els, lambda e: F.array_contains(blocks, e["start"]) | TX.has_keyword(_class_id(e), TX.PRICE_KEYWORDS))
+        return _blocks(p, some, {"label": PRICE_LABEL_SEL}, lambda e, sub: row(e, sub, blocks))
+
+    every = let(F.transform(p.select(PRICE_SEL), lambda e: e["start"]), rows)
+    return let(every, lambda rs: F.when(F.exists(rs, lambda r: r["block"]), F.transform(
+        F.filter(rs, lambda r: r["block"]), lambda r: cut(r, "label", ("price_label", "price_text")))).otherwise(F.transform(
+            F.filter(rs, lambda r: r["fallback"]), lambda r: cut(r, "class_id", ("fallback_label", "fallback_text")))))
+
+
+def services(p: Page) -> Column:
     """service/feature/product blocks with text > 20: name, description."""
-    b = block_texts(dom, SERVICE_SEL, {"name": "h1, h2, h3, h4", "description": "p"})
-    b = b.filter(F.length("text") > LIMITS["service_min"])
-    b = b.select("page_id", "start", TX.cut(F.col("name"), LIMITS["service_name"]).alias("name"),
-                 TX.cut(F.col("description"), LIMITS["service_desc"]).alias("description"))
-    return dedupe_keep_first(b, "name", "start", ["page_id"])
+    found = F.filter(p.select(SERVICE_SEL), lambda e: F.length(_text(p, e)) > LIMITS["service_min"])
+    rows = _blocks(p, found, {"name": "h1, h2, h3, h4", "description": "p"}, lambda e, sub: F.struct(
+        e["start"].alias("start"), TX.cut(_text(p, sub["name"]), LIMITS["service_name"]).alias("name"),
+        TX.cut(_text(p, sub["description"]), LIMITS["service_desc"]).alias("description")))
+    return _keep_first(rows, "name")
 
 
-def team(dom: D.Dom) -> DataFrame:
+def team(p: Page) -> Column:
     """Team member blocks: name, role, bio, photo; name or role required."""
-    b = block_texts(dom, TEAM_SEL, {"name": TEAM_NAME_SEL, "role": TEAM_ROLE_SEL, "bio": "p", "img": "img"},
-                    attrs_of={"photo": "img:src"})
-    b = b.filter(F.length("text") >= LIMITS["team_min"])
-    b = b.select("page_id", "start", TX.cut(F.col("name"), LIMITS["team_name"]).alias("name"),
-                 TX.cut(F.col("role"), LIMITS["team_role"]).alias("role"),
-                 TX.cut(F.col("bio"), LIMITS["team_bio"]).alias("bio"),
-                 F.coalesce("photo", F.lit("")).alias("photo"))
-    b = b.filter((F.col("name") != "") | (F.col("role") != ""))
-    return dedupe_keep_first(b, "name", "start", ["page_id"])
-
-
-def testimonials(dom: D.Dom) -> DataFrame:
+    found = F.filter(p.select(TEAM_SEL), lambda e: F.length(_text(p, e)) >= LIMITS["team_min"])
+    rows = _blocks(p, found, {"name": TEAM_NAME_SEL, "role": TEAM_ROLE_SEL, "bio": "p", "img": "img"}, lambda e, sub: F.struct(
+        e["start"].alias("start"), *[TX.cut(_text(p, sub[n]), LIMITS[f"team_{n}"]).alias(n) for n in ("name", "role", "bio")],
+        text_or(sub["img"]["attrs"]["src"]).alias("photo")))
+    return _keep_first(F.filter(rows, lambda r: (r["name"] != "") | (r["role"] != "")), "name")
+
+
+def testimonials(p: Page) -> Column:
     """testimonial/review blocks with text >= 20: text, author."""
-    b = block_texts(dom, TESTIMONIAL_SEL, {"author": AUTHOR_SEL})
-    b = b.filter(F.length("text") >= LIMITS["testimonial_min"])
-    return b.select("page_id", "start", TX.cut(F.col("text"), LIMITS["testimonial_text"]).alias("text"),
-                    TX.cut(F.col("author"), LIMITS["testimonial_author"]).alias("author"))
+    found = F.filter(p.select(TESTIMONIAL_SEL), lambda e: F.length(_text(p, e)) >= LIMITS["testimonial_min"])
+    return _blocks(p, found, {"author": AUTHOR_SEL}, lambda e, sub: F.struct(
+        e["start"].alias("start"), TX.cut(_text(p, e), LIMITS["testimonial_text"]).alias("text"),
+        TX.cut(_text(p, sub["author"]), LIMITS["testimonial_author"]).alias("author")))
 
 
-def faqs(dom: D.Dom) -> DataFrame:
+def faqs(p: Page) -> Column:
     """FAQ blocks: question (required), answer."""
-    b = block_texts(dom, FAQ_SEL, {"question": QUESTION_SEL, "answer": ANSWER_SEL})
-    b = b.filter(F.col("question") != "")
-    return b.select("page_id", "start", TX.cut(F.col("question"), LIMITS["faq_q"]).alias("question"),
-                    TX.cut(F.col("answer"), LIMITS["faq_a"]).alias("answer"))
+    rows = _blocks(p, p.select(FAQ_SEL), {"question": QUESTION_SEL, "answer": ANSWER_SEL}, lambda e, sub: F.struct(
+        e["start"].alias("start"), TX.cut(_text(p, sub["question"]), LIMITS["faq_q"]).alias("question"),
+        TX.cut(_text(p, sub["answer"]), LIMITS["faq_a"]).alias("answer")))
+    return F.filter(rows, lambda r: r["question"] != "")
 
 
-def locations(dom: D.Dom) -> DataFrame:
+def locations(p: Page) -> Column:
     """Distinct location/address texts longer than 10 characters."""
-    b = block_texts(dom, LOCATION_SEL, {})
-    b = b.filter(F.length("text") > LIMITS["location_min"])
-    return b.select("page_id", TX.cut(F.col("text"), LIMITS["location_text"]).alias("location")).distinct()
+    texts = F.transform(p.select(LOCATION_SEL), lambda e: _text(p, e))
+    return F.array_distinct(F.transform(F.filter(texts, lambda t: F.length(t) > LIMITS["location_min"]), lambda t: TX.cut(t, LIMITS["location_text"])))
 
 
-def key_stats(dom: D.Dom) -> DataFrame:
+def key_stats(p: Page) -> Column:
     """Stat blocks: number (required), label."""
-    b = block_texts(dom, STAT_SEL, {"number": STAT_NUMBER_SEL, "label": STAT_LABEL_SEL})
-    b = b.filter(F.col("number") != "")
-    return b.select("page_id", "start", TX.cut(F.col("number"), LIMITS["stat_number"]).alias("number"),
-                    TX.cut(F.col("label"), LIMITS["stat_label"]).alias("label"))
+    rows = _blocks(p, p.select(STAT_SEL), {"number": STAT_NUMBER_SEL, "label": STAT_LABEL_SEL}, lambda e, sub: F.struct(
+        e["start"].alias("start"), TX.cut(_text(p, sub["number"]), LIMITS["stat_number"]).alias("number"),
+        TX.cut(_text(p, sub["label"]), LIMITS["stat_label"]).alias("label")))
+    return F.filter(rows, lambda r: r["number"] != "")
+
+
+def rows(dom: D.Dom, part: Callable[[Page], Column]) -> DataFrame:
+    """The rows of one part: ``page_id``, and the fields of its structs (``value`` for plain values)."""
+    each = RC.parts(dom, x=part).select("page_id", F.explode("x").alias("x"))
+    return each.select("page_id", "x.*") if each.schema["x"].dataType.typeName() == "struct" else each.withColumnRenamed("x", "value")
 
 
 def price_value(price: Column) -> Column:
@@ -208,31 +184,21 @@ def price_value(price: Column) -> Column:
            .when(price.contains("¥"), "JPY").when(price.contains("₹"), "INR")
            .otherwise(F.upper(F.regexp_extract(price, r"(?i)(USD|EUR|MXN|COP)", 1))))
     num = F.regexp_extract(price, r"\d[\d,\.]*", 0)
-    # "1.234,50" (comma decimal) vs "1,234.50"
-    comma_dec = num.rlike(r",\d{1,2}$")
-    clean = F.when(comma_dec, F.replace(F.replace(num, F.lit("."), F.lit("")), F.lit(","), F.lit("."))) \
-        .otherwise(F.replace(num, F.lit(","), F.lit("")))
-    clean = F.regexp_replace(clean, r"\.$", "")
+    num = F.regexp_replace(num, r"[,.]+$", "")
+    # a last mark with one or two digits after it is the decimal one ("1.234,50", "1,234.50"), and so is a
+    # single point with more than three; all other marks part thousands ("1.234", "1,234.567")
+    decimal = num.rlike(r"[,.]\d{1,2}$") | num.rlike(r"^\d*\.\d{4,}$")
+    whole = F.regexp_replace(F.when(decimal, F.regexp_extract(num, r"^(.*)[,.]\d+$", 1)).otherwise(num), r"[,.]", "")
+    clean = F.when(decimal, F.concat(whole, F.lit("."), F.regexp_extract(num, r"[,.](\d+)$", 1))).otherwise(whole)
     return F.struct(clean.try_cast("decimal(18,2)").alias("amount"), cur.alias("currency"))
 
 
 def extract_business(dom: D.Dom) -> DataFrame:
-    """One nested record per page (pages without any item still appear)."""
-    pages = dom.tokens.select("page_id").distinct()
-
-    def nest(df: DataFrame, name: str, fields: list[str]) -> DataFrame:
-        return df.groupBy("page_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("start", *fields))),
-                        lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias(name))
-
-    out = pages.join(contact(dom), "page_id", "left")
-    out = out.join(nest(pricing(dom), "pricing", ["label", "prices_found", "text"]), "page_id", "left")
-    out = out.join(nest(services(dom), "services", ["name", "description"]), "page_id", "left")
-    out = out.join(nest(team(dom), "team", ["name", "role", "bio", "photo"]), "page_id", "left")
-    out = out.join(nest(testimonials(dom), "testimonials", ["text", "author"]), "page_id", "left")
-    out = out.join(nest(faqs(dom), "faqs", ["question", "answer"]), "page_id", "left")
-    loc = locations(dom).groupBy("page_id").agg(F.array_sort(F.collect_list("location")).alias("locations"))
-    out = out.join(loc, "page_id", "left")
-    out = out.join(nest(key_stats(dom), "stats", ["number", "label"]), "page_id", "left")
-    return out.select("page_id", F.struct("emails", "phones", "hours").alias("contact"), "pricing", "services",
-                      "team", "testimonials", "faqs", "locations", "stats")
+    """One nested record per page; parts without any item are empty lists."""
+    def plain(part: Callable[[Page], Column], *fields: str) -> Callable[[Page], Column]:
+        return lambda p: F.transform(part(p), lambda r: F.struct(*[r[f].alias(f) for f in fields]))
+
+    return RC.parts(dom, contact=contact, pricing=plain(pricing, "label", "prices_found", "text"),
+                    services=plain(services, "name", "description"), team=plain(team, "name", "role", "bio", "photo"),
+                    testimonials=plain(testimonials, "text", "author"), faqs=plain(faqs, "question", "answer"),
+                    locations=lambda p: F.array_sort(locations(p)), stats=plain(key_stats, "number", "label"))

@@ -18,7 +18,7 @@ from webrel.functions import text as TX
 from webrel.functions import urls as U
 from webrel.operators import business as B
 from webrel.operators import dom as D
-from webrel.operators import page as P
+from webrel.operators import record as RC
 from webrel.session import written
 from webrel.sources.store import SnapshotStore
 
@@ -33,34 +33,21 @@ def snapshot_records(dom: D.Dom, pages: DataFrame, ts_col: str = "snapshot_ts",
     """M03 payload: url, ts, title, headings, links, images, prices, full_text,
     hash.  ``hash`` = md5(full_text) or, for empty text, md5 of the record's
     JSON without snapshot metadata (decision Q5)."""
-    level = dom.tokens.storageLevel
-    mine = not (level.useMemory or level.useDisk)   # a DOM that the caller keeps stays with the caller
-    dom = dom.persist() if mine else dom
-    meta = pages.select("page_id", "url", F.col(ts_col).alias("snapshot_ts"))
-    def arr(df, col, name):
-        return df.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", col))),
-                                                     lambda s: s[col]).alias(name))
-    rec = (meta.join(P.titles(dom), "page_id", "left")
-           .join(arr(P.headings(dom), "text", "headings"), "page_id", "left")
-           .join(arr(P.links(dom), "href", "links"), "page_id", "left")
-           .join(arr(P.images(dom), "src", "images"), "page_id", "left")
-           .join(P.full_text(dom), "page_id", "left"))
+    headings = lambda p: F.filter(F.transform(RC.tagged(p, "h1", "h2", "h3", "h4"), lambda e: TX.strip_join(p.deep(e))), lambda t: t != "")
+    parts = {"title": RC.title, "headings": headings, "links": lambda p: F.transform(RC.links(p), lambda a: a["href"]),
+             "images": lambda p: F.transform(RC.images(p), lambda i: i["src"]), "full_text": RC.full_text}
     if with_prices:
-        pr = B.pricing(dom).select("page_id", "start", F.explode("prices_found").alias("p"))
-        rec = rec.join(arr(pr, "p", "prices"), "page_id", "left")
-    else:
-        rec = rec.withColumn("prices", _empty())
+        parts["prices"] = lambda p: F.flatten(F.transform(B.pricing(p), lambda r: r["prices_found"]))
+    rec = pages.select("page_id", "url", F.col(ts_col).alias("snapshot_ts")).join(RC.parts(dom, **parts), "page_id", "left")
+    rec = rec.withColumn("prices", F.col("prices") if with_prices else _empty())
     rec = rec.select("page_id", "url", "snapshot_ts", F.coalesce("title", F.lit("")).alias("title"),
                      *[F.coalesce(c, _empty()).alias(c) for c in ("headings", "links", "images", "prices")],
                      F.coalesce("full_text", F.lit("")).alias("full_text"))
     body = F.to_json(F.struct("title", "headings", "links", "images", "prices", "full_text"))
     rec = rec.withColumn("hash", F.md5(F.when(F.col("full_text") != "", F.col("full_text")).otherwise(body)))
-    # snapshots are a stored table: write them once to the shared checkpoint
-    # folder, which also ends the DOM lineage, then release the DOM cache
-    rec = written(rec, "snapshots")
-    if mine:
-        dom.unpersist()
-    return rec
+    # snapshots are a stored table: written once to the shared checkpoint folder,
+    # which also ends the DOM lineage
+    return written(rec, "snapshots")
 
 
 def latest(snapshots: DataFrame, key: str = "url") -> DataFrame:

@@ -2,27 +2,20 @@
 (X09-X13) over the DOM relations.
 
 Every operator returns a flat relation keyed by ``page_id`` (plus document
-position); ``extract_full`` assembles one nested record per page with a single
-``groupBy(page_id)`` (no per-field joins of per-page tables).
+position).  What belongs to a whole page (title, full text, meta data, sections, the
+full record) is read from its arrays (``record``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webrel.functions.text import collapse_ws, join_strip, pystrip, strip_join
+from webrel.functions.text import join_strip, pystrip, strip_join
 from webrel.operators import dom as D
-from webrel.operators.select import first_match, flag, nearest_ancestor
-
-# --- fixed values -----------------------------------------------------------
-# Social networks, tested in this order; the first contained one names the platform.
-SOCIAL_PATTERNS = ["facebook", "twitter", "instagram", "linkedin", "youtube", "tiktok", "x.com"]
-# Selectors of the full extractor.
-SECTION_SEL = "section, article, main, [class*='section'], [class*='block']"
-NAV_SEL = "nav a, header a, [class*='nav'] a, [class*='menu'] a"
-BUTTON_SEL = "button, a[class*='btn'], a[class*='button'], [class*='cta']"
-# ---------------------------------------------------------------------------
+from webrel.operators import record as RC
+from webrel.operators.record import BUTTON_SEL, NAV_SEL
+from webrel.operators.select import flag, nearest_ancestor
 
 def _empty():
     return F.array().cast("array<string>")
@@ -45,12 +38,8 @@ def own_parts(dom: D.Dom, sel: DataFrame, col: str = "parts") -> DataFrame:
 
 
 def titles(dom: D.Dom) -> DataFrame:
-    """``title::text`` first node, stripped ('' when absent)."""
-    t = own_parts(dom, _sel(dom, ["title"]).select("page_id", "start"))
-    first = t.groupBy("page_id").agg(F.min_by(F.try_element_at("parts", F.lit(1)), "start").alias("t"))
-    pages = dom.tokens.select("page_id").distinct()
-    return pages.join(first, "page_id", "left").select(
-        "page_id", F.coalesce(pystrip(F.col("t")), F.lit("")).alias("title"))
+    """``title::text`` first node, stripped ('' when absent); one row per page."""
+    return RC.parts(dom, title=RC.title)
 
 
 def headings(dom: D.Dom, levels=("h1", "h2", "h3", "h4")) -> DataFrame:
@@ -110,13 +99,8 @@ def body_texts(dom: D.Dom) -> DataFrame:
 
 
 def full_text(dom: D.Dom) -> DataFrame:
-    """body text, nodes stripped, empties dropped, whitespace collapsed."""
-    t = body_texts(dom)
-    g = t.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))),
-                                             lambda s: s["text"]).alias("parts"))
-    pages = dom.tokens.select("page_id").distinct()
-    g = pages.join(g, "page_id", "left")
-    return g.select("page_id", pystrip(collapse_ws(strip_join(F.coalesce("parts", _empty())))).alias("full_text"))
+    """body text, nodes stripped, empties dropped, whitespace collapsed; one row per page."""
+    return RC.parts(dom, full_text=RC.full_text)
 
 
 def json_ld(dom: D.Dom) -> DataFrame:
@@ -168,67 +152,26 @@ def buttons(dom: D.Dom) -> DataFrame:
     return e.filter(F.col("text") != "")
 
 
-def social_links(dom: D.Dom) -> DataFrame:
-    """anchors whose lower-cased href contains a social pattern."""
+def social_links(dom: D.Dom, mode: str = "host") -> DataFrame:
+    """anchors to social networks (``mode``: see ``record.platform``)."""
     href = F.lower(F.coalesce(F.col("attrs")["href"], F.lit("")))
-    platform = F.lit(None)
-    for p in reversed(SOCIAL_PATTERNS):
-        platform = F.when(href.contains(p), F.lit(p)).otherwise(platform)
-    a = dom.el.filter(F.col("tag") == "a").withColumn("platform", platform).filter(F.col("platform").isNotNull())
+    a = dom.el.filter(F.col("tag") == "a").withColumn("platform", RC.platform(href, mode)).filter(F.col("platform").isNotNull())
     a = deep_parts(dom, a.select("page_id", "start", "start_tc", "end_tc", "platform", href.alias("href")))
     return a.select("page_id", "start", "platform", "href", join_strip(F.col("parts")).alias("text"))
 
 
 def page_meta(dom: D.Dom) -> DataFrame:
-    """Title + meta description / og tags + canonical; missing -> ''."""
-    e = dom.el
-    a = F.col("attrs")
-
-    def first(pred: Column, val: Column, name: str) -> Column:
-        return F.coalesce(F.min_by(F.when(pred, val), F.when(pred, F.col("start"))), F.lit("")).alias(name)
-
-    meta = e.filter(F.col("tag").isin("meta", "link")).groupBy("page_id").agg(
-        first((F.col("tag") == "meta") & (a["name"] == "description"), F.coalesce(a["content"], F.lit("")), "description"),
-        first((F.col("tag") == "meta") & (a["property"] == "og:title"), F.coalesce(a["content"], F.lit("")), "og_title"),
-        first((F.col("tag") == "meta") & (a["property"] == "og:description"), F.coalesce(a["content"], F.lit("")),
-              "og_description"),
-        first((F.col("tag") == "meta") & (a["property"] == "og:image"), F.coalesce(a["content"], F.lit("")), "og_image"),
-        first((F.col("tag") == "link") & (a["rel"] == "canonical"), F.coalesce(a["href"], F.lit("")), "canonical"),
-    )
-    t = own_parts(dom, e.filter(F.col("tag") == "title").select("page_id", "start"))
-    t = t.groupBy("page_id").agg(F.min_by(F.try_element_at("parts", F.lit(1)), "start").alias("title"))
-    pages = dom.tokens.select("page_id").distinct()
-    out = pages.join(t, "page_id", "left").join(meta, "page_id", "left")
-    cols = ["description", "og_title", "og_description", "og_image", "canonical"]
-    return out.select("page_id", F.coalesce("title", F.lit("")).alias("title"),
-                      *[F.coalesce(c, F.lit("")).alias(c) for c in cols])
+    """Title + meta description / og tags + canonical; missing -> ''; one row per page."""
+    fields = RC.parts(dom, title=RC.raw_title, meta=lambda p: F.struct(*[c.alias(k) for k, c in RC.meta(p).items()]))
+    return fields.select("page_id", "title", "meta.*")
 
 
 def sections(dom: D.Dom) -> tuple[DataFrame, DataFrame]:
-    """section-like blocks: heading = first h1-h3 inside (or self),
-    content = own text of p/span/li inside; blocks without content dropped."""
-    e = flag(dom.el, SECTION_SEL, "is_sec")
-    e = e.withColumn("is_h", F.col("tag").isin("h1", "h2", "h3"))
-    e = first_match(e, "is_sec", "is_h", "h_start")
-    secs = e.filter("is_sec").select("page_id", "start", "end", "start_tc", "end_tc", "h_start")
-    hs = deep_parts(dom, e.filter("is_h").select("page_id", "start", "start_tc", "end_tc"))
-    hs = hs.select("page_id", F.col("start").alias("h_start"), join_strip(F.col("parts")).alias("heading"))
-    secs = secs.join(hs, ["page_id", "h_start"], "left").withColumn("heading", F.coalesce("heading", F.lit("")))
-    # content: own text of p/span/li whose parent lies inside the section (or is it)
-    holders = dom.el.filter(F.col("tag").isin("p", "span", "li")).select(
-        "page_id", F.col("start").alias("parent_start"))
-    t = dom.texts.join(holders, ["page_id", "parent_start"], "left_semi").select(
-        "page_id", "tidx", "parent_start", pystrip(F.col("text")).alias("text")).filter(F.col("text") != "")
-    # text tidx lies in the section's text range and its parent starts at/after the section
-    content = (secs.select("page_id", "start", "start_tc", "end_tc")
-               .withColumn("tidx", F.explode(F.sequence(F.col("start_tc") + 1,
-                                                        F.greatest(F.col("end_tc"), F.col("start_tc") + 1))))
-               .filter(F.col("tidx") <= F.col("end_tc"))
-               .join(t, ["page_id", "tidx"])
-               .filter(F.col("parent_start") >= F.col("start"))
-               .select("page_id", "start", "tidx", "text"))
-    keep = content.select("page_id", "start").distinct()
-    return secs.join(keep, ["page_id", "start"], "left_semi").select("page_id", "start", "heading"), content
+    """section-like blocks with content -> (``page_id, start, heading``),
+    (``page_id, start, tidx, text``: their content); see ``record.sections``."""
+    found = RC.parts(dom, s=RC.sections).select("page_id", F.explode("s").alias("s"))
+    content = found.select("page_id", "s.start", F.explode("s.content").alias("t"))
+    return found.select("page_id", "s.start", "s.heading"), content.select("page_id", "start", F.col("t.pos").alias("tidx"), "t.text")
 
 
 def _cells(dom: D.Dom) -> DataFrame:
@@ -297,59 +240,4 @@ def table_rows_basic(dom: D.Dom) -> DataFrame:
                       .otherwise(F.concat(F.lit("col_"), F.col("col_no").cast("string"))).alias("key"), "value")
 
 
-def extract_full(dom: D.Dom) -> DataFrame:
-    """one nested record per page.  Every part is aggregated by
-    ``page_id`` on data already partitioned by ``page_id`` and the parts are
-    joined on ``page_id``, so assembling adds no exchange."""
-    pages = dom.tokens.select("page_id").distinct()
-
-    def by(key: str):
-        return lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
-
-    def nest(df: DataFrame, name: str, fields: list[str], order: str = "start") -> DataFrame:
-        return df.groupBy("page_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(order, *fields)), by(order)),
-                        lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias(name))
-
-    h = headings(dom).withColumn("_lv", F.substring("level", 2, 1).cast("int"))
-    heads = h.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_lv", "start", "level", "text"))),
-                                                 lambda s: F.struct(s["level"].alias("level"), s["text"].alias("text")))
-                                     .alias("headings"))
-    secs, content = sections(dom)
-    sec_c = content.groupBy("page_id", "start").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("tidx", "text"))), lambda s: s["text"]).alias("content"))
-    sec = nest(secs.join(sec_c, ["page_id", "start"]), "sections", ["heading", "content"])
-    paras = paragraphs(dom).groupBy("page_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("paragraphs"))
-    f, fields = forms(dom)
-    fl = fields.groupBy("page_id", "form_start").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "type", "name", "placeholder"))),
-                    lambda s: F.struct(s["type"].alias("type"), s["name"].alias("name"),
-                                       s["placeholder"].alias("placeholder"))).alias("fields"))
-    fm = f.join(fl, ["page_id", "form_start"], "left").withColumnRenamed("form_start", "start")
-    tr = table_rows(dom)
-    # of equal headers (blank ones are common) the last cell counts
-    key = F.coalesce("header", F.concat(F.lit("col_"), F.col("col_no").cast("string")))
-    tr = tr.groupBy("page_id", "table_start", "row_no", key.alias("key")).agg(
-        F.max_by("value", "col_no").alias("value"), F.min("col_no").alias("first_col"))
-    tbl = tr.groupBy("page_id", "table_start", "row_no").agg(F.map_from_entries(F.transform(
-        F.array_sort(F.collect_list(F.struct("first_col", "key", "value"))), lambda s: F.struct(s["key"], s["value"]))).alias("row"))
-    tbl = tbl.groupBy("page_id", "table_start").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row")), by("row_no")),
-                    lambda s: s["row"]).alias("rows"))
-    ld = json_ld(dom).groupBy("page_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("start", "body"))), lambda s: s["body"]).alias(
-            "structured_data"))
-    out = (pages.join(titles(dom), "page_id", "left").join(ld, "page_id", "left").join(heads, "page_id", "left")
-           .join(sec, "page_id", "left").join(paras, "page_id", "left")
-           .join(nest(navigation(dom), "navigation", ["text", "href"]), "page_id", "left")
-           .join(nest(links(dom), "links", ["text", "href"]), "page_id", "left")
-           .join(nest(images(dom), "images", ["src", "alt"]), "page_id", "left")
-           .join(nest(fm, "forms", ["action", "method", "fields"]), "page_id", "left")
-           .join(nest(buttons(dom), "buttons_cta", ["text", "href"]), "page_id", "left")
-           .join(nest(tbl.withColumnRenamed("table_start", "start"), "tables", ["rows"]), "page_id", "left")
-           .join(nest(social_links(dom), "social_links", ["platform", "href", "text"]), "page_id", "left")
-           .join(full_text(dom), "page_id", "left"))
-    # missing parts are empty lists, as in the reference record
-    return out.select(*[F.coalesce(F.col(f.name), F.array().cast(f.dataType)).alias(f.name)
-                        if f.dataType.typeName() == "array" else F.col(f.name) for f in out.schema.fields])
+extract_full = RC.extract_full

@@ -1,7 +1,7 @@
 """Combined pipelines (P01-P04, P06-P09) as DataFrame functions.
 
-Each pipeline parses the pages once, persists the DOM while several outputs
-are derived from it, and returns named DataFrames; writing them is the
+Each pipeline returns named DataFrames; every record is one reading of its page,
+so nothing is persisted that a caller would have to release.  Writing is the
 caller's choice (``sources.io`` writers, partitioned by dataset name, which
 also avoids the reference's same-second file-name collisions, Q15).
 """
@@ -24,7 +24,7 @@ from webrel.operators import requests as N
 def full_with_monitor(pages: DataFrame, previous: DataFrame | None, ts_col: str = "snapshot_ts") -> dict:
     """Full records + business records, compared with the previous
     snapshots (status + changes); the new snapshots are returned for appending."""
-    dom = D.parse(pages).persist()
+    dom = D.parse(pages)
     snaps = C.snapshot_records(dom, pages, ts_col)
     old = previous if previous is not None else snaps.limit(0)
     status, changes = C.compare(C.latest(old).drop("n_snapshots"), snaps)
@@ -37,7 +37,7 @@ def crawl_business(pages: DataFrame, seeds: DataFrame, max_pages: int = 0) -> di
     """Crawl, then full + business extraction of the crawled pages."""
     res = G.crawl(pages, seeds, max_pages)
     crawled = pages.join(res["visited"].select("url").distinct(), "url", "left_semi")
-    dom = D.parse(crawled).persist()
+    dom = D.parse(crawled)
     res["full"] = P.extract_full(dom)
     res["business"] = B.extract_business(dom)
     return res
@@ -45,9 +45,8 @@ def crawl_business(pages: DataFrame, seeds: DataFrame, max_pages: int = 0) -> di
 
 def deep(pages: DataFrame, requests: DataFrame, responses: DataFrame, ws: DataFrame,
          seeds: DataFrame | None = None, max_pages: int = 10) -> dict:
-    """One cached parse, five outputs: full, business, snapshot, capture
-    stats, crawl."""
-    dom = D.parse(pages).persist()
+    """Five outputs: full, business, snapshot, capture stats, crawl."""
+    dom = D.parse(pages)
     out = {"full": P.extract_full(dom), "business": B.extract_business(dom),
            "snapshot": C.snapshot_records(dom, pages.withColumn("snapshot_ts", F.current_timestamp())),
            "capture_stats": N.capture_stats(requests, responses, ws)}

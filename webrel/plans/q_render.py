@@ -14,6 +14,7 @@ from webrel.operators import business as B
 from webrel.operators import dom as D
 from webrel.operators import entities as EN
 from webrel.operators import page as P
+from webrel.operators import record as RC
 from webrel.plans import render as R
 from webrel.plans.catalog import big, register
 from webrel.sources.io import table
@@ -82,7 +83,7 @@ SELECT p_partkey::BIGINT AS page_id,
              ELSE 'https://www.netflix.com/' END || p_brand) AS href,
        CASE p_partkey % 4 WHEN 0 THEN 'Facebook' WHEN 1 THEN 'Twitter  ' || p_brand ELSE 'Watch' END AS text
 FROM part WHERE p_partkey % 4 <> 3
-""")(lambda spark, sf: P.social_links(_part_dom(spark, sf)).select(_pid(), "platform", "href", "text"))
+""")(lambda spark, sf: P.social_links(_part_dom(spark, sf), "substring").select(_pid(), "platform", "href", "text"))
 
 # --- F11 tables ---------------------------------------------------------------------------------
 register("tables", """
@@ -123,13 +124,13 @@ SELECT p_partkey::BIGINT AS page_id,
        {PRICE} AS prices,
        CASE WHEN p_partkey % 7 = 0 THEN 'Fee ' || {PRICE} || ' one-time'
             ELSE p_brand || ' ' || {PRICE} || ' per month' END AS text
-FROM part""")(lambda spark, sf: B.pricing(_part_dom(spark, sf)).select(
+FROM part""")(lambda spark, sf: B.rows(_part_dom(spark, sf), B.pricing).select(
     _pid(), "label", F.array_join("prices_found", ",").alias("prices"), "text"))
 
 # --- B06 services ----------------------------------------------------------------------------------------------
 register("services", """
 SELECT p_partkey::BIGINT AS page_id, p_type AS name, 'Size ' || p_size || ' ' || p_name || ' for everyday work' AS description
-FROM part""")(lambda spark, sf: B.services(_part_dom(spark, sf)).select(_pid(), "name", "description"))
+FROM part""")(lambda spark, sf: B.rows(_part_dom(spark, sf), B.services).select(_pid(), "name", "description"))
 
 # --- B10 locations (supplier pages) ------------------------------------------------------------------------------
 _SUP = "supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey"
@@ -137,12 +138,12 @@ register("locations", f"""
 SELECT s_suppkey::BIGINT AS page_id, s_suppkey || ' Market Street, ' || coalesce(n_name, '') AS location FROM {_SUP}
 UNION ALL
 SELECT s_suppkey::BIGINT AS page_id, 'Office ' || coalesce(n_name, '') || ' branch ' || s_suppkey AS location FROM {_SUP}
-""")(lambda spark, sf: B.locations(_supplier_dom(spark, sf)).select(_pid(), "location"))
+""")(lambda spark, sf: B.rows(_supplier_dom(spark, sf), B.locations).select(_pid(), F.col("value").alias("location")))
 
 # --- B03 hours on supplier pages -----------------------------------------------------------------------------------
 register("page_hours", """
 SELECT s_suppkey::BIGINT AS page_id, 'Mon-Fri 09:00 - 17:00' AS hours FROM supplier
-""")(lambda spark, sf: B.contact(_supplier_dom(spark, sf)).select(_pid(), F.explode("hours").alias("hours")))
+""")(lambda spark, sf: RC.parts(_supplier_dom(spark, sf), c=B.contact).select(_pid(), F.explode("c.hours").alias("hours")))
 
 # --- E11 / E12 org details --------------------------------------------------------------------------------------------
 register("org_details", f"""
@@ -163,7 +164,7 @@ FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE s_supp
 # --- B07 team (team pages) -------------------------------------------------------------------------------------------------
 def _team(spark, sf):
     dom = D.parse(R.team_pages(table(spark, sf, "customer")))
-    return B.team(dom).select(_pid(), "name", "role", "bio", "photo")
+    return B.rows(dom, B.team).select(_pid(), "name", "role", "bio", "photo")
 
 
 register("team", """
@@ -193,12 +194,12 @@ u AS (SELECT (conv_id * 2147483648 + turn)::BIGINT AS page_id, conv_id,
 
 register("faqs", _TALK + """
 SELECT page_id, substring(q, 1, 200) AS question, substring(a, 1, 400) AS answer FROM u WHERE q <> ''
-""")(lambda spark, sf: B.faqs(_talk_dom(spark, sf)).select(_pid(), "question", "answer"))
+""")(lambda spark, sf: B.rows(_talk_dom(spark, sf), B.faqs).select(_pid(), "question", "answer"))
 
 register("testimonials", _TALK + """, t AS (
 SELECT page_id, CASE WHEN q <> '' THEN q || ' ' ELSE '' END || 'User ' || conv_id AS txt, 'User ' || conv_id AS author FROM u)
 SELECT page_id, substring(txt, 1, 400) AS text, author FROM t WHERE length(txt) >= 20
-""")(lambda spark, sf: B.testimonials(_talk_dom(spark, sf)).select(_pid(), "text", "author"))
+""")(lambda spark, sf: B.rows(_talk_dom(spark, sf), B.testimonials).select(_pid(), "text", "author"))
 
 
 # --- B11 key stats (order stats pages) ------------------------------------------------------------------------------------------
@@ -207,13 +208,13 @@ WITH g AS (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS mx FROM orders
 SELECT o_custkey::BIGINT AS page_id, n::VARCHAR AS number, n::VARCHAR AS label FROM g, range(3)
 UNION ALL
 SELECT o_custkey::BIGINT AS page_id, printf('%.2f', mx) AS number, 'Total spent' AS label FROM g
-""")(lambda spark, sf: B.key_stats(D.parse(R.stat_pages(table(spark, sf, "orders")))).select(
+""")(lambda spark, sf: B.rows(D.parse(R.stat_pages(table(spark, sf, "orders"))), B.key_stats).select(
     _pid(), "number", "label"))
 
 
 # --- B15 price values (ours): money text -> DECIMAL + currency ---------------------------
 def _price_values(spark, sf):
-    p = B.pricing(_part_dom(spark, sf)).select("page_id", F.explode("prices_found").alias("price"))
+    p = B.rows(_part_dom(spark, sf), B.pricing).select("page_id", F.explode("prices_found").alias("price"))
     v = p.select(_pid(), "price", B.price_value(F.col("price")).alias("v"))
     return v.select("page_id", "price", F.col("v.amount").cast("string").alias("amount"), F.col("v.currency").alias("currency"))
 
