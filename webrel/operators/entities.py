@@ -238,54 +238,58 @@ def _vs(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
 
 
-def normalize_org(payload: Column, url: Column) -> Column:
+def _texts(v: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, path, "array<string>"), F.array().cast("array<string>"))
+
+
+def _variants(v: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def normalize_org(payload: Column, url: Column, source: str = "company_payload") -> Column:
     """Nested company payload (VARIANT) -> organisation STRUCT."""
     hq_city = F.try_variant_get(payload, "$.hq.city", "string")
     hq_country = F.try_variant_get(payload, "$.hq.country", "string")
-    industries = F.coalesce(F.try_variant_get(payload, "$.industries", "array<string>"),
-                            F.array().cast("array<string>"))
+    industries = _texts(payload, "$.industries")
     return F.struct(
         _vs(payload, "$.name").alias("name"), url.alias("profile_url"),
         _vs(payload, "$.website").alias("website"), _vs(payload, "$.description").alias("description"),
         F.when(F.size(industries) > 0, F.try_element_at(industries, F.lit(1)))
         .otherwise(_vs(payload, "$.industry")).alias("industry"),
-        industries.alias("industries"),
-        F.coalesce(F.try_variant_get(payload, "$.specialities", "array<string>"),
-                   F.array().cast("array<string>")).alias("specialties"),
+        industries.alias("industries"), _texts(payload, "$.specialities").alias("specialties"),
         _vs(payload, "$.company_size_on_linkedin").alias("employee_count"),
         F.concat_ws(", ", F.nullif(hq_city, F.lit("")), F.nullif(hq_country, F.lit(""))).alias("headquarters"),
-        _vs(payload, "$.founded_year").alias("founded"),
-        _vs(payload, "$.follower_count").alias("follower_count"),
+        _vs(payload, "$.founded_year").alias("founded"), _vs(payload, "$.type").alias("company_type"),
+        _vs(payload, "$.follower_count").alias("follower_count"), _vs(payload, "$.linkedin_id").alias("linkedin_id"),
+        _vs(payload, "$.tagline").alias("tagline"),
         key_employees(payload).alias("key_employees"),
-        funding(payload).alias("funding"),
+        funding(payload).alias("funding"), F.lit(source).alias("source"),
     )
 
 
-_EMP = "array<struct<first_name:string,last_name:string,title:string,profile_url:string>>"
-_ROUNDS = ("array<struct<funding_type:string,money_raised:bigint,announced_date:struct<year:int>,"
-           "lead_investors:array<struct<name:string>>>>")
 _EXP = ("array<struct<title:string,company:string,location:string,description:string,"
         "starts_at:struct<year:int,month:int>,ends_at:struct<year:int,month:int>>>")
 _EDU = "array<struct<school:string,degree_name:string,field_of_study:string,ends_at:struct<year:int>>>"
 
 
 def key_employees(payload: Column) -> Column:
-    """First 10 employees, name = first + ' ' + last (not trimmed)."""
-    emps = F.coalesce(F.try_variant_get(payload, "$.employees", _EMP), F.array().cast(_EMP))
-    return F.transform(F.slice(emps, 1, 10), lambda e: F.struct(
-        F.concat(F.coalesce(e["first_name"], F.lit("")), F.lit(" "), F.coalesce(e["last_name"], F.lit(""))).alias("name"),
-        F.coalesce(e["title"], F.lit("")).alias("title"),
-        F.coalesce(e["profile_url"], F.lit("")).alias("profile_url")))
+    """The objects among the first 10 employees, name = first + ' ' + last (not trimmed)."""
+    objects = F.filter(F.slice(_variants(payload, "$.employees"), 1, 10),
+                       lambda e: F.try_variant_get(e, "$", "map<string,variant>").isNotNull())
+    return F.transform(objects, lambda e: F.struct(
+        F.concat(_vs(e, "$.first_name"), F.lit(" "), _vs(e, "$.last_name")).alias("name"),
+        _vs(e, "$.title").alias("title"), _vs(e, "$.profile_url").alias("profile_url")))
 
 
 def funding(payload: Column) -> Column:
-    """Funding rounds (type, amount, year, lead investors); NULL when absent."""
-    rounds = F.try_variant_get(payload, "$.funding_data", _ROUNDS)
+    """Funding rounds (type, amount, year, lead investors); NULL when absent.  ``amount`` is the
+    number, where it is one, ``amount_text`` what the payload says."""
+    rounds = _variants(payload, "$.funding_data")
     conv = F.transform(rounds, lambda r: F.struct(
-        F.coalesce(r["funding_type"], F.lit("")).alias("type"), r["money_raised"].alias("amount"),
-        r["announced_date"]["year"].alias("year"),
-        F.transform(F.coalesce(r["lead_investors"], F.array().cast("array<struct<name:string>>")),
-                    lambda i: F.coalesce(i["name"], F.lit(""))).alias("investors")))
+        _vs(r, "$.funding_type").alias("type"), F.try_variant_get(r, "$.money_raised", "bigint").alias("amount"),
+        F.try_variant_get(r, "$.announced_date.year", "int").alias("year"),
+        F.transform(_variants(r, "$.lead_investors"), lambda i: _vs(i, "$.name")).alias("investors"),
+        _vs(r, "$.money_raised").alias("amount_text")))
     return F.when(F.size(rounds) > 0, F.struct(
         F.try_variant_get(payload, "$.total_funding_amount", "bigint").alias("total_raised"), conv.alias("rounds")))
 
@@ -343,12 +347,14 @@ def normalize_person(payload: Column, url: Column) -> Column:
 
 
 def employees_of(people: DataFrame, org_value, role: str | None = None, org_col: str = "c_nationkey",
-                 title_col: str = "c_mktsegment", name_col: str = "c_name", id_col: str = "c_custkey") -> DataFrame:
+                 title_col: str = "c_mktsegment", name_col: str = "c_name", id_col: str = "c_custkey",
+                 count: int | None = None) -> DataFrame:
     """People of one organisation, optionally with a role keyword
-    (lower-cased substring of the title)."""
+    (lower-cased substring of the title), the first ``count`` of them by id."""
     p = people.filter(F.col(org_col) == org_value)
     if role:
         p = p.filter(F.lower(F.col(title_col)).contains(role.lower()))
+    p = p.orderBy(id_col).limit(count) if count else p
     return p.select(F.col(id_col).alias(id_col), F.col(name_col).alias("name"), F.col(title_col).alias("title"))
 
 

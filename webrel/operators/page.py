@@ -223,21 +223,10 @@ def table_rows(dom: D.Dom, table_index: int | None = None) -> DataFrame:
                       F.when(F.size("h") > 0, F.try_element_at("h", F.col("col_no") + 1)).alias("header"), "value")
 
 
-def table_rows_basic(dom: D.Dom) -> DataFrame:
-    """First text node per cell; a row whose cell count differs from the
-    header count is keyed ``col_0..``."""
-    cells = D.with_text_parts(_cells(dom), dom, first_only=True).withColumn(
-        "text", F.coalesce(pystrip(F.try_element_at("parts", F.lit(1))), F.lit("")))
-    heads = (cells.filter(F.col("tag") == "th").groupBy("page_id")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"]).alias("h")))
-    rows = (cells.filter((F.col("tag") == "td") & F.col("tr_start").isNotNull()).groupBy("page_id", "tr_start")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"]).alias("c")))
-    rows = rows.join(heads, "page_id", "left")
-    keyed = F.coalesce(F.size("h"), F.lit(0)) == F.size("c")
-    out = rows.select("page_id", "tr_start", F.posexplode("c").alias("col_no", "value"), "h", keyed.alias("keyed"))
-    return out.select("page_id", "tr_start", "col_no",
-                      F.when(F.col("keyed"), F.try_element_at("h", F.col("col_no") + 1))
-                      .otherwise(F.concat(F.lit("col_"), F.col("col_no").cast("string"))).alias("key"), "value")
+def table_rows_basic(dom: D.Dom, table_index: int | None = 1) -> DataFrame:
+    """Cells of the first table of a page (decision Q9; None: of all tables), see ``record.table_rows_basic``."""
+    rows = RC.parts(dom, r=lambda p: RC.table_rows_basic(p, table_index))
+    return rows.select("page_id", F.explode("r").alias("r")).select("page_id", "r.*")
 
 
 extract_full = RC.extract_full

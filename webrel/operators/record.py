@@ -168,6 +168,27 @@ def tables(p: Page) -> Column:
     return F.filter(found, lambda t: F.size(t["rows"]) > 0)
 
 
+def table_rows_basic(p: Page, index: int | None = 1) -> Column:
+    """First text of each cell of the ``index``-th table (None: of all); the key is the header over it, or
+    ``col_n`` in a row whose cell count differs from that of its table's headers."""
+    def value(e: Column) -> Column:
+        return text_or(pystrip(first(p.deep(e))))
+
+    def of(t: Column, all_tables: Column) -> Column:
+        def keyed(r: Column, rows: Column, heads: Column, tds: Column) -> Column:
+            mine = F.filter(tds, lambda c: F.element_at(F.filter(rows, lambda x: in_element(x, c["start"])), -1)["start"] == r["start"])
+            return let(mine, lambda cs: F.transform(cs, lambda c, i: F.struct(
+                r["start"].alias("tr_start"), i.alias("col_no"), F.when(F.size(heads) == F.size(cs), F.get(heads, i)).otherwise(
+                    F.concat(F.lit("col_"), i.cast("string"))).alias("key"), value(c).alias("value"))))
+
+        rows = F.filter(p.els, lambda e: (e["tag"] == "tr") & in_element(t, e["start"]))
+        tds = F.filter(cells(p, t, all_tables, "td"), lambda c: F.exists(p.els, lambda r: (r["tag"] == "tr") & in_element(t, r["start"]) & in_element(r, c["start"])))
+        return let(rows, lambda rs: let(F.transform(cells(p, t, all_tables, "th"), value), lambda hs: let(
+            tds, lambda ds: F.flatten(F.transform(rs, lambda r: keyed(r, rs, hs, ds))))))
+
+    return let(tagged(p, "table"), lambda ts: F.flatten(F.transform(F.slice(ts, index, 1) if index else ts, lambda t: of(t, ts))))
+
+
 def platform(href: Column, mode: str = "host") -> Column:
     """the social network of a (lower-cased) link; null for others.  ``host``: the network's name is a
     label of the host, or the host ends in its domain; ``substring``: it occurs anywhere."""

@@ -124,11 +124,12 @@ def preview(long: DataFrame, n: int = 120) -> DataFrame:
     return long.withColumn("value", TX.preview(F.col("value"), n))
 
 
-def display(df: DataFrame, rows: int = 10, width: int = 200) -> DataFrame:
-    """First ``rows`` rows, string columns cut at ``width``."""
-    cols = [TX.cut(F.col(f.name), width).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name)
-            for f in df.schema.fields]
-    return df.limit(rows).select(*cols)
+def display(df: DataFrame, rows: int = 10, record: bool = False) -> DataFrame:
+    """First ``rows`` rows as text; values cut at 200 characters for one record, at 150 in a list."""
+    width = 200 if record else 150
+    text = lambda f: F.col(f.name).cast("string") if f.dataType.typeName() in ("string", "integer", "long", "double", "boolean") \
+        else F.to_json(F.col(f.name)) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name).cast("string")
+    return df.limit(rows).select(*[TX.cut(F.coalesce(text(f), F.lit("")), width).alias(f.name) for f in df.schema.fields])
 
 
 def adhoc(dom: D.Dom, css: str | None = None, xpath: str | None = None, n_text: int = 20) -> dict[str, DataFrame]:

@@ -30,4 +30,4 @@ def big(c) -> "F.Column":
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from webrel.plans import q_changes, q_crawl, q_dom, q_entities, q_hits, q_profiles, q_render, q_requests, q_rules, q_text  # noqa: F401
+    from webrel.plans import q_changes, q_crawl, q_dom, q_entities, q_hits, q_profiles, q_record, q_render, q_requests, q_rules, q_text  # noqa: F401

@@ -68,7 +68,8 @@ def find_people(result_pages: DataFrame, count: int | None = None, profiles: Dat
                 **wanted) -> DataFrame:
     """The same for people (E04, E35, E29, E09, E10, E15), without scoring."""
     found = PR.person_search(D.parse(result_pages))
-    return _found(found, ["url", "name"], result_pages, count, profiles, page_col, wanted, ("name", "headline"), "headline")
+    keys = [k for k in ("profile_id", "url", "name") if k in found.columns]   # E09
+    return _found(found, keys, result_pages, count, profiles, page_col, wanted, ("name", "headline"), "headline")
 
 
 def _found(found: DataFrame, keys: list[str], pages: DataFrame, count, profiles, page_col, wanted, text_cols, title_col) -> DataFrame:

@@ -70,8 +70,7 @@ def part_pages(part: DataFrame) -> DataFrame:
 
 
 def supplier_pages(supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    s = supplier.join(F.broadcast(nation.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"),
-                      "left")
+    s = supplier.join(nation.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     k = F.col("s_suppkey")
     name, nat = esc(F.col("s_name")), esc(F.coalesce(F.col("n_name"), L("")))
     es = k % 2 == 1
@@ -226,8 +225,7 @@ def headline(k: Column) -> Column:
 
 def org_payloads(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     """Nested company payload per supplier (JSON text)."""
-    s = supplier.join(F.broadcast(nation.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"),
-                      "left")
+    s = supplier.join(nation.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     k = F.col("s_suppkey")
     emps = F.transform(F.sequence(F.lit(0), (k % 13).cast("int")), lambda i: F.struct(
         F.concat(L("Emp"), k.cast("string"), L("_"), i.cast("string")).alias("first_name"),
@@ -247,6 +245,8 @@ def org_payloads(supplier: DataFrame, nation: DataFrame) -> DataFrame:
         L("Trade").alias("industry"), F.array(L("parts"), L("supply")).alias("specialities"),
         (k % 500 + 11).alias("company_size_on_linkedin"), (1990 + k % 30).alias("founded_year"),
         (k * 37 % 10000).alias("follower_count"), emps.alias("employees"),
+        F.when(k % 2 == 0, L("Privately Held")).alias("type"), k.cast("string").alias("linkedin_id"),
+        F.concat(L("Tagline "), k.cast("string")).alias("tagline"),
         F.when(k % 4 == 0, F.array().cast("array<struct<funding_type:string,money_raised:bigint,"
                                           "announced_date:struct<year:int>,lead_investors:array<struct<name:string>>>>"))
         .otherwise(rounds).alias("funding_data"),
