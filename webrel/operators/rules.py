@@ -105,18 +105,29 @@ def find_by_text(dom: D.Dom, text: str, tag: str | None = None) -> DataFrame:
 
 
 def selector_for(dom: D.Dom, text: str) -> DataFrame:
-    """CSS path (``tag:nth-of-type(n) > ...``) of the first element whose
-    own text contains ``text``; one row per page that has one."""
-    hit = find_by_text(dom, text).groupBy("page_id").agg(F.min("start").alias("t_start"))
-    from webrel.operators.select import with_positions
-    e = with_positions(dom.elements).select("page_id", "start", "end", "tag", "_type_no")
-    # ancestors-or-self of the single target per page: one target row per page
-    anc = e.join(hit, "page_id").filter((F.col("start") <= F.col("t_start")) &
-                                        ((F.col("end") > F.col("t_start")) | (F.col("start") == F.col("t_start"))))
-    step = F.concat(F.col("tag"), F.lit(":nth-of-type("), F.col("_type_no").cast("string"), F.lit(")"))
-    return anc.groupBy("page_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col("start"), step.alias("s")))), lambda x: x["s"]), " > ")
-        .alias("selector"))
+    """Selector of the first element whose own text contains ``text``; one row per page that
+    has one.  Of the steps ``tag:nth-of-type(n) > ...`` from the root to it, the fewest last
+    ones are taken that no other element of the page ends in, so D05 finds it alone."""
+    def chosen(p: T.Page) -> Column:
+        def step(e: Column) -> Column:
+            return F.concat(e["tag"], F.lit(":nth-of-type("), (p.siblings_before(e, True) + 1).cast("string"), F.lit(")"))
+
+        def shortest(path: Column, paths: Column) -> Column:
+            last = lambda q, k: F.slice(q, F.greatest(F.size(q) - k + 1, F.lit(1)), k)
+            alone = F.filter(F.sequence(F.lit(1), F.size(path)), lambda k: F.size(F.filter(paths, lambda q: last(q, k) == last(path, k))) == 1)
+            return F.array_join(last(path, F.coalesce(F.get(alone, F.lit(0)), F.size(path))), " > ")
+
+        def path_of(e: Column, steps: Column) -> Column:
+            around = F.filter(steps, lambda x: (x["start"] == e["start"]) | ((x["start"] < e["start"]) & (e["start"] < x["end"])))
+            return F.transform(around, lambda x: x["step"])
+
+        target = F.get(F.filter(p.els, lambda e: F.exists(p.own(e), lambda t: t.contains(text))), F.lit(0))
+        steps = F.transform(p.els, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), step(e).alias("step")))
+        return T.let(target, lambda t: F.when(t.isNotNull(), T.let(steps, lambda ss: T.let(
+            F.transform(p.els, lambda e: path_of(e, ss)), lambda ps: shortest(path_of(t, ss), ps)))))
+
+    pages = T.encode(dom)
+    return pages.select("page_id", T.on_page(chosen).alias("selector")).filter("selector is not null")
 
 
 def preview(long: DataFrame, n: int = 120) -> DataFrame:

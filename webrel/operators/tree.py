@@ -86,7 +86,8 @@ class Page:
         closed = ~e["void"] & F.coalesce(F.regexp_replace(F.lower(close), r"\s+", "") == F.concat(F.lit("</"), e["tag"], F.lit(">")), F.lit(False))
         return F.concat(F.array_join(source, ""), F.when(closed, close).otherwise(F.lit("")))
 
-    def _siblings_before(self, e: Column, same_tag: bool = False) -> Column:
+    def siblings_before(self, e: Column, same_tag: bool = False) -> Column:
+        """How many elements of the same parent (and tag) stand before an element."""
         return F.size(F.filter(self.els, lambda x: x["parent"].eqNullSafe(e["parent"]) & (x["start"] < e["start"])
                                & ((x["tag"] == e["tag"]) if same_tag else F.lit(True))))
 
@@ -96,7 +97,7 @@ class Page:
             if name == "last-child":
                 p = p & ~F.exists(self.els, lambda x: x["parent"].eqNullSafe(e["parent"]) & (x["start"] > e["start"]))
             else:
-                p = p & (self._siblings_before(e, name == "nth-of-type") == (0 if name == "first-child" else n - 1))
+                p = p & (self.siblings_before(e, name == "nth-of-type") == (0 if name == "first-child" else n - 1))
         return p
 
     def _follows(self, e: Column, comb: str, prev: Column) -> Column:

@@ -11,6 +11,7 @@ from webrel.operators import changes as C
 from webrel.operators import dom as D
 from webrel.operators import entities as EN
 from webrel.operators import page as P
+from webrel.operators import rules as RU
 from webrel.plans import pipelines as PL
 from webrel.plans import render as R
 from webrel.plans.catalog import big, register
@@ -157,3 +158,20 @@ SELECT p_partkey::BIGINT AS page_id, CASE p_partkey % 4 WHEN 0 THEN 'facebook' E
 FROM part WHERE p_partkey % 4 < 2
 """)(lambda spark, sf: P.social_links(D.parse(R.part_pages(table(spark, sf, "part")))).select(
     big("page_id").alias("page_id"), "platform", "href", "text"))
+
+
+def _selectors(spark, sf):
+    dom = D.parse(R.part_pages(table(spark, sf, "part")))
+    rows = None
+    for text in ("Add to cart", "for everyday work", "Parts"):
+        found = RU.selector_for(dom, text).select(big("page_id").alias("page_id"), F.lit(text).alias("text"), "selector")
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
+register("selector_for", """
+SELECT p_partkey::BIGINT AS page_id, t.text, CASE t.text WHEN 'Add to cart' THEN 'button:nth-of-type(1)'
+       WHEN 'Parts' THEN 'a:nth-of-type(2)'
+       ELSE CASE WHEN p_partkey % 7 = 0 THEN 'div:nth-of-type(2) > ' ELSE '' END || 'p:nth-of-type(1)' END AS selector
+FROM part, (VALUES ('Add to cart'), ('for everyday work'), ('Parts')) t(text)
+""")(_selectors)

@@ -87,11 +87,42 @@ def read_capture_log(spark: SparkSession, path: str, kind: str, stream: bool = F
     return r.json(path)
 
 
+def _lines(spark: SparkSession, path: str, stream: bool) -> DataFrame:
+    """Lines with any text, and the file they stand in."""
+    lines = (spark.readStream if stream else spark.read).text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+
+
+def _quarantined(rows: DataFrame) -> DataFrame:
+    return rows.filter("reason is not null").select("file", "reason", F.col("value").alias("record"))
+
+
+def read_capture_log_checked(spark: SparkSession, path: str, kind: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S04 with quarantine: (the records that can be read whole, ``file, reason, record`` of the
+    others).  A line is in exactly one of the two, blank lines are in none."""
+    schema = f"{CAPTURE_SCHEMAS[kind]}, _corrupt STRING"
+    value = F.try_parse_json("value")
+    rows = _lines(spark, path, stream).withColumn("r", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
+    reason = (F.when(value.isNull(), F.lit("no JSON")).when(F.try_variant_get(value, "$", "map<string,variant>").isNull(), F.lit("no object"))
+              .when(F.col("r._corrupt").isNotNull(), F.lit("a field of another type")))
+    rows = rows.withColumn("reason", reason)
+    return rows.filter("reason is null").select("r.*").drop("_corrupt"), _quarantined(rows)
+
+
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
     """One raw JSON payload per line -> ``payload`` VARIANT (tolerant)."""
     return spark.read.text(path).select(F.try_parse_json("value").alias("payload"))
 
 
+def read_entities_checked(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S05 with quarantine: (``payload`` of the lines that are JSON objects or lists, the others as S04)."""
+    v = F.try_parse_json("value")
+    nested = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.lit(False)) | F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    rows = _lines(spark, path, stream).withColumn("payload", v)
+    rows = rows.withColumn("reason", F.when(v.isNull(), F.lit("no JSON")).when(~nested, F.lit("no object or list")))
+    return rows.filter("reason is null").select("payload"), _quarantined(rows)
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """Nested values become JSON text."""
     cols = []
