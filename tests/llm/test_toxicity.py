@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,7 +50,8 @@ def test_labels_of_one_class_or_none(spark, corpus):
 def test_letter_groups_share_suffixes():
     gram, hist, sub, sub_h, word = toxicity.letter_groups(["abc", "zabc"])
     assert len(gram) == 4 + 5 and list(word) == [0] * 4 + [1] * 5
-    assert sub[3] == sub[8] and sub_h[3] == sub_h[8] and gram[3] == gram[8] or gram[3] != gram[8]
+    assert sub[3] == sub[8] and sub_h[3] == sub_h[8]       # the end after "abc"
+    assert gram[3] != gram[8] and hist[3] != hist[8]       # after "\1abc" and "zabc"
     again = toxicity.letter_groups(["zabc"])
     assert (again[0] == gram[4:]).all() and (again[1] == hist[4:]).all()
 
@@ -77,3 +80,48 @@ def test_model_keeps_every_group_of_the_sample(spark):
     model = toxicity.fit(docs(spark, texts), labels)
     assert len(model.keys) > 500_000
     assert (np.diff(model.keys.astype(object)) > 0).all()
+
+
+def brute_ratio(texts, labels):
+    """Value of a word by the formulas, on plain dicts of letters."""
+    k = toxicity.ORDER
+
+    def groups(word):
+        marked = "\1" * (k - 1) + word + "\2"
+        return [marked[i:i + k] for i in range(len(word) + 1)]
+
+    every = {g for t in texts for w in (t or "").lower().split() for g in groups(w)}
+    n = [Counter(), Counter()]
+    for t, label in zip(texts, labels, strict=True):
+        if label is not None:
+            n[label].update(g for w in (t or "").lower().split() for g in groups(w))
+    d = toxicity.DISCOUNT
+
+    def back(c, h):
+        total = sum(v for g, v in n[c].items() if g[:-1] == h)
+        return (d * sum(1 for g in n[c] if g[:-1] == h) / total, total) if total else (1.0, 0)
+
+    def value(g):
+        h = g[:-1]
+        if not any(back(c, h)[1] for c in (0, 1)):
+            return 0.0
+        if not (n[0][g] or n[1][g]):
+            return math.log(back(1, h)[0] / back(0, h)[0])
+        low = sum(1 for x in every if x[1:] == g[1:]) / sum(1 for x in every if x[1:-1] == g[1:-1])
+        p = [(max(n[c][g] - d, 0) / back(c, h)[1] if back(c, h)[1] else 0.0) + back(c, h)[0] * low for c in (0, 1)]
+        return math.log(p[1] / p[0])
+
+    return lambda word: sum(value(g) for g in groups(word.lower()))
+
+
+@pytest.mark.parametrize("slice_", [1 << 19, 7])
+def test_values_by_the_formulas(spark, monkeypatch, slice_):
+    monkeypatch.setattr(toxicity, "SLICE", slice_)
+    texts = ["you bad badger", "bad Bad day", "mad bat", "a sad cad", "good day", "a goodly day at bay", "the day", "may I",
+             "unlabelled badly goods 日本", "", None, "bad badger gad"]
+    labels = [1, 1, 1, 1, 0, 0, 0, 0] + [None] * 4
+    known = spark.createDataFrame([(i, v) for i, v in enumerate(labels) if v is not None], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs(spark, texts), known)
+    want = brute_ratio(texts, labels)
+    for word in ("bad", "Badger", "day", "goodly", "unseen", "日本", "badly", "a", "gad", "mayday"):
+        assert toxicity._features(word, {}, model)[0] == pytest.approx(want(word), abs=1e-4)

@@ -51,7 +51,9 @@ ORDER = 5
 DISCOUNT = 0.75
 STRONG = 4.0
 SAMPLE = 60_000        # labelled rows learned from, at most
-FLUSH = 300_000        # distinct words that a counting task holds
+FLUSH = 300_000        # distinct words that a counting task holds at most,
+FLUSH_BYTES = 64 << 20 # letters of the texts they are new in at most,
+SLICE = 1 << 19        # and letters whose groups it makes at a time
 
 
 class Model(NamedTuple):
@@ -87,29 +89,55 @@ def letter_groups(words: list[str]):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) -> letter groups with the counts of both classes."""
     names = ["gram", "hist", "sub", "sub_hist", "toxic", "plain"]
-    seen: dict[str, list[int]] = {}
+    seen: set[str] = set()
+    labelled = Counter(), Counter()   # plain, toxic: words of at most ``SAMPLE`` texts
+    size = 0
 
-    def flush():
-        words = list(seen)
+    def groups(words: list[str]) -> list[np.ndarray]:
+        """The different letter groups of some words with their counts."""
         *keys, word = letter_groups(words)
-        n = np.array(list(seen.values()), np.int64).reshape(len(words), 2)[word]
-        gram, at, back = np.unique(keys[0], return_index=True, return_inverse=True)
-        sums = [np.bincount(back, n[:, k], len(gram)).astype(np.int64) for k in (0, 1)]
+        n = np.array([[labelled[1][w], labelled[0][w]] for w in words], np.int64)[word]
+        return _summed([*keys, n[:, 0], n[:, 1]])
+
+    def flush() -> pa.RecordBatch:
+        parts, words, letters = [], [], 0
+        for w in seen:
+            words.append(w)
+            letters += len(w) + 1
+            if letters >= SLICE:
+                parts.append(groups(words))
+                words, letters = [], 0
+        if words:
+            parts.append(groups(words))
+        columns = _summed([np.concatenate(c) for c in zip(*parts, strict=True)]) if len(parts) > 1 else parts[0]
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(k[at].view(np.int64)) for k in keys] + [pa.array(s) for s in sums], names)
+        labelled[0].clear()
+        labelled[1].clear()
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for w, n in Counter((text or "").lower().split()).items():
-                got = seen.setdefault(w, [0, 0])
-                if toxic is not None:
-                    got[1 - toxic] += n
-            if len(seen) > FLUSH:
+        for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+            text = (text.as_py() or "").lower()
+            before = len(seen)
+            seen.update(text.split())
+            if toxic.is_valid:
+                labelled[toxic.as_py()].update(text.split())
+            if len(seen) > before:
+                size += len(text)
+            if len(seen) > FLUSH or size > FLUSH_BYTES:
                 yield flush()
+                size = 0
     if seen:
         yield flush()
 
 
+def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of (group, its other keys, toxic, plain) with one row per group."""
+    gram, at, back = np.unique(columns[0], return_index=True, return_inverse=True)
+    sums = [np.bincount(back, c, len(gram)).astype(np.int64) for c in columns[4:]]
+    return [gram, *[c[at] for c in columns[1:4]], *sums]
+
+
 def _features(text: str, value: dict[str, float], model: Model) -> tuple[float, float, float, float]:
     words = text.lower().split()
     if not words:
