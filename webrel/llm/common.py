@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from webrel.session import checkpoint_dir, written
 
-__all__ = ["checkpoint_dir", "maybe_in", "partitions", "row_key", "table", "written"]
+__all__ = ["checkpoint_dir", "maybe_in", "partitions", "remove", "row_key", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that an operator wrote and nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
