@@ -93,3 +93,19 @@ def test_levels_end_only_when_nothing_new_is_reached(spark):
     assert {r.url: (r.rank, r.bfs_depth) for r in v.collect()} == {f"p{k}": (k + 1, k) for k in range(13)}
     assert dict(v.dtypes)["rank"] == "bigint"
     assert G.bfs(seeds, e, max_pages=5).count() == 5
+
+
+def test_levels_read_few_runs(spark, monkeypatch):
+    """Two chains with shortcuts and a loop, few buckets: ranks as a queue gives them; seen pages lie in few runs."""
+    monkeypatch.setattr(G, "SEEN_BUCKETS", 3)
+    links = [("s", f"p{k}", 0, f"p{k + 1}") for k in range(9)] + [("s", "p4", 1, "p0"), ("s", "p2", 1, "p9"), ("s", "p9", 0, "q"), ("t", "p0", 0, "p1")]
+    e = spark.createDataFrame(links, "site string, src string, pos int, dst string")
+    seeds = spark.createDataFrame([("s", "p0"), ("t", "p0")], "site string, url string")
+    got = {(r.site, r.url): (r.rank, r.parent) for r in G.bfs(seeds, e).collect()}
+    out = {}
+    for _, src, pos, dst in sorted(x for x in links if x[0] == "s"):
+        out.setdefault(src, []).append(dst)
+    order = _python_crawl(out, "p0")
+    assert [u for (s, u), _ in sorted(got.items(), key=lambda g: g[1][0]) if s == "s"] == order
+    assert got["t", "p1"] == (2, "p0") and len([g for g in got if g[0] == "t"]) == 2
+    assert G.bfs(seeds, e, 2).count() == 4

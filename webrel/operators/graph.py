@@ -62,6 +62,7 @@ def rank_within(df: DataFrame, key: str, order: list[str], out: str = "rn", base
             .drop("_pid", "_mid", "_off", "_m0"))
 
 
+SEEN_BUCKETS = 64   # folders of a level
 _VISITED = "site string, url string, rank bigint, parent string, bfs_depth int, seed string"
 
 
@@ -80,33 +81,62 @@ def bfs(seeds: DataFrame, edge_df: DataFrame, max_pages: int = 0) -> DataFrame:
     dense per site; with ``max_pages`` > 0 only ranks <= max_pages are kept
     (failed pages count, as in the reference).
 
-    The edge table is written once (pages are not parsed again for each level) and
-    every level is appended to one folder of the shared directory, so neither the
-    plan nor what a level rewrites grows with the number of levels.
+    Every level is written to its own folder, in folders by a bucket of (site, url).
+    A level's candidates are looked up only in the buckets that they fall in, and
+    levels are merged for that lookup once they have at most twice the rows of those
+    after them, so the pages seen lie in about log(pages) runs and a level of few
+    pages reads few of them.  Ranks go on from the frontier, whose ranks are a site's
+    highest.  Neither the plan nor what a level writes grows with the number of levels.
     """
     spark = seeds.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/webrel-bfs-{uuid.uuid4().hex}"
-    out = edge_df.select("site", "src", "pos", "dst")
-    _start(seeds).write.parquet(f"{path}/level-0")
+    edge_df = edge_df.select("site", "src", "pos", "dst")
+    bucket = F.pmod(F.xxhash64("site", "url"), F.lit(SEEN_BUCKETS)).cast("int")
+    runs: list[tuple[str, int]] = []   # folders of pages seen, oldest first, and their rows
+
+    def add(rows: DataFrame, level: int) -> int:
+        folder = f"{path}/levels/level={level}"
+        rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        n = spark.read.schema(_VISITED).parquet(folder).count()
+        if n:
+            runs.append((folder, n))
+        last = 1
+        while last < len(runs) and runs[-last - 1][1] <= 2 * sum(k for _, k in runs[-last:]):
+            last += 1
+        if last > 1:
+            merged, old = f"{path}/seen/{level}", runs[-last:]
+            seen([p for p, _ in old]).repartition("bucket").write.partitionBy("bucket").parquet(merged)
+            runs[-last:] = [(merged, sum(k for _, k in old))]
+        return n
+
+    def seen(folders: list[str]) -> DataFrame:
+        out = None
+        for folder in folders:
+            rows = spark.read.schema("site string, url string, bucket int").parquet(folder)
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    add(_start(seeds), 0)
     level = 0
     while True:
-        visited = spark.read.schema(_VISITED).parquet(f"{path}/level-*")
-        frontier = spark.read.schema(_VISITED).parquet(f"{path}/level-{level}")
+        frontier = spark.read.schema(_VISITED).parquet(f"{path}/levels/level={level}")
         level += 1
         # candidates: out-links of the frontier, earliest (parent rank, link pos) per target
         cand = (frontier.select("site", F.col("url").alias("src"), F.col("rank").alias("src_rank"), "seed")
-                .join(out, ["site", "src"]).groupBy("site", "dst")
-                .agg(F.min(F.struct("src_rank", "pos", "src")).alias("k"), F.min("seed").alias("seed")))
-        cand = cand.join(visited.select("site", F.col("url").alias("dst")), ["site", "dst"], "left_anti")
-        top = visited.groupBy("site").agg(F.max("rank").alias("base"))
-        cand = cand.select("site", "dst", "k", "seed", F.col("k.src_rank").alias("_r"), F.col("k.pos").alias("_p"))
-        new = rank_within(cand, "site", ["_r", "_p", "dst"], "rank", top).select(
-            "site", F.col("dst").alias("url"), "rank", F.col("k.src").alias("parent"), F.lit(level).alias("bfs_depth"), "seed")
+                .join(edge_df, ["site", "src"]).groupBy("site", F.col("dst").alias("url"))
+                .agg(F.min(F.struct("src_rank", "pos", "src")).alias("k"), F.min("seed").alias("seed")).withColumn("bucket", bucket))
+        cand = written(cand, "bfs-candidates")
+        touched = [r[0] for r in cand.select("bucket").distinct().collect()]   # at most SEEN_BUCKETS
+        before = seen([p for p, _ in runs]).filter(F.col("bucket").isin(touched))
+        cand = cand.join(before.select("site", "url"), ["site", "url"], "left_anti")
+        top = frontier.groupBy("site").agg(F.max("rank").alias("base"))
+        cand = cand.select("site", "url", "k", "seed", F.col("k.src_rank").alias("_r"), F.col("k.pos").alias("_p"))
+        new = rank_within(cand, "site", ["_r", "_p", "url"], "rank", top).select(
+            "site", "url", "rank", F.col("k.src").alias("parent"), F.lit(level).alias("bfs_depth"), "seed")
         if max_pages > 0:
             new = new.filter(F.col("rank") <= max_pages)
-        new.write.parquet(f"{path}/level-{level}")
-        if spark.read.schema(_VISITED).parquet(f"{path}/level-{level}").isEmpty():
-            return spark.read.schema(_VISITED).parquet(f"{path}/level-*")
+        if add(new, level) == 0:
+            return spark.read.schema(_VISITED).parquet(f"{path}/levels").drop("level", "bucket")
 
 
 def follow(seeds: DataFrame, next_df: DataFrame, max_pages: int = 0) -> DataFrame:

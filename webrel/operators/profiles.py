@@ -18,6 +18,8 @@ from webrel.functions import urls as U
 from webrel.operators import dom as D
 from webrel.operators import entities as EN
 from webrel.operators import page as P
+from webrel.operators import record as RC
+from webrel.operators import tree as T
 from webrel.operators.select import first_matches, flag, nearest_ancestor
 
 # --- fixed values -----------------------------------------------------------
@@ -213,3 +215,33 @@ def report(df: DataFrame, kind: str, order: list, rows: int = REPORT_ROWS) -> Da
     numbered = first.select(F.struct(*order).alias("_o"), *[c.alias(n) for n, c in cols.items()])
     rows_ = numbered.agg(F.array_sort(F.collect_list(F.struct("_o", *cols))).alias("r"))
     return rows_.select(F.posexplode("r").alias("k", "r")).select((F.col("k") + 1).cast("long").alias("no"), *[F.col(f"r.{n}").alias(n) for n in cols])
+
+
+# --- fixed values: where public profile pages keep their fields, first match counts ---------
+PUBLIC_PROFILE = {
+    "name": "h1",
+    "headline": ".top-card-layout__headline, .pv-text-details__left-panel .text-body-medium, [data-generated-suggestion-target='headline']",
+    "location": ".top-card__subline-item, .pv-text-details__left-panel .text-body-small",
+    "summary": ".core-section-container__content .pv-shared-text-with-see-more, #about ~ div .visually-hidden, .summary",
+}
+PUBLIC_EXPERIENCE = ".experience-item, .pvs-list__item--line-separated:first-child"
+# ----------------------------------------------------------------------------------------------
+
+
+def public_profile(dom: D.Dom) -> DataFrame:
+    """``page_id, fields``: a MAP of what a public profile page states; fields that are missing or
+    empty are left out, the summary is cut at 1000 characters."""
+    def text(p: T.Page, e: Column) -> Column:
+        return F.coalesce(TX.join_strip(p.deep(e)), F.lit(""))
+
+    def fields(p: T.Page) -> Column:
+        found = {k: text(p, RC.first(p.select(sel))) for k, sel in PUBLIC_PROFILE.items()}
+        found["summary"] = TX.cut(found["summary"], 1000)
+        told = F.array_join(F.transform(F.filter(p.texts, lambda t: F.exists(RC.tagged(p, "body"), lambda b: RC.in_element(b, t["start"]))),
+                                        lambda t: t["text"]), " ")
+        found["connections"] = F.replace(F.regexp_extract(told, r"(?i)([\d,]+)\s*connections?", 1), F.lit(","), F.lit(""))
+        shown = lambda e: F.filter(p.els, lambda x: (x["tag"] == "span") & (x["attrs"]["aria-hidden"] == "true") & RC.in_element(e, x["start"]))
+        found["current_title"] = T.let(RC.first(p.select(PUBLIC_EXPERIENCE)), lambda e: text(p, RC.first(shown(e))))
+        return F.map_filter(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)]), lambda k, v: v != "")
+
+    return RC.parts(dom, fields=fields)

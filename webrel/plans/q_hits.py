@@ -1,4 +1,5 @@
-"""Registered queries over nested search, profile and position payloads.
+"""Registered queries over nested search, profile and position payloads and public
+profile pages (E14, E25-E27).
 The payloads are rendered from ``customer`` in every shape the operators accept; the
 SQL reads the table alone."""
 
@@ -6,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from webrel.operators import dom as D
 from webrel.operators import hits as H
+from webrel.operators import profiles as PR
 from webrel.plans.catalog import big, register
 from webrel.sources.io import table
 
@@ -124,3 +127,32 @@ SELECT o_orderkey::BIGINT AS doc, position_no::BIGINT AS position_no, o_orderpri
        CASE WHEN o_orderkey % 3 = 0 THEN left(repeat(o_orderkey || ' ', 100), 300) ELSE '' END AS description
 FROM o
 """)(_positions)
+
+
+def _public_profiles(spark, sf):
+    k, n = F.col("c_custkey"), F.col("c_name")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    head = F.when(k % 3 == 0, text('<h2 class="x top-card-layout__headline">', F.col("c_mktsegment"), "</h2>")).when(
+        k % 3 == 1, text("<p data-generated-suggestion-target='headline'> At <b>", F.col("c_mktsegment"), "</b></p>")).otherwise(F.lit(""))
+    about = F.when(k % 2 == 0, text('<div id="about"></div><div><span class="visually-hidden">About ', F.repeat(F.concat(k.cast("string"), F.lit(" ")), 300),
+                                    "</span></div>")).otherwise(text('<p class="summary">Short ', k.cast("string"), "</p>"))
+    html = text("<html><head><title>9 connections</title></head><body><main><h1>", n, "</h1>", head,
+                F.when(k % 4 != 0, text('<span class="top-card__subline-item">Nation ', F.col("c_nationkey").cast("string"), "</span>")).otherwise(F.lit("")),
+                about, F.when(k % 5 != 0, text("<p>1,", F.lpad((k % 1000).cast("string"), 3, "0"), " connections</p>")).otherwise(F.lit("")),
+                '<ul><li class="pvs-list__item--line-separated"><span>no</span><span aria-hidden="true">Title <i>', (k % 9).cast("string"),
+                '</i></span></li><li class="pvs-list__item--line-separated"><span aria-hidden="true">Old</span></li></ul></main></body></html>')
+    pages = table(spark, sf, "customer").select(k.alias("page_id"), html.alias("html"))
+    rows = PR.public_profile(D.parse(pages)).select("page_id", F.explode(F.map_entries("fields")).alias("e"))
+    return rows.select(big("page_id").alias("page_id"), F.col("e.key").alias("field"), F.col("e.value").alias("value"))
+
+
+register("public_profile", """
+WITH f AS (SELECT c_custkey AS k, unnest([
+    {'field': 'name', 'value': c_name},
+    {'field': 'headline', 'value': CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'At  ' || c_mktsegment END},
+    {'field': 'location', 'value': CASE WHEN c_custkey % 4 <> 0 THEN 'Nation ' || c_nationkey END},
+    {'field': 'summary', 'value': CASE WHEN c_custkey % 2 = 0 THEN left(trim('About ' || repeat(c_custkey || ' ', 300)), 1000) ELSE 'Short ' || c_custkey END},
+    {'field': 'connections', 'value': CASE WHEN c_custkey % 5 <> 0 THEN '1' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') END},
+    {'field': 'current_title', 'value': 'Title  ' || (c_custkey % 9)}]) AS e FROM customer)
+SELECT k::BIGINT AS page_id, e.field AS field, e.value AS value FROM f WHERE e.value IS NOT NULL
+""")(_public_profiles)
