@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from webrel.llm import topk
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 60])
-def test_against_brute_force(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "query_rows"), [(10_000, 20_000), (60, 20_000), (60, 3)])
+def test_against_brute_force(spark, shard_rows, query_rows):
     rng = random.Random(9)
     rows = [(k, [rng.gauss(k % 5, 1) for _ in range(6)]) for k in range(400)]
     rows += [(400 + k, rows[7][1]) for k in range(30)]           # one very common vector: ties
@@ -22,7 +22,7 @@ def test_against_brute_force(spark, shard_rows):
         if q % 50 == 0:
             found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found[:10])]
-    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard_rows).collect()]
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard_rows, query_rows=query_rows).collect()]
     assert sorted(got) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 

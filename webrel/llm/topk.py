@@ -12,17 +12,20 @@ of the other shards.  It is a score that k other rows reach, so a box below it
 holds no result; boxes that reach exactly it are still opened (ties).
 
 Scale.  Shards hold about ``shard_rows`` vectors, so their number grows with the
-table and no task holds more than a shard.  Queries are a stated set against all
-rows: they visit the shards in blocks as rows of a cogroup by shard, and per
-shard only the best ``k`` of a query leave the task; the shards' results meet by
-query in a grouped top-k with partial combining.  Vectors are compared as 64-bit
+table.  Queries are a stated set against all rows: they are dealt into blocks of about
+``query_rows`` by the hash of their id and visit the shards block by block, as a cogroup
+by shard and block; a task holds one shard and one block, whatever the table's size.
+The price is that a shard's rows travel once per block.  Per shard only the best ``k`` of
+a query leave the task; the shards' results meet by query in a grouped top-k with
+partial combining.  Vectors are compared as 64-bit
 integers (in float64 where every sum is below 2**53, which is exact).
 
 Defined results: vectors that are null, empty, or hold a null or non-finite
 component, and rows without an id, take no part, as query or as candidate.
 Vectors of different lengths are never compared.  All rows with the query's id
 are its own.  Rows that repeat an id and a vector are one row; two different
-vectors under one id are both candidates.  Ties go to the smaller id.
+vectors under one id are both candidates.  Ties go to the smaller id.  An empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 
 LEAF = 256
 SHARD_ROWS = 20_000
+QUERY_ROWS = 20_000
 BLOCK = 512          # queries whose box bounds are computed together
 
 
@@ -134,20 +138,24 @@ def _shard(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-          shard_rows: int = SHARD_ROWS) -> DataFrame:
+          shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest integer inner products of each query."""
     ints = (rows.where(F.col(id_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("id"), is_query.alias("is_query"), quantised(F.col(vec_col)).alias("vec"))
             .where(F.col("vec").isNotNull()).withColumn("dim", F.size("vec")))
-    shards = max(1, -(-rows.count() // shard_rows))
+    size = rows.agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries")).first()
+    shards, blocks = max(1, -(-size["rows"] // shard_rows)), max(1, -(-size["queries"] // query_rows))
     ints = ints.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     schema = "query_id long, vec_id long, score long"
     data = ints.select("id", "vec", "dim", "shard").distinct()
     queries = ints.where("is_query").select("id", "vec", "dim").distinct()
 
     def search(q: DataFrame) -> DataFrame:
-        q = q.select(*[F.col(c).alias(c) for c in ("id", "vec", "dim", "shard", "least")])   # columns of its own
-        return (data.groupBy("dim", "shard").cogroup(q.groupBy("dim", "shard")).applyInArrow(_shard(k), schema))
+        q = q.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int"))
+        q = q.select(*[F.col(c).alias(c) for c in ("id", "vec", "dim", "shard", "block", "least")])   # columns of its own
+        held = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else data.withColumn("block", F.lit(0))
+        by = ["dim", "shard", "block"]
+        return held.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(_shard(k), schema)
 
     def best(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
