@@ -15,7 +15,8 @@ memory beyond the text and its ids does not depend on the text's length.
 
 Defined results: null text is empty; empty text gives an empty id list and
 decodes to the empty text; repeated rows give repeated results.  Special-token
-strings inside a text become their special id, as the file's tokenizer does.
+strings inside a text become their special id, as the file's tokenizer does.  An empty
+table gives no rows.  The operators are columns, so names of other columns do not matter.
 """
 
 from __future__ import annotations

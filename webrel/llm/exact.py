@@ -17,7 +17,9 @@ rows: that last join is an ordinary shuffle join of narrow rows which adaptive
 execution may split.
 
 Defined results: null text is empty.  A null id sorts after all others.  Rows
-that repeat an id and a text are copies of each other, and one of them stays.
+that repeat an id and a text are copies of each other, and one of them stays.  An empty
+table gives no rows; other columns are ignored, whatever their names; a long text is
+one row, compared whole.
 """
 
 from __future__ import annotations

@@ -29,7 +29,8 @@ returns to its occurrences in a join which adaptive execution may split.
 
 Defined results: null text is empty and has no lines; empty and blank lines are
 kept and never duplicates; a null id comes after all others; rows that repeat id
-and text are one document and all get its result; an empty table gives no rows.
+and text are one document and all get its result; an empty table gives no rows; a
+long text is one row with all its lines; other columns come along in ``row``.
 """
 
 from __future__ import annotations

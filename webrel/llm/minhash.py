@@ -25,7 +25,8 @@ Missed links: a pair of similarity 0.8 shares no band with probability
 
 Defined results: words are separated by white space and compared in lower case;
 null, empty and blank texts have no words, and are equal texts; a null id sorts
-last; rows that repeat id and text are copies; an empty table gives no rows.
+last; rows that repeat id and text are copies; an empty table gives no rows; a long
+text is one set of all its shingles; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ ratios of size and weight (a table of one row per source).
 
 Defined results: null text has 0 words; documents of 0 words are never taken; a
 null source is a source of its own; rows that repeat id and text share one place
-in the order, so they are taken alike; an empty table gives no rows.  The order depends on ids and texts only, so reruns agree.
+in the order, so they are taken alike; an empty table gives no rows; a long text counts with all its
+words; other columns come along unchanged.  The order depends on ids and texts only, so reruns agree.
 """
 
 from __future__ import annotations

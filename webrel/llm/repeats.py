@@ -27,7 +27,7 @@ their documents as ranges, and each document is cut in its own row.
 Defined results: null text has no bytes; texts shorter than ``length`` are kept;
 rows that repeat id and text are documents of their own, so they repeat each
 other; matches never cross documents; the kept bytes may split a character; an
-empty table gives no rows.
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

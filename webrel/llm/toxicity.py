@@ -31,7 +31,8 @@ document whose features are all zero; labels other than 0 and 1, and null ids
 among the labels, are not learned from; a document labelled more than once is
 toxic if any of its labels is; repeated rows score alike.  With labels of only
 one class (or none) every score is the share of toxic labels (0 without labels).
-Labels, language, source and id are no inputs of a score.
+Labels, language, source and id are no inputs of a score.  An empty table gives no rows;
+long texts are scored whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

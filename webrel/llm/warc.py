@@ -24,7 +24,8 @@ no single task's work.
 Defined results: null payloads are empty; rows that repeat both id and payload
 are the same record, each is written alike; a null id sorts last; null urls have
 no target header; header values lose control characters; an empty table gives
-an archive without records, which reads back as an empty table.
+an archive without records, which reads back as an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
