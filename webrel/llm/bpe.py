@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 SHORT = 128       # parts in a word that the rank array handles
 BLOCK = 100_000   # pieces of a text worked off at a time
-CACHE = 400_000   # words remembered by one Python worker
+CACHE = 200_000   # words remembered by one Python worker
 NO_RANK = 1 << 60
 
 # --- fixed values -----------------------------------------------------------
