@@ -169,7 +169,7 @@ def tables(p: Page) -> Column:
 
 
 def table_rows_basic(p: Page, index: int | None = 1) -> Column:
-    """First text of each cell of the ``index``-th table (None: of all); the key is the header over it, or
+    """First text of each cell of the ``index``-th table and those inside it (None: of all); the key is the header over it, or
     ``col_n`` in a row whose cell count differs from that of its table's headers."""
     def value(e: Column) -> Column:
         return text_or(pystrip(first(p.deep(e))))
@@ -186,7 +186,12 @@ def table_rows_basic(p: Page, index: int | None = 1) -> Column:
         return let(rows, lambda rs: let(F.transform(cells(p, t, all_tables, "th"), value), lambda hs: let(
             tds, lambda ds: F.flatten(F.transform(rs, lambda r: keyed(r, rs, hs, ds))))))
 
-    return let(tagged(p, "table"), lambda ts: F.flatten(F.transform(F.slice(ts, index, 1) if index else ts, lambda t: of(t, ts))))
+    def chosen(ts: Column) -> Column:
+        """The ``index``-th table that lies in no other, with the tables inside it."""
+        outer = F.filter(ts, lambda t: ~F.exists(ts, lambda u: in_element(u, t["start"])))
+        return let(F.get(outer, F.lit(index - 1)), lambda o: F.filter(ts, lambda t: (t["start"] >= o["start"]) & (t["start"] < o["end"])))
+
+    return let(tagged(p, "table"), lambda ts: F.flatten(F.transform(chosen(ts) if index else ts, lambda t: of(t, ts))))
 
 
 def platform(href: Column, mode: str = "host") -> Column:
