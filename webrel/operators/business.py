@@ -67,14 +67,10 @@ def _text(p: Page, e: Column) -> Column:
 def _blocks(p: Page, found: Column, subs: dict[str, str], row: Callable[[Column, dict[str, Column]], Column]) -> Column:
     """``row`` of every element of ``found`` with, by name, its first descendant-or-self element that
     matches each sub-selector (null: none)."""
-    def within(e: Column, matches: Column) -> Column:
-        till = F.when(e["void"], e["start"] + 1).otherwise(e["end"])
-        return first(F.filter(matches, lambda x: (x["start"] >= e["start"]) & (x["start"] < till)))
-
     def bind(names: list[str], matches: dict[str, Column]) -> Column:
         if names:
             return let(p.select(subs[names[0]]), lambda m: bind(names[1:], {**matches, names[0]: m}))
-        return F.transform(found, lambda e: row(e, {n: within(e, m) for n, m in matches.items()}))
+        return F.transform(found, lambda e: row(e, {n: RC.first_within(e, m) for n, m in matches.items()}))
 
     return bind(list(subs), {})
 
@@ -172,10 +168,7 @@ def key_stats(p: Page) -> Column:
     return F.filter(rows, lambda r: r["number"] != "")
 
 
-def rows(dom: D.Dom, part: Callable[[Page], Column]) -> DataFrame:
-    """The rows of one part: ``page_id``, and the fields of its structs (``value`` for plain values)."""
-    each = RC.parts(dom, x=part).select("page_id", F.explode("x").alias("x"))
-    return each.select("page_id", "x.*") if each.schema["x"].dataType.typeName() == "struct" else each.withColumnRenamed("x", "value")
+rows = RC.rows
 
 
 def price_value(price: Column) -> Column:

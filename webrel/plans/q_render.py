@@ -143,7 +143,7 @@ SELECT s_suppkey::BIGINT AS page_id, 'Office ' || coalesce(n_name, '') || ' bran
 # --- B03 hours on supplier pages -----------------------------------------------------------------------------------
 register("page_hours", """
 SELECT s_suppkey::BIGINT AS page_id, 'Mon-Fri 09:00 - 17:00' AS hours FROM supplier
-""")(lambda spark, sf: RC.parts(_supplier_dom(spark, sf), c=B.contact).select(_pid(), F.explode("c.hours").alias("hours")))
+""")(lambda spark, sf: D.exploded(RC.parts(_supplier_dom(spark, sf), c=B.contact), "c.hours", "hours").select(_pid(), "hours"))
 
 # --- E11 / E12 org details --------------------------------------------------------------------------------------------
 register("org_details", f"""
@@ -214,7 +214,7 @@ SELECT o_custkey::BIGINT AS page_id, printf('%.2f', mx) AS number, 'Total spent'
 
 # --- B15 price values (ours): money text -> DECIMAL + currency ---------------------------
 def _price_values(spark, sf):
-    p = B.rows(_part_dom(spark, sf), B.pricing).select("page_id", F.explode("prices_found").alias("price"))
+    p = D.exploded(B.rows(_part_dom(spark, sf), B.pricing), "prices_found", "price")
     v = p.select(_pid(), "price", B.price_value(F.col("price")).alias("v"))
     return v.select("page_id", "price", F.col("v.amount").cast("string").alias("amount"), F.col("v.currency").alias("currency"))
 
