@@ -109,25 +109,26 @@ def selector_for(dom: D.Dom, text: str) -> DataFrame:
     has one.  Of the steps ``tag:nth-of-type(n) > ...`` from the root to it, the fewest last
     ones are taken that no other element of the page ends in, so D05 finds it alone."""
     def chosen(p: T.Page) -> Column:
-        def step(e: Column) -> Column:
-            return F.concat(e["tag"], F.lit(":nth-of-type("), (p.siblings_before(e, True) + 1).cast("string"), F.lit(")"))
-
         def shortest(path: Column, paths: Column) -> Column:
             last = lambda q, k: F.slice(q, F.greatest(F.size(q) - k + 1, F.lit(1)), k)
             alone = F.filter(F.sequence(F.lit(1), F.size(path)), lambda k: F.size(F.filter(paths, lambda q: last(q, k) == last(path, k))) == 1)
             return F.array_join(last(path, F.coalesce(F.get(alone, F.lit(0)), F.size(path))), " > ")
 
-        def path_of(e: Column, steps: Column) -> Column:
-            around = F.filter(steps, lambda x: (x["start"] == e["start"]) | ((x["start"] < e["start"]) & (e["start"] < x["end"])))
-            return F.transform(around, lambda x: x["step"])
+        def path_of(e: Column) -> Column:
+            around = F.filter(p.els, lambda x: (x["start"] == e["start"]) | ((x["start"] < e["start"]) & (e["start"] < x["end"])))
+            return F.transform(around, lambda x: F.concat(x["tag"], F.lit(":nth-of-type("), x["nth_of_type"].cast("string"), F.lit(")")))
+
+        def selector(t: Column) -> Column:
+            # only paths that end in the same step can end in more of them
+            rivals = F.filter(p.els, lambda e: (e["tag"] == t["tag"]) & (e["nth_of_type"] == t["nth_of_type"]))
+            return T.let(path_of(t), lambda path: T.let(F.transform(rivals, path_of), lambda paths: shortest(path, paths)))
 
-        target = F.get(F.filter(p.els, lambda e: F.exists(p.own(e), lambda t: t.contains(text))), F.lit(0))
-        steps = F.transform(p.els, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), step(e).alias("step")))
-        return T.let(target, lambda t: F.when(t.isNotNull(), T.let(steps, lambda ss: T.let(
-            F.transform(p.els, lambda e: path_of(e, ss)), lambda ps: shortest(path_of(t, ss), ps)))))
+        holder = F.array_min(F.transform(F.filter(p.texts, lambda t: t["text"].contains(text)), lambda t: t["parent"]))
+        target = T.let(holder, lambda at: F.get(F.filter(p.els, lambda e: e["start"] == at), F.lit(0)))
+        return T.let(target, lambda t: F.when(t.isNotNull(), F.struct(selector(t).alias("selector"))))
 
-    pages = T.encode(dom)
-    return pages.select("page_id", T.on_page(chosen).alias("selector")).filter("selector is not null")
+    found = T.encode(dom).select("page_id", F.array(T.on_page(chosen)).alias("s"))
+    return D.exploded(found, "s", "s").select("page_id", "s.selector")
 
 
 def preview(long: DataFrame, n: int = 120) -> DataFrame:
