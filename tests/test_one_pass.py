@@ -13,6 +13,7 @@ from webrel.operators import entities as EN
 from webrel.operators import page as P
 from webrel.operators import profiles as PR
 from webrel.operators import rules as RU
+from webrel.plans import render as R
 
 PAGE = ("<html><body><nav><a href='https://www.linkedin.com/in/me'>Me</a></nav><main><div class='price'><h2>Plan</h2><p>$5.00 a month</p></div>"
         "<table><tr><th>H</th></tr><tr><td>v</td></tr></table><form action='/f'><input name='q'><form><select name='s'></select></form></form>"
@@ -78,3 +79,17 @@ def test_workers_need_no_repository(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"WEBREL_DRIVER_MEMORY": "1g"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "titles a & b" in out.stdout, out.stderr[-2000:]
+
+
+def test_payloads_are_made_by_all_tasks(spark):
+    customers = spark.range(100).coalesce(1).selectExpr("id c_custkey", "'n' c_name")
+    payloads = R.person_payloads(customers)
+    assert payloads.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and payloads.count() == 100
+
+
+def test_first_experience_is_current(spark):
+    rows = [('{"experiences": [{"title": "a", "company": "b"}, {"title": "c"}]}', "a", "b"), ('{"experiences": [null, {"title": "c"}]}', "", ""),
+            ('{"experiences": "x"}', "", ""), ("{}", "", "")]
+    df = spark.createDataFrame(rows, "payload string, title string, company string")
+    got = df.select("title", "company", EN.normalize_person(F.try_parse_json("payload"), F.lit("u")).alias("p")).collect()
+    assert all((r.p.current_title, r.p.current_company) == (r.title, r.company) for r in got)
