@@ -1,9 +1,9 @@
 """webrel: captured web data as Spark relations.
 
-HTML pages become token / element / text tables, read in one pass per page, with DataFrame
-expressions only; extraction, link graphs, change detection, request-log
-analytics and entity normalisation are DataFrame -> DataFrame functions
-meant to be chained with ``df.transform``.
+HTML pages become token / element / text tables, read in one pass per page;
+what is asked of them are DataFrame expressions.  Extraction, link graphs,
+change detection, request-log analytics and entity normalisation are DataFrame ->
+DataFrame functions meant to be chained with ``df.transform``.
 """
 
 from webrel.session import get_spark, checkpoint_dir  # noqa: F401

@@ -104,11 +104,8 @@ FROM part, (VALUES (0, 'Brand'), (1, 'Type'), (2, 'Size')) c(col_no, header)
 
 # --- F04 sections -------------------------------------------------------------------------------------
 def _sections(spark, sf):
-    secs, content = P.sections(_part_dom(spark, sf))
-    c = content.groupBy("page_id", "start").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tidx", "text"))), lambda s: s["text"]), " | ")
-        .alias("content"))
-    return secs.join(c, ["page_id", "start"]).select(_pid(), "heading", "content")
+    secs, _ = P.sections(_part_dom(spark, sf))
+    return secs.select(_pid(), "heading", F.array_join("texts", " | ").alias("content"))
 
 
 register("sections", f"""
