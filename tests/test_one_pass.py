@@ -1,6 +1,7 @@
 """A page is read once: no window, join or second parse per part, and pages that share an id stay apart."""
 
 import os
+import random
 import subprocess
 import sys
 
@@ -93,3 +94,15 @@ def test_first_experience_is_current(spark):
     df = spark.createDataFrame(rows, "payload string, title string, company string")
     got = df.select("title", "company", EN.normalize_person(F.try_parse_json("payload"), F.lit("u")).alias("p")).collect()
     assert all((r.p.current_title, r.p.current_company) == (r.title, r.company) for r in got)
+
+
+def test_pages_read_together_equal_pages_read_alone():
+    """Tokens of several pages are read at once; nothing of a page reaches the next, and the tokens come only where asked for."""
+    bits = ["<div>", "</div>", "<p>", "<b>", "<i>", "</b>", "</i>", "<br>", "<a href='/x&amp;y' HREF=2>", "</a>", "<li>", "x &lt; y", "<", "<!-- c -->",
+            "<script>'</p>'</script>", "<style</a>", "<table>", "<tr>", "<td>", "</table>", "<h1"]
+    rng = random.Random(3)
+    htmls = ["", *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(300)), ""]
+    together = D._pages(htmls, True).to_pylist()
+    assert together == [D._pages([h], True).to_pylist()[0] for h in htmls]
+    assert all("".join(t["tok"] for t in p["toks"]) == h for p, h in zip(together, htmls, strict=True) if "<style</a>" not in h)
+    assert D._pages(htmls, False).to_pylist() == [{k: p[k] for k in ("txt", "nodes")} for p in together]

@@ -41,7 +41,7 @@ def items(dom: D.Dom, rules) -> DataFrame:
                 sel.pseudo_element, sel.attr = "attr", r["attr"].lower()
     if not kinds:
         return dom.elements.sparkSession.createDataFrame([], "page_id bigint, rule_id int, pos struct<at:int,k:int>, value string")
-    return T.rule_items(T.encode(dom), kinds)
+    return T.rule_items(dom, kinds)
 
 
 def extract(dom: D.Dom, rules) -> DataFrame:
