@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from webrel.llm import toxicity
@@ -125,3 +126,23 @@ def test_values_by_the_formulas(spark, monkeypatch, slice_):
     want = brute_ratio(texts, labels)
     for word in ("bad", "Badger", "day", "goodly", "unseen", "日本", "badly", "a", "gad", "mayday"):
         assert toxicity._features(word, {}, model)[0] == pytest.approx(want(word), abs=1e-4)
+
+
+def test_counting_holds_few_words(monkeypatch):
+    """Words are forgotten while their groups are held: fewer rows leave the task, and the counts are the same."""
+    texts = [" ".join(f"w{(k * 37 + i) % 400}" for i in range(50)) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 3 if k % 3 < 2 else None for k in range(60)], pa.int32())], ["text", "toxic"])
+
+    def counted():
+        rows = [r for b in toxicity._count(iter([batch])) for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        sums = Counter()
+        for *keys, toxic, plain in rows:
+            sums.update({(*keys, 1): toxic, (*keys, 0): plain})
+        return len(rows), sums
+
+    n, want = counted()
+    monkeypatch.setattr(toxicity, "FLUSH", 20)
+    assert counted() == (n, want)
+    monkeypatch.setattr(toxicity, "GROUPS", 50)
+    again, got = counted()
+    assert again > n and got == want

@@ -52,9 +52,10 @@ ORDER = 5
 DISCOUNT = 0.75
 STRONG = 4.0
 SAMPLE = 60_000        # labelled rows learned from, at most
-FLUSH = 300_000        # distinct words that a counting task holds at most,
-FLUSH_BYTES = 64 << 20 # letters of the texts they are new in at most,
-SLICE = 1 << 19        # and letters whose groups it makes at a time
+FLUSH = 80_000         # distinct words that a counting task holds at most,
+FLUSH_BYTES = 8 << 20  # letters of the texts they are new in at most,
+SLICE = 1 << 17        # letters whose groups it makes at a time,
+GROUPS = 400_000       # and groups it holds before it hands them on
 
 
 class Model(NamedTuple):
@@ -93,6 +94,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[str] = set()
     labelled = Counter(), Counter()   # plain, toxic: words of at most ``SAMPLE`` texts
     size = 0
+    held: list[np.ndarray] = []       # groups of the words that are forgotten
 
     def groups(words: list[str]) -> list[np.ndarray]:
         """The different letter groups of some words with their counts."""
@@ -100,8 +102,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.array([[labelled[1][w], labelled[0][w]] for w in words], np.int64)[word]
         return _summed([*keys, n[:, 0], n[:, 1]])
 
-    def flush() -> pa.RecordBatch:
-        parts, words, letters = [], [], 0
+    def forget() -> None:
+        nonlocal held
+        parts, words, letters = [held] if held else [], [], 0
         for w in seen:
             words.append(w)
             letters += len(w) + 1
@@ -110,10 +113,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words, letters = [], 0
         if words:
             parts.append(groups(words))
-        columns = _summed([np.concatenate(c) for c in zip(*parts, strict=True)]) if len(parts) > 1 else parts[0]
+        held = _summed([np.concatenate(c) for c in zip(*parts, strict=True)]) if len(parts) > 1 else parts[0]
         seen.clear()
         labelled[0].clear()
         labelled[1].clear()
+
+    def batch_of(columns: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
 
     for batch in batches:
@@ -126,10 +131,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(seen) > before:
                 size += len(text)
             if len(seen) > FLUSH or size > FLUSH_BYTES:
-                yield flush()
+                forget()
                 size = 0
+                if len(held[0]) > GROUPS:
+                    yield batch_of(held)
+                    held = []
     if seen:
-        yield flush()
+        forget()
+    if held:
+        yield batch_of(held)
 
 
 def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
