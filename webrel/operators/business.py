@@ -111,7 +111,7 @@ def pricing(p: Page) -> Column:
                         TX.cut(r["text"], LIMITS[limits[1]]).alias("text"))
 
     def rows(blocks: Column) -> Column:
-        some = F.filter(p.els, lambda e: F.array_contains(blocks, e["start"]) | TX.has_keyword(_class_id(e), TX.PRICE_KEYWORDS))
+        some = F.filter(p.with_attr("class", "id"), lambda e: F.array_contains(blocks, e["start"]) | TX.has_keyword(_class_id(e), TX.PRICE_KEYWORDS))
         return _blocks(p, some, {"label": PRICE_LABEL_SEL}, lambda e, sub: row(e, sub, blocks))
 
     every = let(F.transform(p.select(PRICE_SEL), lambda e: e["start"]), rows)
