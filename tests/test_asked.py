@@ -10,6 +10,7 @@ from webrel.operators import business as B
 from webrel.operators import dom as D
 from webrel.operators import record as RC
 from webrel.operators import tree as T
+from webrel.plans import render as R
 
 BITS = ["<div class='price-box plan'>", "</div>", "<h2 class='title'>", "</h2>", "<p>", "</p>", "<li>", "</ul>", "<ul id='plans'>", " a ", "$5 ", "per month",
         "<b>", "</b>", "<form action='/x' class='btn-form'>", "</form>", "<input name='n'>", "<a href='https://x.com/1' class='btn'>", "</a>", "<br>", "&amp;",
@@ -62,3 +63,11 @@ def test_keywords_are_found_as_parts_of_lower_cased_text(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", has_keyword(F.col("t"), PRICE_KEYWORDS)).collect()
     want = [None if t is None else any(k in t.lower() for k in PRICE_KEYWORDS) for t in texts]
     assert [x for _, x in sorted(got, key=lambda row: row[0])] == want
+
+
+def test_rendered_pages_are_read_by_many_tasks(spark):
+    """The rows are few bytes, so adaptive execution would read their pages in one task."""
+    orders = spark.createDataFrame([(i, float(i)) for i in range(200)], "o_custkey long, o_totalprice double")
+    dom = D.parse(R.stat_pages(orders))
+    tasks = dom.html.select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 1
