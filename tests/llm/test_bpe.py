@@ -65,3 +65,12 @@ def test_column(spark, both):
         assert r["d"] == (r["text"] or "")
     none = df.limit(0).select(bpe.decode(spark, bpe.encode(spark, "text", PATH), PATH).alias("d"))
     assert none.collect() == []
+
+
+def test_round_trip_equals_encode_and_decode(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, "", "Ein  Wort\n", "äöü 😀 <|endoftext|> x", *[f"row {i} of many" for i in range(2 * bpe.ROWS + 3)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    plain = docs.select("i", bpe.encode(spark, "text", path).alias("ids")).select("i", "ids", bpe.decode(spark, "ids", path).alias("decoded"))
+    both = docs.select("i", bpe.round_trip(spark, "text", path).alias("b")).select("i", "b.ids", "b.decoded")
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, plain.collect()))

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 SHORT = 128       # parts in a word that the rank array handles
 BLOCK = 100_000   # pieces of a text worked off at a time
+ROWS = 1_000      # texts whose ids and decoded texts are held at once
 CACHE = 200_000   # words remembered by one Python worker
 NO_RANK = 1 << 60
 
@@ -156,6 +157,29 @@ class Coder:
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def round_trip(spark: SparkSession, text: Column | str, path: str) -> Column:
+    """``struct<ids array<int>, decoded string>``: ``encode`` of a text column and ``decode`` of its ids in one Python
+    worker a task; as two functions they would keep two, each with a vocabulary, and send the ids out and back."""
+    shared = spark.sparkContext.broadcast(tuple(read_vocabulary(path)))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = Coder(Vocabulary(*shared.value))
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                ids, ends, out = array("i"), array("i", [0]), []
+                for text in batch.slice(at, ROWS):
+                    for block in coder.blocks(text.as_py() or ""):
+                        ids.extend(block)
+                    out.append(coder.decode(ids[ends[-1]:]))
+                    ends.append(len(ids))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(
+                    pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+                yield pa.StructArray.from_arrays([lists, pa.array(out, pa.string())], ["ids", "decoded"])
+
+    return both(text)
+
+
 def _columns(spark: SparkSession, path: str):
     shared = spark.sparkContext.broadcast(tuple(read_vocabulary(path)))
 
