@@ -71,3 +71,49 @@ def test_rendered_pages_are_read_by_many_tasks(spark):
     dom = D.parse(R.stat_pages(orders))
     tasks = dom.html.select(F.spark_partition_id().alias("t")).distinct().count()
     assert tasks > 1
+
+
+def _tokens_of(htmls: list[str]) -> list[list[tuple[str, bool]]]:
+    coded = D._coded(htmls)
+    toks = coded.different.take(D.pa.array(coded.code)).to_pylist()
+    return [[(t, bool(r)) for t, r, p in zip(toks, coded.raw, coded.page, strict=True) if p == i] for i in range(len(htmls))]
+
+
+def test_tokens_cut_at_brackets_equal_the_pattern():
+    r = random.Random(9)
+    bits = ["<", ">", "'", '"', " ", "é😀", "<a href='x'>", "</a>", "<p/ x=\"y\"z>", "<a title=\"it's\">", "<a b=\"c>d\">", "<a\"b c>", "<!-- c -->", "<!-- <b> -->",
+            "<!-->", "<!doctype html>", "<!d \"<\">", "<script>", "<scRipt x='>'>", "</script\n>", "</SCRIPT>", "</script x>", "<textarea>", "</textarea>", "<style-x>",
+            "</style>", "var t = '</p>';", "a & b", "&amp;", "<script a=</b>", "<ſcript>"]
+    htmls = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    for some in (htmls[i:i + 8] for i in range(0, len(htmls), 8)):
+        want = []
+        for html in some:
+            toks, raws = D._tokens(html)
+            want.append([(t, i in raws) for i, t in enumerate(toks)])
+        assert _tokens_of(some) == want, some
+
+
+def test_plain_pages_need_no_pattern(monkeypatch):
+    """Pages without brackets inside markup are cut as bytes, also around scripts that hold markup."""
+    def no_pattern(html):
+        raise AssertionError(html)
+
+    monkeypatch.setattr(D, "_tokens", no_pattern)
+    html = "<!DOCTYPE html><p class='x'>1 &amp; é<!-- c --><script>'<b>' > 2</script><textarea></textarea><br/>"
+    [page] = D.Asked(conditions={("p", ()), ("textarea", ())}).read([html]).to_pylist()
+    assert [(e["tag"], e["attrs"]) for e in page["els"]] == [("p", [("class", "x")]), ("textarea", [])]
+    assert page["texts"] == ["1 & é", "'<b>' > 2", ""]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spread_pages_move_no_html(spark, tmp_path):
+    from webrel.plans import catalog
+    catalog.load_all()
+    part = spark.createDataFrame([(k, f"n{k}", "B#1", "T", 3, 9.5) for k in (1, 2, None, 7, 7)],
+                                 "p_partkey int, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    links = catalog.QUERIES["social_links"](spark, str(tmp_path))
+    assert _plan(links).count("Exchange") == 1 and sorted(r["platform"] for r in links.collect()) == ["twitter", "x.com"]

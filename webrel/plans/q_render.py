@@ -23,7 +23,7 @@ PRICE = "'$' || printf('%.2f', p_retailprice)"
 
 
 def _part_dom(spark, sf):
-    return D.parse(R.part_pages(table(spark, sf, "part")))
+    return D.parse(R.part_pages(table(spark, sf, "part")), spread=True)
 
 
 def _supplier_dom(spark, sf):
