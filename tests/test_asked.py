@@ -109,7 +109,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_spread_pages_move_no_html(spark, tmp_path):
+def test_spread_pages_move_no_html_and_forms_are_read_once(spark, tmp_path):
     from webrel.plans import catalog
     catalog.load_all()
     part = spark.createDataFrame([(k, f"n{k}", "B#1", "T", 3, 9.5) for k in (1, 2, None, 7, 7)],
@@ -117,3 +117,7 @@ def test_spread_pages_move_no_html(spark, tmp_path):
     part.write.parquet(f"{tmp_path}/part.parquet")
     links = catalog.QUERIES["social_links"](spark, str(tmp_path))
     assert _plan(links).count("Exchange") == 1 and sorted(r["platform"] for r in links.collect()) == ["twitter", "x.com"]
+    forms = catalog.QUERIES["forms"](spark, str(tmp_path))
+    assert "ArrowEvalPython" not in _plan(forms)
+    # the join keeps its meaning: pages that share an id meet each other, pages without an id are left out
+    assert sorted(r["page_id"] for r in forms.collect()) == [1] * 3 + [2] * 3 + [7] * 12

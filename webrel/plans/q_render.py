@@ -61,7 +61,7 @@ WHERE p_partkey % 3 IN (0, 1)
 
 # --- F09 forms --------------------------------------------------------------------------
 def _forms(spark, sf):
-    f, fields = P.forms(_part_dom(spark, sf))
+    f, fields = P.forms(_part_dom(spark, sf), once=True)
     return f.join(fields, ["page_id", "form_start"]).select(_pid(), "action", "method", "type", "name", "placeholder")
 
 
