@@ -121,3 +121,12 @@ def test_spread_pages_move_no_html_and_forms_are_read_once(spark, tmp_path):
     assert "ArrowEvalPython" not in _plan(forms)
     # the join keeps its meaning: pages that share an id meet each other, pages without an id are left out
     assert sorted(r["page_id"] for r in forms.collect()) == [1] * 3 + [2] * 3 + [7] * 12
+
+
+def test_attributes_need_no_parents(spark, tmp_path):
+    from webrel.plans import catalog
+    catalog.load_all()
+    spark.createDataFrame([(1, "u", "<p id=a><b class='c'>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    attrs = catalog.QUERIES["attrs"](spark, str(tmp_path))
+    assert "parent_start" not in _plan(attrs)
+    assert [tuple(r) for r in attrs.orderBy("start").collect()] == [(1, 0, "p", "id", "a"), (1, 1, "b", "class", "c")]

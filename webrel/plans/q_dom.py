@@ -84,7 +84,7 @@ FROM el JOIN par USING (page_id, start)
 
 # --- D04 attrs ----------------------------------------------------------------
 def _attrs(spark, sf):
-    e = _dom(spark, sf).elements
+    e = _dom(spark, sf).el
     return e.select("page_id", "start", "tag", F.explode("attrs").alias("name", "value")).select(
         big("page_id").alias("page_id"), big("start").alias("start"), "tag", "name", "value")
 
