@@ -30,6 +30,18 @@ def test_compare_mirrors(spark):
     assert a == b
 
 
+def test_records_of_pages_are_not_broadcast(spark, monkeypatch, tmp_path):
+    part = spark.createDataFrame([(k, f"part {k}", "Brand#1", "TIN", 1, 10.0) for k in (1, 2, 3, 3, None)],
+                                 "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    part.write.parquet(str(tmp_path / "part"))   # a file tells its size, which is small
+    v = R.part_pages(spark.read.parquet(str(tmp_path / "part"))).withColumn("snapshot_ts", F.lit("2024-01-01").cast("timestamp"))
+    monkeypatch.setattr(C, "written", lambda df, name: df)
+    s = C.snapshot_records(D.parse(v), v)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r.page_id or 0, r.title) for r in s.collect()) == [(0, ""), (1, "part 1"), (2, "part 2"), *[(3, "part 3")] * 4]
+
+
 def _python_crawl(pages, start):
     """FIFO crawl as the reference does it, over a dict url -> [links]."""
     visited, queue, order = set(), deque([start]), []

@@ -38,7 +38,8 @@ def snapshot_records(dom: D.Dom, pages: DataFrame, ts_col: str = "snapshot_ts",
              "images": lambda p: F.transform(RC.images(p), lambda i: i["src"]), "full_text": RC.full_text}
     if with_prices:
         parts["prices"] = lambda p: F.flatten(F.transform(B.pricing(p), lambda r: r["prices_found"]))
-    rec = pages.select("page_id", "url", F.col(ts_col).alias("snapshot_ts")).join(RC.parts(dom, **parts), "page_id", "left")
+    # a record is far larger than the row its page is made from, by which Spark would judge whether to broadcast it
+    rec = pages.select("page_id", "url", F.col(ts_col).alias("snapshot_ts")).join(RC.parts(dom, **parts).hint("merge"), "page_id", "left")
     rec = rec.withColumn("prices", F.col("prices") if with_prices else _empty())
     rec = rec.select("page_id", "url", "snapshot_ts", F.coalesce("title", F.lit("")).alias("title"),
                      *[F.coalesce(c, _empty()).alias(c) for c in ("headings", "links", "images", "prices")],
