@@ -72,6 +72,31 @@ def test_differencing_removes_shared_lines(spark):
     assert mainpage.extract(df.limit(0)).count() == 0
 
 
+def test_marked_pages_are_differenced(spark):
+    def marked(own, quote="<p>As they said</p>", around="article"):
+        return page(f"<{around}><h1>{own}</h1>{quote}<div>Sign up for our letter</div></{around}>")
+
+    notice = "<div>All that this long notice of the site says stands on every page</div>"
+    rows = [(1, "http://h/a/1", marked("One")), (2, "http://h/a/2", marked("Two")), (3, "http://h/a/3", marked("Three", "<div>As they <p>said</p></div>")),
+            (4, "http://m/1", marked("One", around="main")), (5, "http://m/2", marked("Two", around="main")), (6, "http://alone/1", marked("One")),
+            (7, "http://d/1", page("<article><div>As they said</div><div>One</div></article>")),
+            (8, "http://d/2", page("<article><div>As they said</div><div>Two</div></article>")),
+            (9, "http://n/1", page(f"<main>{notice}<article><p>One</p></article></main>")),
+            (10, "http://n/2", page(f"<main>{notice}<article><p>Two</p></article></main>")),
+            (11, "http://u/1", page("<p>One</p>")), (12, "http://u/2", marked("Two")), (13, None, marked("One")),
+            (14, "http://s/1", marked("Same")), (15, "http://s/2", marked("Same")), (1, "http://h/a/1", marked("One"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = mainpage.extract(df).collect()
+    assert len(got) == len(rows)
+    text, letter = {r["id"]: r["text"] for r in got}, "\nSign up for our letter"
+    assert text[1] == "One\nAs they said" and text[2] == "Two\nAs they said" and text[3] == "Three\nAs they\nsaid"   # quoted in prose, the letter bare
+    assert text[4] == "One\nAs they said" and text[5] == "Two\nAs they said"
+    assert text[6] == text[13] == "One\nAs they said" + letter and text[14] == text[15] == "Same\nAs they said" + letter
+    assert text[7] == "As they said\nOne" and text[8] == "As they said\nTwo"     # an article without prose
+    assert text[9] == "One" and text[10] == "Two"                                   # what is shared does not outweigh the article
+    assert text[11] == "One"                                                        # a marked neighbour tells the menu too
+
+
 def test_furniture_inside_the_article():
     assert mainpage.article("""<article><header><h1>T</h1></header><nav>n</nav><p>a<p class="ad big">no<p>b &lt;c&gt;
         <form><input>f</form><aside>s</aside><div id="comments"><p>c1</p></div><script>"<p>x</p>"</script>
